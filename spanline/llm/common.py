@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,9 +28,17 @@ def checkpoint_ready(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept as a table in the shared checkpoint folder: a lost executor costs no recomputation, and later joins may split its large keys."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether df, a kept table, has at most `rows` rows; only then may it be broadcast."""
+    return df.count() <= rows
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, quality_rules, shards, token_counts
+from . import bpe, decontaminate, licenses, near_dups, quality_rules, shards, token_counts
 from .common import table, tokenizer_path
 
 
@@ -20,6 +20,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("fp")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_counts, op6_quality_rules, op9_decontamination, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_counts, op5_minhash, op6_quality_rules, op9_decontamination, op10_licenses)}
 SQL: dict[str, str] = {}
