@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, near_dups, quality_rules, shards, token_counts
+from . import bpe, decontaminate, licenses, near_dups, quality_rules, repeats, shards, token_counts
 from .common import table, tokenizer_path
 
 
@@ -28,6 +28,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_counts, op5_minhash, op6_quality_rules, op9_decontamination, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_counts, op5_minhash, op6_quality_rules, op7_suffix_array, op9_decontamination, op10_licenses)}
 SQL: dict[str, str] = {}
