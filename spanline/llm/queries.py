@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, near_dups, quality_rules, repeats, shards, token_counts
+from . import bpe, decontaminate, licenses, near_dups, quality_model, quality_rules, repeats, secret_scan, shards, token_counts
 from .common import table, tokenizer_path
 
 
@@ -20,6 +20,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("fp")
 
@@ -32,6 +36,10 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,5 +48,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_counts, op5_minhash, op6_quality_rules, op7_suffix_array, op9_decontamination, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_token_counts, op4_secrets, op5_minhash, op6_quality_rules, op7_suffix_array, op8_quality_classifier, op9_decontamination, op10_licenses)}
 SQL: dict[str, str] = {}
