@@ -1,0 +1 @@
+"""spanline: PySpark operators for time-aligned turns, transcripts, embeddings and run telemetry."""
