@@ -31,7 +31,7 @@ def h1_nfkc(spark, sf):
     return docs(spark, sf).select("doc_id", F.sha2(X.normalized("text", latin_only=False).cast("binary"), 256).alias("norm_sha"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) AS n_tokens FROM documents")
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_tokens FROM documents")
 def h2_score_tokens(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(X.score_tokens("text")).cast("long").alias("n_tokens"))
 
@@ -125,7 +125,7 @@ def h12_copied_source(spark, sf):
     return doc_pairs(spark, sf).select("doc_id", (X.normalized("ref_text") == X.normalized("hyp_text")).alias("copied"))
 
 
-@query("SELECT conv_id, turn, n_overlap FROM (SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, least(120, length(prev), length(text)) + 1), n -> right(prev, n) = left(text, n))), 0) AS n_overlap FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL)")
+@query("SELECT conv_id, turn, n_overlap FROM (SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, least(120, length(prev), length(text)) + 1), lambda n: right(prev, n) = left(text, n))), 0) AS n_overlap FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL)")
 def h13_suffix_prefix(spark, sf):
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = table(spark, sf, "conversations").withColumn("prev", prev).where("prev IS NOT NULL")
@@ -163,7 +163,7 @@ def h18_vector_norms(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(V.norm(v)), 6).alias("mean_norm"))
 
 
-@query("SELECT vec_id, round(sqrt(list_dot_product(e, e) / len(e)), 6) AS rms, round(20 * log10(greatest(sqrt(list_dot_product(e, e) / len(e)), 1e-10)), 4) AS db, round(len(list_filter(range(2, len(e) + 1), i -> (e[i] >= 0) <> (e[i - 1] >= 0)))::DOUBLE / (len(e) - 1), 6) AS zcr FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+@query("SELECT vec_id, round(sqrt(list_dot_product(e, e) / len(e)), 6) AS rms, round(20 * log10(greatest(sqrt(list_dot_product(e, e) / len(e)), 1e-10)), 4) AS db, round(len(list_filter(range(2, len(e) + 1), lambda i: (e[i] >= 0) <> (e[i - 1] >= 0)))::DOUBLE / (len(e) - 1), 6) AS zcr FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def h19_frame_features(spark, sf):
     e = F.col("embedding").cast("array<double>")
     rms = F.sqrt(V.dot(e, e) / F.size(e))
@@ -172,7 +172,7 @@ def h19_frame_features(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(rms, 6).alias("rms"), F.round(20 * F.log10(F.greatest(rms, F.lit(1e-10))), 4).alias("db"), F.round(crossings / (F.size(e) - 1), 6).alias("zcr"))
 
 
-@query(with_tables("doc_pairs", "WITH p AS (SELECT doc_id, len(ref_words) AS n, list_filter(range(1, len(ref_words) + 1), i -> i % 7 = 0 OR i % 11 = 0) AS truth, list_filter(range(1, least(len(ref_words), len(hyp_words)) + 1), i -> ref_words[i] <> hyp_words[i]) AS found FROM doc_pairs) SELECT doc_id, len(list_intersect(truth, found)) AS hits, round(CASE WHEN len(found) > 0 THEN len(list_intersect(truth, found))::DOUBLE / len(found) END, 9) AS precision, round(CASE WHEN len(truth) > 0 THEN len(list_intersect(truth, found))::DOUBLE / len(truth) END, 9) AS recall FROM p"))
+@query(with_tables("doc_pairs", "WITH p AS (SELECT doc_id, len(ref_words) AS n, list_filter(range(1, len(ref_words) + 1), lambda i: i % 7 = 0 OR i % 11 = 0) AS truth, list_filter(range(1, least(len(ref_words), len(hyp_words)) + 1), lambda i: ref_words[i] <> hyp_words[i]) AS found FROM doc_pairs) SELECT doc_id, len(list_intersect(truth, found)) AS hits, round(CASE WHEN len(found) > 0 THEN len(list_intersect(truth, found))::DOUBLE / len(found) END, 9) AS precision, round(CASE WHEN len(truth) > 0 THEN len(list_intersect(truth, found))::DOUBLE / len(truth) END, 9) AS recall FROM p"))
 def h20_edit_spans(spark, sf):
     """Positions that the edit touched against positions whose words differ."""
     p = doc_pairs(spark, sf)
@@ -239,9 +239,9 @@ def b4_language_tag(spark, sf):
     return docs(spark, sf).groupBy("lang").agg(F.count("*").alias("n")).withColumn("tag", X.language_tag(F.concat(F.upper("lang"), F.lit("_"), F.col("lang"))))
 
 
-@query(with_tables("segments", "SELECT segment_id, language, n AS next_language, n = 'und' OR split_part(language, '-', 1) = split_part(n, '-', 1) AS agree FROM (SELECT segment_id, language, CASE WHEN turn % 3 = 0 THEN 'und' ELSE lead(language) OVER (ORDER BY recording_id, turn) || '-X' END AS n FROM segments)"))
+@query(with_tables("segments", "SELECT segment_id, language, n AS next_language, n = 'und' OR split_part(language, '-', 1) = split_part(n, '-', 1) AS agree FROM (SELECT segment_id, language, CASE WHEN turn % 3 = 0 THEN 'und' ELSE lead(language) OVER (PARTITION BY recording_id ORDER BY turn) || '-X' END AS n FROM segments)"))
 def b5_languages_agree(spark, sf):
     s = segments(spark, sf)
-    nxt = s.select((F.col("recording_id")).alias("rid"), F.col("turn").alias("t"), "language", "segment_id", F.lead("language").over(Window.orderBy("recording_id", "turn")).alias("l"))
+    nxt = s.select((F.col("recording_id")).alias("rid"), F.col("turn").alias("t"), "language", "segment_id", F.lead("language").over(Window.partitionBy("recording_id").orderBy("turn")).alias("l"))
     n = F.when(F.col("t") % 3 == 0, "und").otherwise(F.concat("l", F.lit("-X")))
     return nxt.select("segment_id", "language", n.alias("next_language")).withColumn("agree", X.languages_agree("language", "next_language"))

@@ -134,7 +134,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "reviews": ((), "SELECT doc_id AS review_id, doc_id // 4 AS case_id, 'm' || (doc_id % 4) AS alias, CASE WHEN quality = 0 AND toxic = 1 THEN 'critical' WHEN toxic = 1 THEN 'major' WHEN quality = 0 THEN 'minor' ELSE 'none' END AS severity, doc_id % 3 = 0 AS preferred FROM labels"),
     "candidates": ((), "SELECT lang AS domain, doc_id // 4 AS group_id, doc_id AS candidate_id, doc_id % 5 <> 0 AS eligible, doc_id % 4 = 0 AS current, round((n_chars % 101) / 101.0::DOUBLE, 9) AS score FROM documents"),
     "doc_pairs": ((), """SELECT doc_id, lang, w AS ref_words, h AS hyp_words, array_to_string(w, ' ') AS ref_text, array_to_string(h, ' ') AS hyp_text FROM (
-        SELECT *, flatten(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), s -> s[2] % 7 <> 0), s -> CASE WHEN s[2] % 11 = 0 THEN [s[1], s[1]] ELSE [s[1]] END)) AS h FROM (
+        SELECT *, flatten(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda s: s[2] % 7 <> 0), lambda s: CASE WHEN s[2] % 11 = 0 THEN [s[1], s[1]] ELSE [s[1]] END)) AS h FROM (
         SELECT doc_id, lang, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents WHERE n_chars <= 2000))"""),
 }
 
