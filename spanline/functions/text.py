@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 C = Column | str
 
@@ -23,7 +24,7 @@ def col(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility form and case folding, which Spark SQL has not; one Arrow batch at a time."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())

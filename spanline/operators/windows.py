@@ -12,13 +12,11 @@ from spanline.functions.text import suffix_prefix
 
 from .intervals import islands
 
-ORDER = Window.partitionBy("recording_id").orderBy("start_ms", "segment_id")
-
-
 def speaker_runs(segments: DataFrame, gap: int) -> DataFrame:
     """segments with run, place in it and its size: rows of one speaker in a row, within a gap."""
-    same = (F.lag("speaker_id").over(ORDER) == F.col("speaker_id")) & (F.col("start_ms") - F.lag("end_ms").over(ORDER) <= gap)
-    runs = segments.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("__new").over(ORDER)).drop("__new")
+    order = Window.partitionBy("recording_id").orderBy("start_ms", "segment_id")
+    same = (F.lag("speaker_id").over(order) == F.col("speaker_id")) & (F.col("start_ms") - F.lag("end_ms").over(order) <= gap)
+    runs = segments.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("__new").over(order)).drop("__new")
     own = Window.partitionBy("recording_id", "run")
     return runs.withColumn("place", F.row_number().over(own.orderBy("start_ms")).cast("long")).withColumn("size", F.count("*").over(own))
 

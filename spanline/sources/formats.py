@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRANSCRIPT = T.StructType.fromDDL("documentId string, language string, segments array<struct<id: string, start_ms: bigint, end_ms: bigint, speaker: string, text: string>>, _corrupt_record string")
-EVENT = T.StructType.fromDDL("event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
+SEGMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType())])
+TRANSCRIPT = T.StructType([T.StructField("documentId", T.StringType()), T.StructField("language", T.StringType()), T.StructField("segments", T.ArrayType(SEGMENT)), T.StructField("_corrupt_record", T.StringType())])
+EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
 def seconds_ms(text: str):
