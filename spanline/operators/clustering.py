@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.functions.vectors import cosine, dot, unit
+from spanline.lineage import cut
 
 
 def unit_vectors(df: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def leader_groups(points: DataFrame, threshold: float, cells: int = 8) -> DataFr
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
     while True:
         least = both.join(label.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        new = label.join(least.withColumnRenamed("a", "vec_id"), "vec_id", "left").select("vec_id", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce("m", "label") < F.col("label")).alias("moved")).checkpoint()
+        new = cut(label.join(least.withColumnRenamed("a", "vec_id"), "vec_id", "left").select("vec_id", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce("m", "label") < F.col("label")).alias("moved")))
         label = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return label
@@ -181,5 +182,5 @@ def merge_runs(pairs: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFra
         ways = groups.select("key", F.col("x").alias("g"), F.col("y").alias("o"), "s").unionByName(groups.select("key", F.col("y").alias("g"), F.col("x").alias("o"), "s"))
         best = ways.groupBy("key", "g").agg(F.max(F.struct("s", (-F.col("o")).alias("o"))).alias("b")).select("key", "g", (-F.col("b.o")).alias("o"))
         mutual = best.alias("p").join(best.alias("q"), F.expr("p.key = q.key AND p.g = q.o AND p.o = q.g AND p.g > p.o")).select("p.key", F.col("p.g").alias("label"), F.col("p.o").alias("to"))
-        label = label.join(mutual, ["key", "label"], "left").select("key", "member", F.coalesce("to", "label").alias("label")).checkpoint()
+        label = cut(label.join(mutual, ["key", "label"], "left").select("key", "member", F.coalesce("to", "label").alias("label")))
     return label

@@ -16,14 +16,6 @@ HOP = 60_000
 WEIGHTS = {"a": 1.0, "b": 0.8, "c": 0.6}
 
 
-def shared(spark):
-    """Loops cut their lineage in the cluster's shared checkpoint folder; only where it is unset (tests) a local one is made."""
-    import tempfile
-
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanline-checkpoint-"))
-
-
 def vectors(spark, sf):
     return K.unit_vectors(table(spark, sf, "embeddings"))
 
@@ -40,7 +32,6 @@ def k1_spherical_kmeans(spark, sf):
 
 @query()
 def k2_leader_groups(spark, sf):
-    shared(spark)
     return K.leader_groups(vectors(spark, sf), 0.72)
 
 
@@ -69,7 +60,6 @@ def d26_cluster_quality(spark, sf):
 @query()
 def k5_merge_runs(spark, sf):
     """Runs are vectors, a recording fifty of them in a row; scores are cosines of vectors next to each other by id."""
-    shared(spark)
     v = vectors(spark, sf).withColumn("key", F.expr("vec_id div 50"))
     l = v.select("key", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 5)).alias("b"))
     pairs = l.join(v.select("key", F.col("vec_id").alias("b"), F.col("v").alias("vb")), ["key", "b"]).select("key", "a", "b", F.round(cosine("va", "vb"), 9).alias("score"))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanline.lineage import ready
+
 LATE = "2 hours"
 
 
@@ -25,13 +27,8 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; only where that is unset (tests) a local one is made."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanline-checkpoint-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/streams/{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder."""
+    return f"{ready(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
