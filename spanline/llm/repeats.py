@@ -4,8 +4,8 @@ A byte is removed if it lies in a string of LENGTH bytes that also starts anywhe
 an anchor, the least hash among its GRAM-byte grams, which depends on the string alone; so equal strings have equal
 anchors at equal offsets, and only stretches with one anchor need to be compared. A stretch is the run of string starts
 that share an anchor occurrence. An anchor that occurs once is done; if all its stretches are equal, all of them repeat;
-else one copy of each different stretch goes into a suffix array (many anchors at once, in runs of bounded size), whose
-common-prefix interval tree is scanned with a stack: an interval whose members differ in the byte to their left is a
+else one copy of each different stretch is cut to the strings whose hash comes twice, and each different piece goes into a suffix
+array (many anchors at once, in runs of bounded size), whose common-prefix interval tree is scanned with a stack: an interval whose members differ in the byte to their left is a
 maximal repeat, and all its occurrences are marked. Anchors with more than `group_rows` occurrences never meet in one task:
 their strings are counted by hash of anchor, offset and content, with map-side sums. That path is exact in the same way.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, small
 
 LENGTH, GRAM = 200, 48
-GROUP_ROWS = 2_000
+GROUP_ROWS = 20_000
 BROADCAST_ROWS = 200_000
 RUN_BYTES = 2 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -122,36 +122,51 @@ def stretch_rows(base: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class SuffixArray:
-    """Sorted suffixes of some strings, each closed by a letter of its own, with common prefixes, by prefix doubling from 8 letters on."""
+    """Sorted suffixes of some strings, each closed by a letter below all others, with common prefixes inside the strings, by prefix doubling from 7 letters on."""
+
+    FIRST = 7
 
     def __init__(self, strings: list[bytes], depth: int):
         sizes = np.array([len(s) for s in strings])
         self.starts = np.cumsum([0, *(sizes[:-1] + 1)])
-        letters = np.zeros(sizes.sum() + len(strings), dtype="i8")
-        inside = np.ones(len(letters), dtype=bool)
+        n = int(sizes.sum()) + len(strings)
+        self.letters = np.zeros(n + self.FIRST, dtype="i8")
+        inside = np.ones(n, dtype=bool)
         inside[self.starts + sizes] = False
-        letters[inside] = np.frombuffer(b"".join(strings), dtype="u1").astype("i8") + len(strings)
-        letters[~inside] = np.arange(len(strings))
-        self.letters, n = letters, len(letters)
-        rank = np.unique(letters, return_inverse=True)[1].astype("i8") + 1
-        self.levels, width = {1: rank}, 1
+        self.letters[:n][inside] = np.frombuffer(b"".join(strings), dtype="u1").astype("i8") + 1
+        self.left = np.repeat(self.starts + sizes, sizes + 1) - np.arange(n)  # letters of its string from each place on
+        key = np.zeros(n, dtype="i8")
+        for k in range(self.FIRST):
+            key = key << 9 | self.letters[k : k + n]
+        rank, width = self.ranked(key), self.FIRST
+        self.levels = {width: rank}
         while width < depth:
             after = np.zeros(n, dtype="i8")
-            after[: n - width] = rank[width:] if width < n else 0
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype("i8") + 1
+            after[: max(0, n - width)] = rank[width:]
+            rank = self.ranked(rank * (n + 2) + after)
             width *= 2
             self.levels[width] = rank
         self.order = np.argsort(rank, kind="stable")
         self.common = self.prefixes(self.order[:-1], self.order[1:])
 
+    @staticmethod
+    def ranked(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys, kind="stable")
+        held = keys[order]
+        out = np.empty(len(keys), dtype="i8")
+        out[order] = np.cumsum(np.concatenate(([1], held[1:] != held[:-1])))
+        return out
+
     def prefixes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n, done = len(self.letters), np.zeros(len(a), dtype="i8")
+        n, done = len(self.left), np.zeros(len(a), dtype="i8")
         for width in sorted(self.levels, reverse=True):
             level = self.levels[width]
-            i, j = np.minimum(a + done, n - 1), np.minimum(b + done, n - 1)
-            same = (level[i] == level[j]) & (a + done < n) & (b + done < n)
-            done += same * width
-        return done
+            i, j = a + done, b + done
+            done += ((i < n) & (j < n) & (level[np.minimum(i, n - 1)] == level[np.minimum(j, n - 1)])) * width
+        for _ in range(self.FIRST - 1):
+            i, j = np.minimum(a + done, n), np.minimum(b + done, n)
+            done += (self.letters[i] == self.letters[j]) & (i < n) & (j < n)
+        return np.minimum(done, np.minimum(self.left[a], self.left[b]))
 
     def maximal_repeats(self, least: int):
         """(common prefix, members) of every interval of at least `least` letters whose members differ to the left. A stack scan over the common prefixes."""
@@ -173,32 +188,53 @@ class SuffixArray:
             stack.clear()
 
     def diverse(self, members: np.ndarray) -> bool:
-        if (members == 0).any():
-            return True
         before = self.letters[members - 1]
-        return bool((before != before[0]).any())
+        return bool((members == 0).any() or (before == 0).any() or (before != before[0]).any())
+
+
+def runs_of(marked: np.ndarray) -> list[tuple[int, int]]:
+    own = np.flatnonzero(np.diff(np.concatenate(([0], marked.view("i1"), [0]))))
+    return [(int(a), int(b) - 1) for a, b in own.reshape(-1, 2)]
 
 
 def repeated_starts(strings: list[bytes], copies: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each string the runs (first, last) of its starts of `length` bytes that also stand elsewhere; strings with copies repeat throughout."""
-    depth = 1
-    while depth < max(map(len, strings)):
-        depth *= 2
-    suffixes = SuffixArray(strings, depth)
-    marks = np.zeros(len(suffixes.letters) + 1, dtype="i4")
+    if not strings:
+        return []
+    suffixes = SuffixArray(strings, max(map(len, strings)))
+    marks = np.zeros(len(suffixes.left) + 1, dtype="i4")
     for common, members in suffixes.maximal_repeats(length):
         np.add.at(marks, members, 1)
         np.add.at(marks, members + common - length + 1, -1)
     marked = np.cumsum(marks) > 0
-    found = []
-    for s, text, n in zip(suffixes.starts.tolist(), strings, copies, strict=True):
-        last = len(text) - length
-        if n > 1:
-            found.append([(0, last)])
-            continue
-        own = np.flatnonzero(np.diff(np.concatenate(([0], marked[s : s + last + 1].view("i1"), [0]))))
-        found.append([(int(a), int(b) - 1) for a, b in own.reshape(-1, 2)])
-    return found
+    return [[(0, len(text) - length)] if n > 1 else runs_of(marked[s : s + len(text) - length + 1]) for s, text, n in zip(suffixes.starts.tolist(), strings, copies, strict=True)]
+
+
+def likely_runs(strings: list[bytes], copies: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """Runs of starts whose strings of `length` bytes may stand elsewhere, as their hash does: nothing that repeats is left out."""
+    data = np.frombuffer(b"".join(strings), dtype="u1")
+    sizes = np.array([len(s) for s in strings])
+    starts = np.cumsum(sizes) - sizes
+    half = 1 << (length.bit_length() - 1)
+    level = block_hashes(data, [half])[half]
+    hashes = mixed(level[: len(data) - length + 1], level[length - half : length - half + len(data) - length + 1])
+    per = sizes - length + 1  # every stretch holds a string at least
+    at = np.arange(per.sum()) + np.repeat(starts - (np.cumsum(per) - per), per)
+    _, inverse, n = np.unique(hashes[at], return_inverse=True, return_counts=True)
+    again = (n[inverse] > 1) | np.repeat(np.array(copies) > 1, per)
+    return [runs_of(own) for own in np.split(again, np.cumsum(per)[:-1])]
+
+
+def solved_run(strings: list[bytes], copies: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """repeated_starts of stretches by way of their likely pieces, each different piece once."""
+    likely = likely_runs(strings, copies, length)
+    pieces: dict[bytes, int] = {}
+    for text, n, runs in zip(strings, copies, likely, strict=True):
+        for a, b in runs:
+            piece = text[a : b + length]
+            pieces[piece] = pieces.get(piece, 0) + n
+    found = dict(zip(pieces, repeated_starts(list(pieces), list(pieces.values()), length), strict=True))
+    return [[(a + x, a + y) for a, b in runs for x, y in found[text[a : b + length]]] for text, runs in zip(strings, likely, strict=True)]
 
 
 RANGES = "anchor long, span long, ranges array<int>"
@@ -208,7 +244,7 @@ def by_suffix_arrays(spans: DataFrame, length: int) -> DataFrame:
     """The repeating starts of different stretches, one anchor always inside one run."""
 
     def solved(rows: list) -> pa.RecordBatch:
-        ranges = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length)
+        ranges = solved_run([r[3] for r in rows], [r[2] for r in rows], length)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[x for ab in own for x in ab] for own in ranges], pa.list_(pa.int32()))], names=["anchor", "span", "ranges"])
 
     def run(batches):
@@ -247,7 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
     rows = stretch_rows(base.where(F.octet_length("text") >= length), length, gram)
     anchors = cut(rows.groupBy("anchor").agg(F.sum("n").alias("total"), F.min("span").alias("low"), F.max("span").alias("high")).where("total > 1"))
-    flagged = cut(rows.join(F.broadcast(anchors) if small(anchors, BROADCAST_ROWS) else anchors, "anchor").select("d", "th", "anchor", "span", "n", "width", "starts", "total", (F.col("low") == F.col("high")).alias("whole")))
+    flagged = cut(rows.join(anchors, "anchor").select("d", "th", "anchor", "span", "n", "width", "starts", "total", (F.col("low") == F.col("high")).alias("whole")))
     keys = cut(flagged.select("d", "th").distinct())
     work = cut(base.join(F.broadcast(keys) if small(keys, BROADCAST_ROWS) else keys, ["d", "th"], "left_semi"))
 
