@@ -21,7 +21,7 @@ SPACE = r"[ \\t\\n\\x0B\\f\\r]"
 #: name: (measure as SQL over the counts, bins a unit, slack in bins that a group without spread still allows).
 MEASURES = {
     "symbols": ("1000 * n_symbols / greatest(word_chars, 1)", 60),
-    "dup_lines": ("1000 * n_dup_lines / greatest(n_lines, 1)", 300),
+    "dup_lines": ("1000 * n_dup_lines / greatest(n_lines, 1)", 400),
     "repeats": ("1000 * n_repeat_words / greatest(n_words, 1)", 300),
     "shouts": ("1000 * n_shouts / greatest(n_words, 1)", 300),
 }
