@@ -2,10 +2,13 @@
 
 Texts with equal sets of shingles form a class, found by a fingerprint of the whole set; from there on only classes
 are compared, so a group of copies of any size is one row. A class's signature holds the minima of HASHES universal
-hash functions; classes that share a band are candidates. In a bucket every class is first compared with the
-smallest one; after that only classes of a bucket that are still in different components are compared with each other.
-A candidate pair whose signatures agree well enough is confirmed on both full sets, and the confirmed links are turned
-into components by alternating large-star and small-star.
+hash functions; classes that share a band are candidates. In a bucket every class is compared by signature with the
+smallest one, and those that agree at all (LOOSE) form families. Each family gets a hub, the class nearest to the most
+frequent minima, and every member is compared with it on both full sets. What that leaves open inside a family is
+decided by sizes: with i the part shared with the hub, n the size and b the added shingles, two members share at most
+min(i, i') + |b and b'|; so only members that share some of their rarest added shingles, or that are small enough, can still be
+linked, and only these pairs are verified by signature and confirmed on their full sets. Pairs of a bucket in different families are treated likewise.
+Links are turned into components by alternating large-star and small-star.
 
 Bands of ROWS minima in BANDS bands miss a pair of similarity 0.8 with probability (1 - 0.8**4)**28, below 1 in 2
 million; a signature of 112 minima that estimates such a pair below 0.6 is 5 standard deviations off.
@@ -22,16 +25,19 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, over_texts, small, texts_of
 
 ROWS, BANDS = 4, 28
 HASHES = ROWS * BANDS
-LEAST_ESTIMATE = 0.6
+LEAST_ESTIMATE, LOOSE = 0.6, 0.45
+HUB_PLACES = 14
 BROADCAST_ROWS = 200_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
+#: Pairs whose texts are held as Python strings at a time.
+PAIRS_AT_ONCE = 128
 
 
 class Shingles:
@@ -122,9 +128,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, estimate double")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs with 100 * intersection >= percent * union on their full sets."""
+def compared(pairs: DataFrame, texts: DataFrame, words: int, added: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, common) of the pairs on their full sets; added: also the shingles of a that b has not."""
     both = pairs.select("a", "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+    names = ["a", "b", "n_a", "n_b", "common", "added"]
 
     def run(batches):
         shingles = Shingles(words)
@@ -137,16 +144,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 kept[fp] = shingles.of(text)
             return kept[fp]
 
-        for batch in batches:
-            good = []
+        for batch in (whole.slice(k, PAIRS_AT_ONCE) for whole in batches for k in range(0, len(whole), PAIRS_AT_ONCE)):
+            got = []
             for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")], strict=True):
                 left, right = of(a, x), of(b, y)
                 common = len(np.intersect1d(left, right, assume_unique=True))
-                good.append(100 * common >= percent * (len(left) + len(right) - common))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                own = np.setdiff1d(left, right, assume_unique=True).view("i8") if added else np.empty(0, dtype="i8")
+                got.append((a, b, len(left), len(right), common, own))
+            if got:
+                kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, n_a long, n_b long, common long, added array<long>")
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,66 +184,104 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(family, hub): the member whose minima are most often the most frequent ones of its family. Counts only, at HUB_PLACES places."""
+    step = HASHES // HUB_PLACES
+    places = F.expr(f"explode(transform(sequence(0, {HUB_PLACES - 1}), i -> struct(i AS i, substring(sig, i * {4 * step} + 1, 4) AS v)))")
+    minima = members.join(classes.select("fp", "sig"), "fp").select("family", "fp", places.alias("x")).select("family", "fp", "x.*")
+    common = minima.groupBy("family", "i", "v").agg(F.count("*").alias("n")).groupBy("family", "i").agg(F.max(F.struct("n", "v")).alias("m")).select("family", "i", F.col("m.v").alias("v"))
+    agreed = minima.join(cut(common), ["family", "i", "v"]).groupBy("family", "fp").agg(F.count("*").alias("n"))
+    return agreed.groupBy("family").agg(F.max(F.struct("n", "fp")).alias("m")).select("family", F.col("m.fp").alias("hub"))
+
+
+def open_pairs(diffs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a family in different components that sizes and added shingles do not rule out.
+
+    diffs: family, hub, fp, n, i (shared with the hub), added. A link needs common * (100 + percent) >= percent * (n + n'), and
+    common is at most min(i, i') plus the added shingles that both have.
+    """
+    own = cut(diffs.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rows = own.select("family", "fp", "n", "i", "root", F.size("added").alias("b"), F.explode("added").alias("shingle"))
+    often = cut(rows.groupBy("family", "shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1"))
+    # A partner has percent of n shingles at least, so at least percent * n - i of the additions are shared: of x's additions,
+    # the rarest first, one of the first b - that + 1 must be among the like first of the partner's.
+    ranked = rows.join(often, ["family", "shingle"], "left").withColumn("place", F.row_number().over(Window.partitionBy("family", "fp").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
+    needed = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("i"), F.lit(1))
+    rows = cut(ranked.where((F.col("place") <= F.col("b") - needed + 1) & (F.col("low") != F.col("high"))).select("family", "shingle", "fp", "n", "i", "b", "root"))
+    left, right = (rows.select("family", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "i", "b", "root")]) for x in "ab")
+    reach = F.least("i_a", "i_b") + F.least("b_a", "b_b")
+    alike = left.join(right, ["family", "shingle"]).where("root_a < root_b").where(reach * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("fp_a", "fp_b").distinct()
+    # Without a shared addition the smaller share i with the hub must do: i <= i' <= n' <= i * (100 + percent) / percent - n.
+    # One of the two is outside the hub's component; sizes n' in that range are joined one by one.
+    centre = diffs.select("family", F.col("hub").alias("node")).distinct().join(roots, "node", "left").select("family", F.coalesce("root", "node").alias("hub_root"))
+    sided = cut(own.join(cut(centre), "family").select("family", "fp", "n", "i", "root", (F.col("root") == F.col("hub_root")).alias("inside")))
+    range_of = sided.groupBy("family").agg(F.max(F.when(~F.col("inside"), F.col("i"))).alias("most_out"), F.min(F.when(F.col("inside"), F.col("i"))).alias("least_in")).where("most_out IS NOT NULL")
+    sided = cut(sided.join(cut(range_of), "family"))
+    most = F.floor(F.col("i") * (100 + percent) / percent) - F.col("n")
+    lower = sided.where("NOT inside OR i <= most_out").where(most >= F.col("i")).select("family", F.col("fp").alias("fp_a"), F.col("i").alias("i_a"), F.col("root").alias("root_a"), F.col("inside").alias("in_a"), F.explode(F.sequence(F.col("i"), most)).alias("n_b"))
+    upper = sided.select("family", F.col("fp").alias("fp_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b"), F.col("inside").alias("in_b"), F.col("n").alias("n_b"))
+    meet = lambda a, b: a.join(b, ["family", "n_b"]).where("i_a <= i_b AND root_a <> root_b").select("fp_a", "fp_b")
+    small_enough = meet(lower.where("NOT in_a"), upper).unionByName(meet(lower.where("in_a"), upper.where("NOT in_b")))
+    both = alike.select("fp_a", "fp_b").unionByName(small_enough.select("fp_a", "fp_b"))
+    return both.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, fp, component_id and kept of every row."""
-    slim = texts_of(docs)
-    rows = cut(with_fingerprints(slim, words, True).select("doc_id", "__set.*"))
-    classes = cut(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("least_id")))
+    """doc_id, n_shingles, th (hash of the text), fp, component_id and kept of every row."""
+    slim = texts_of(docs).withColumn("th", F.xxhash64("text"))
+    rows = cut(with_fingerprints(slim, words, True).select("doc_id", "th", "__set.*"))
+    classes = cut(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("at")))
     bands = classes.select("fp", F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}))))").alias("key"))
     buckets = cut(bands.groupBy("key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     members = cut(bands.join(buckets.select("key", "rep"), "key"))
-    pairs = members.where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = cut(estimated(pairs, classes, LEAST_ESTIMATE))
-
-    def texts_for(pairs: DataFrame) -> DataFrame:
-        """One text of each class in the pairs."""
-        need = cut(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct())
-        own = with_fingerprints(slim, words, False).select("__set.fp", "text")
-        own = own.join(F.broadcast(need) if small(need, BROADCAST_ROWS) else need, "fp", "left_semi")
-        return cut(own.groupBy("fp").agg(F.first("text").alias("text")))
-
-    texts = texts_for(likely)
-    first = likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = cut(confirmed(first, texts, words, percent))
+    near = cut(estimated(members.where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), classes, LOOSE).select("a", "b"))
+
+    inside = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+    families = components(near).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    families = cut(inside.join(families, "fp", "left").select("fp", F.coalesce("family", "fp").alias("family")))
+
+    # one text of each class that shares a bucket with another
+    need = cut(classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("at.doc_id").alias("__doc"), F.col("at.th").alias("__th")))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))
+    texts = slim.join(F.broadcast(need) if small(need, BROADCAST_ROWS) else need, same).select("fp", "text").groupBy("fp").agg(F.first("text").alias("text"))
+    texts = cut(texts)
+
+    to_hub = cut(families.join(cut(hubs(families, classes)), "family"))
+    measured = cut(compared(to_hub.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")), texts, words, added=True))
+    links = cut(linked(measured, percent))
     roots = components(links)
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs whose classes are still in different components."""
-        for side in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        return pairs.where("root_a <> root_b").select("a", "b")
+    diffs = to_hub.join(measured.select(F.col("a").alias("fp"), F.col("n_a").alias("n"), F.col("common").alias("i"), "added"), "fp").select("family", "hub", "fp", "n", "i", "added")
+    more = open_pairs(diffs, roots, percent)
 
-    rest = cut(apart(likely.select("a", "b").join(first, ["a", "b"], "left_anti"), roots))
-    if rest.limit(1).count():
-        links = cut(links.unionByName(confirmed(rest, texts, words, percent)))
-        roots = components(links)
-    placed = members.select("key", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = cut(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_rows = cut(placed.join(cut(mixed), "key", "left_semi"))
-    left, right = (open_rows.select("key", F.col("fp").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-    cross = left.join(right, "key").where("root_a < root_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    cross = cross.join(likely.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    cross = cut(estimated(cross, classes, LEAST_ESTIMATE))
-    if cross.limit(1).count():
-        links = links.unionByName(confirmed(cross, texts_for(cross), words, percent))
+    # pairs of a bucket in different families
+    placed = cut(members.select("key", "fp").join(families, "fp", "left").withColumn("family", F.coalesce("family", "fp")))
+    mixed = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("key")
+    placed = cut(placed.join(cut(mixed), "key", "left_semi"))
+    left, right = (placed.select("key", F.col("fp").alias(x), F.col("family").alias(f"family_{x}")) for x in ("a", "b"))
+    cross = left.join(right, "key").where("family_a < family_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    more = cut(estimated(more.unionByName(cross).distinct(), classes, LEAST_ESTIMATE))
+    if more.limit(1).count():
+        links = links.unionByName(linked(compared(more, texts, words), percent))
         roots = components(links)
-    named = classes.select("fp", "least_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named)
+    named = cut(classes.select("fp", "least_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     ids = cut(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = cut(named.join(ids, "root").select("fp", "component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
+    out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "fp", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", "th", "fp", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their groups; of repeated rows one stays, and a group without any doc_id keeps one row."""
+    """The rows of docs, with all their columns, that stand for their groups; of repeated rows one stays, and a group without any doc_id keeps its rows of no doc_id, each text once."""
     found = near_duplicates(docs, words, percent).where("kept OR component_id IS NULL")
-    winners = cut(found.groupBy("doc_id", "fp").agg(F.count("*").alias("__n")))
-    marked = with_fingerprints(docs, words, False).withColumn("__id", F.col("doc_id").cast("long"))
-    winners = winners.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), "__n")
-    joined = marked.join(F.broadcast(winners) if small(winners, BROADCAST_ROWS) else winners, F.col("__id").eqNullSafe(F.col("__doc")) & F.col("__set.fp").eqNullSafe(F.col("__fp")))
+    winners = found.groupBy("doc_id", "fp", F.when(F.col("fp").isNull(), F.col("th"))).agg(F.min("th").alias("th"), F.count("*").alias("__n"))
+    winners = cut(winners.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__n"))
+    text = F.col("text").cast("string")
+    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__own", F.xxhash64(text))
+    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__th"))
+    joined = marked.join(F.broadcast(winners) if small(winners, BROADCAST_ROWS) else winners, same)
     single = joined.where("__n = 1").select(*docs.columns)
-    several = joined.where("__n > 1").dropDuplicates(["__id", "__fp"]).select(*docs.columns)
+    several = joined.where("__n > 1").dropDuplicates(["__id", "__own"]).select(*docs.columns)
     return single.unionByName(several)

@@ -25,7 +25,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("fp")
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("fp", "th")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
