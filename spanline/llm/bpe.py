@@ -29,7 +29,7 @@ LEAF_BYTES = 256
 #: Characters of a text above which its parts are encoded in parallel tasks, and of such a part.
 PART_CHARS = 32_768
 #: Encoded pre-tokens that a task keeps at most; beyond that it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -170,16 +170,16 @@ def tree(parts: list[Part], vocabulary: Vocabulary) -> Part:
 FIELDS = "ids binary, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
-def finished(ids: bytes, vocabulary: Vocabulary, keep: bool) -> tuple:
+def finished(ids: bytes, vocabulary: Vocabulary, keep: tuple[str, ...]) -> tuple:
     decoded = vocabulary.decode(ids).decode("utf-8", "replace")
-    return (ids if keep else None, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded if keep else None, hashlib.sha256(decoded.encode()).hexdigest())
+    return (ids if "ids" in keep else None, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded if "decoded" in keep else None, hashlib.sha256(decoded.encode()).hexdigest())
 
 
-def encode_texts(docs: DataFrame, path: str, out: str = "__bpe", part_chars: int = PART_CHARS, keep: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, out: str = "__bpe", part_chars: int = PART_CHARS, keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """docs with a struct column `out`: ids (little-endian unsigned 32-bit), n_tokens, ids_sha256, decoded, decoded_sha256.
 
     Texts above `part_chars` characters are cut into parts that are encoded in parallel and joined per text; the others
-    are encoded where they are read. keep=False leaves ids and decoded null for queries that need the digests only.
+    are encoded where they are read. What `keep` does not name of ids and decoded stays null, for those who need the digests only.
     """
     names = [x.strip().split()[0] for x in FIELDS.split(",")]
 
@@ -204,9 +204,13 @@ def encode_texts(docs: DataFrame, path: str, out: str = "__bpe", part_chars: int
         vocabulary = Vocabulary.load(path)
 
         def do(texts: list) -> dict:
-            done = [Part.of(x, vocabulary) for x in texts]
-            flat = [list(chain.from_iterable(p.ids)) for p in done]
-            return {"ends": [p.ends for p in done], "sizes": [[len(i) for i in p.ids] for p in done], "flat": flat}
+            got: dict[str, list] = {"ends": [], "sizes": [], "flat": []}
+            for text in texts:  # a part's lists give way to arrays before the next part
+                part = Part.of(text, vocabulary)
+                got["ends"].append(np.array(part.ends, dtype="i4"))
+                got["sizes"].append(np.array([len(i) for i in part.ids], dtype="i4"))
+                got["flat"].append(np.fromiter(chain.from_iterable(part.ids), dtype="i4"))
+            return got
 
         return do
 
@@ -233,5 +237,5 @@ def encode_texts(docs: DataFrame, path: str, out: str = "__bpe", part_chars: int
 
 def encode_and_decode(docs: DataFrame, path: str, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    found = encode_texts(texts_of(docs), path, part_chars=part_chars, keep=False)
+    found = encode_texts(texts_of(docs), path, part_chars=part_chars, keep=())
     return found.select("doc_id", "__bpe.n_tokens", "__bpe.ids_sha256", "__bpe.decoded_sha256")
