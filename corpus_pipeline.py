@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded text."""
-    found = bpe.encode_texts(docs, tokenizer_path("byte_bpe_50k.json"), keep=True)
+    found = bpe.encode_texts(docs, tokenizer_path("byte_bpe_50k.json"), keep=("ids",))
     return found.select("doc_id", "lang", "source", *[f"__bpe.{c}" for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")])
 
 
