@@ -43,7 +43,8 @@ def score_tokens(text: C) -> Column:
 
 
 def _letter(k: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(k.cast("long") + F.lit(0x3400)), 4, "0")), "UTF-16BE")
+    code = k.cast("long") + F.lit(0x3400)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(code < 0xD800, code).otherwise(code + 0x800)), 8, "0")), "UTF-32")
 
 
 def token_distance(words: C, others: C) -> Column:
@@ -52,6 +53,31 @@ def token_distance(words: C, others: C) -> Column:
     return F.transform(F.array(F.array_distinct(F.concat(col(words), col(others)))), lambda v: F.levenshtein(spelled(v, col(words)), spelled(v, col(others))))[0]
 
 
+def edit_steps(a: str, b: str) -> int:
+    """Edit distance in characters: a column of the table is two whole numbers with one bit a row (Myers, Hyyrö)."""
+    if not a:
+        return len(b)
+    full, last, where = (1 << len(a)) - 1, len(a) - 1, {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    up, down, n = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        across = ((((same & up) + up) ^ up) | same) & full
+        more, less = down | (full ^ (across | up)), up & across
+        n += (more >> last & 1) - (less >> last & 1)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        same |= down
+        up, down = less | (full ^ (same | more)), more & same
+    return n
+
+
+@F.pandas_udf(T.LongType())
+def edit_distance(text: pd.Series, other: pd.Series) -> pd.Series:
+    """edit_steps by Arrow batches; levenshtein of Spark SQL visits every cell, too slow for long texts."""
+    return pd.Series([None if a is None or b is None else edit_steps(a, b) for a, b in zip(text, other, strict=True)], dtype="Int64")
+
+
 def error_rate(distance: C, size: C) -> Column:
     return F.when(col(size) > 0, F.round(col(distance) / col(size), 9))
 

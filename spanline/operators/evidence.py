@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,25 +30,31 @@ def map_tracks(ref: DataFrame, tracks: DataFrame, margin: float = 0.1) -> DataFr
 
 
 def edit_counts(words: list, others: list) -> tuple[int, int, int]:
-    """(substituted, inserted, deleted) of one least alignment; rows of the table by numpy, then a walk back."""
+    """(substituted, inserted, deleted) of one least alignment; rows of the table by numpy, then a walk back. Only every step-th row is kept, the rows between are made again on the way back."""
     ids: dict = {}
     a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], dtype="i4") for x in (words, others))
-    table = np.empty((len(a) + 1, len(b) + 1), dtype="i4")
-    steps = np.arange(len(b) + 1)
-    table[0] = steps
-    for k, w in enumerate(a, 1):
-        row = np.minimum(table[k - 1] + 1, np.concatenate(([k], table[k - 1][:-1] + (b != w))))
-        table[k] = np.minimum.accumulate(row - steps) + steps
-    i, j, s, n, d = len(a), len(b), 0, 0, 0
-    while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+    steps, step = np.arange(len(b) + 1, dtype="i4"), math.isqrt(len(a)) + 1
+
+    def rows_after(row: np.ndarray, k: int, stop: int):
+        for k in range(k + 1, stop + 1):
+            new = np.minimum(row + 1, np.concatenate(([k], row[:-1] + (b != a[k - 1]))))
+            yield (row := (np.minimum.accumulate(new - steps) + steps).astype("i4"))
+
+    kept = {0: steps} | {k: row for k, row in enumerate(rows_after(steps, 0, len(a)), 1) if k % step == 0}
+    i, j, s, n, d, low, table = len(a), len(b), 0, 0, 0, len(a), [steps]
+    while i:
+        if i <= low:
+            low = (i - 1) // step * step
+            table = [kept[low], *rows_after(kept[low], low, i)]
+        here, up = table[i - low], table[i - low - 1]
+        if j and here[j] == up[j - 1] + (a[i - 1] != b[j - 1]):
             s += int(a[i - 1] != b[j - 1])
             i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
+        elif here[j] == up[j] + 1:
             d, i = d + 1, i - 1
         else:
             n, j = n + 1, j - 1
-    return s, n, d
+    return s, n + j, d
 
 
 def edit_count_column(words: str, others: str):

@@ -13,7 +13,7 @@ from spanline.operators.scoring import seeded_order
 
 from .q_intervals import DER, RATE, SETS, SWEEP, merged
 from .registry import query
-from .tables import SYSTEMS, doc_pairs, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
+from .tables import SYSTEMS, all_pairs, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
 @query()
@@ -24,7 +24,7 @@ def c21_map_tracks(spark, sf):
 
 @query()
 def d36_edit_counts(spark, sf):
-    return doc_pairs(spark, sf).select("doc_id", E.edit_count_column("ref_words", "hyp_words").alias("c"), F.size("ref_words").alias("n")).select("doc_id", "c.*", "n")
+    return all_pairs(spark, sf).select("doc_id", E.edit_count_column("ref_words", "hyp_words").alias("c"), F.size("ref_words").alias("n")).select("doc_id", "c.*", "n")
 
 
 @query()

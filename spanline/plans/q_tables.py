@@ -9,7 +9,7 @@ from spanline.operators import intervals as I
 from spanline.operators import rules as U
 
 from .registry import query
-from .tables import candidates, doc_pairs, eval_cases, frames, reviews, segments, stage_samples, table, turns_by_system, turns_hyp, turns_ref, with_tables
+from .tables import all_pairs, candidates, doc_pairs, eval_cases, frames, reviews, segments, stage_samples, table, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
 def flags(*pairs: tuple[str, str]) -> str:
@@ -137,9 +137,14 @@ def d22_language_time(spark, sf):
 
 
 @query(with_tables("doc_pairs", "SELECT lang, CAST(sum(len(list_filter(range(1, least(len(ref_words), len(hyp_words)) + 1), lambda i: ref_words[i] = hyp_words[i]))) AS BIGINT) AS n_equal, CAST(sum(len(ref_words)) AS BIGINT) AS n_words FROM doc_pairs GROUP BY 1"))
-def d23_token_agreement(spark, sf):
+def d23_token_agreement(spark, sf, pairs=doc_pairs):
     n = F.size(F.filter(F.arrays_zip("ref_words", "hyp_words"), lambda x: x["ref_words"] == x["hyp_words"]))
-    return doc_pairs(spark, sf).groupBy("lang").agg(F.sum(n).alias("n_equal"), F.sum(F.size("ref_words")).alias("n_words"))
+    return pairs(spark, sf).groupBy("lang").agg(F.sum(n).alias("n_equal"), F.sum(F.size("ref_words")).alias("n_words"))
+
+
+@query()
+def d23_token_agreement_whole(spark, sf):
+    return d23_token_agreement(spark, sf, all_pairs)
 
 
 @query(with_tables("segments", "SELECT recording_id, count(*) AS n, count(*) FILTER (language = 'en') AS n_match, count(*) FILTER (language IS NULL) AS n_undetermined FROM segments GROUP BY 1"))

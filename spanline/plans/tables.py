@@ -99,9 +99,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), F.expr("doc_id div 4").alias("group_id"), F.col("doc_id").alias("candidate_id"), (F.col("doc_id") % 5 != 0).alias("eligible"), (F.col("doc_id") % 4 == 0).alias("current"), F.round((F.col("n_chars") % 101) / 101.0, 9).alias("score"))
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against itself with every 7th word left out and every 11th doubled."""
+    return _pairs(table(spark, sf_dir, "documents"))
+
+
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text of up to 2000 characters against itself with every 7th word left out and every 11th doubled."""
-    d = table(spark, sf_dir, "documents").where("n_chars <= 2000").select("doc_id", "lang", F.split(F.regexp_replace("text", "\n", " "), " ").alias("w"))
+    """all_pairs of the texts of up to 2000 characters, as in the SQL below; the queries named `_whole` take all_pairs."""
+    return _pairs(table(spark, sf_dir, "documents").where("n_chars <= 2000"))
+
+
+def _pairs(documents: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", "lang", F.split(F.regexp_replace("text", "\n", " "), " ").alias("w"))
     edited = F.expr("flatten(transform(filter(transform(w, (x, i) -> struct(x AS x, i + 1 AS i)), s -> s.i % 7 <> 0), s -> if(s.i % 11 = 0, array(s.x, s.x), array(s.x))))")
     return d.select("doc_id", "lang", F.col("w").alias("ref_words"), edited.alias("hyp_words"), F.array_join("w", " ").alias("ref_text"), F.array_join(edited, " ").alias("hyp_text"))
 
