@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +74,52 @@ def choose_count(points: DataFrame, counts: range) -> DataFrame:
     return scored.withColumn("chosen", F.row_number().over(top.orderBy(F.desc("score"), "k")) == 1)
 
 
-def leader_groups(points: DataFrame, threshold: float, cells: int = 8) -> DataFrame:
-    """Groups of vectors linked by a cosine of at least the threshold. A vector meets only those that share one of its signs-of-blocks cells; groups come from repeated minima over links."""
-    def signs(k: int) -> Column:
-        return F.xxhash64(F.lit(k), F.transform(F.slice("v", 8 * k + 1, 8), lambda x: (x >= 0).cast("int")))
+#: Vectors of a query block, and of the points that a task compares with it at once.
+BLOCK, CHUNK = 8_192, 512
 
-    cell = points.select("vec_id", "v", F.explode(F.array(*[signs(k) for k in range(cells)])).alias("cell"))
-    l, r = cell.select("cell", F.col("vec_id").alias("a"), F.col("v").alias("va")), cell.select("cell", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    links = l.join(r, "cell").where("a < b").where(cosine("va", "vb") >= threshold).select("a", "b").distinct().cache()
+
+def links_to(ids: np.ndarray, block: np.ndarray, batches, threshold: float):
+    """Links that join the same points as all pairs of cosine at least the threshold between a block of unit vectors and the points of a task: one a point and one a block vector at most."""
+    root = np.arange(len(ids))
+    for batch in batches:
+        own, vectors = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v").flatten().to_numpy().reshape(len(batch), -1)
+        out = []
+        for k in range(0, len(own), CHUNK):
+            near = np.round(vectors[k : k + CHUNK] @ block.T, 12) >= threshold
+            for i in np.flatnonzero(near.any(axis=1)):
+                found = np.unique(root[near[i]])
+                if len(found) > 1:
+                    root[np.isin(root, found)] = found[0]
+                out.append((own[k + i], ids[found[0]]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+    rest = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[rest], pa.int64()), pa.array(ids[root[rest]], pa.int64())], names=["a", "b"])
+
+
+def leader_groups(points: DataFrame, threshold: float, block_rows: int = BLOCK) -> DataFrame:
+    """Groups of vectors linked by a cosine of at least the threshold (above 0), from repeated minima over links.
+
+    Equal vectors count once. The others are dealt into blocks of about `block_rows`; each block in turn is a broadcast that all
+    vectors of this and later blocks are compared with, so every pair is looked at. A zero vector is a group of its own.
+    """
+    spark = points.sparkSession
+    points = cut(points.select(F.col("vec_id").cast("long").alias("vec_id"), "v"))
+    one = points.where(F.exists("v", lambda x: x != 0)).groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    blocks = max(1, -(-one.count() // block_rows))
+    one = cut(one.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")))
+    links = points.join(one.select("v", F.col("vec_id").alias("b")), "v").where("vec_id <> b").select(F.col("vec_id").alias("a"), "b")
+    for k in range(blocks):
+        rows = one.where(F.col("block") == k).select("vec_id", "v").toArrow().combine_chunks()
+        if not len(rows):
+            continue
+        ids = rows.column("vec_id").to_numpy()
+        query = spark.sparkContext.broadcast((ids, np.concatenate([c.flatten().to_numpy() for c in rows.column("v").chunks]).reshape(len(ids), -1)))
+        own = one.where(F.col("block") >= k).select("vec_id", "v").mapInArrow(lambda batches, query=query: links_to(*query.value, batches, threshold), "a long, b long")
+        links = links.unionByName(cut(own.where("a <> b")))
+        query.unpersist()
     label = points.select("vec_id", F.col("vec_id").alias("label"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     while True:
         least = both.join(label.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         new = cut(label.join(least.withColumnRenamed("a", "vec_id"), "vec_id", "left").select("vec_id", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce("m", "label") < F.col("label")).alias("moved")))

@@ -186,3 +186,23 @@ def test_decisions_apply_last_and_count_repeats_once(spark):
     dec = spark.createDataFrame([("d1", 1, "s1", "edit", "new"), ("d1", 1, "s1", "edit", "new"), ("d2", 2, "s1", "accept", None), ("d3", 3, "s2", "reject", None)], "decision_id string, seq int, segment_id string, action string, text string")
     got = {r.segment_id: (r.display_text, r.action, r.n_revisions) for r in R.apply_decisions(seg, dec).collect()}
     assert got == {"s1": ("raw one", "accept", 2), "s2": (None, "reject", 1), "s3": ("raw three", "none", 0)}
+
+
+@pytest.mark.parametrize("block_rows", [37, 8_192])
+def test_leader_groups_equal_brute_force(spark, block_rows):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    vectors = np.concatenate([centres[rng.integers(0, 40, 260)] + rng.normal(size=(260, 64)) * 0.55, np.zeros((2, 64))])
+    vectors[200:230] = vectors[5]  # equal ones
+    ids = rng.permutation(len(vectors)).tolist()
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    near, label = unit @ unit.T >= 0.72, np.array(ids)
+    np.fill_diagonal(near, True)
+    while True:
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    points = K.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>").repartition(3))
+    got = {r.vec_id: r.label for r in K.leader_groups(points, 0.72, block_rows).collect()}
+    assert got == dict(zip(ids, label.tolist())) and 20 < len(set(got.values())) < 200
