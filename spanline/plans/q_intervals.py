@@ -165,6 +165,12 @@ def d8_count_accuracy(spark, sf):
     return D.count_accuracy(turns_ref(spark, sf).where("event_id % 3 = 0"), turns_hyp(spark, sf).where("event_id % 29 = 1"))
 
 
+@query()
+def d8_count_accuracy_whole(spark, sf):
+    """Over all turns of both sides."""
+    return D.count_accuracy(turns_ref(spark, sf), turns_hyp(spark, sf))
+
+
 ONLY = "SELECT recording_id, speaker_id, 'missed' AS kind FROM (SELECT DISTINCT recording_id, speaker_id FROM {r} EXCEPT SELECT DISTINCT recording_id, speaker_id FROM {h}) UNION ALL SELECT recording_id, speaker_id, 'false_alarm' FROM (SELECT DISTINCT recording_id, speaker_id FROM {h} EXCEPT SELECT DISTINCT recording_id, speaker_id FROM {r})"
 
 

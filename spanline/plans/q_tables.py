@@ -245,8 +245,14 @@ def d47_count_prior(spark, sf):
 
 
 @query("SELECT doc_id, n_chars, sha256(text) = sha256(text) AS intact FROM documents WHERE doc_id BETWEEN 100 AND 200")
-def a7_row_access(spark, sf):
+def a7_row_access(spark, sf, wanted="doc_id BETWEEN 100 AND 200"):
     """Rows by id with a check of their content's hash; the id range reaches the scan."""
     d = table(spark, sf, "documents")
     stored = d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    return d.where("doc_id BETWEEN 100 AND 200").join(stored, "doc_id").select("doc_id", "n_chars", (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("intact"))
+    return d.where(wanted).join(stored, "doc_id").select("doc_id", "n_chars", (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("intact"))
+
+
+@query()
+def a7_row_access_whole(spark, sf):
+    """Over every id."""
+    return a7_row_access(spark, sf, "true")
