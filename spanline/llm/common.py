@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """The shared folder is the cluster's own setting; only where there is none (tests) a local one is made."""
+    """The shared folder is the cluster's own setting; only a session in one process may do without, and gets a local one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanline-checkpoint-")
-        context.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="spanline-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*kept: DataFrame) -> None:
+    """Deletes tables made by cut() that nothing reads any more."""
+    for df in kept:
+        context = df.sparkSession.sparkContext
+        for file in {path.rpartition("/")[0] for path in df.inputFiles()}:
+            where = context._jvm.org.apache.hadoop.fs.Path(file)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of docs has it, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df, a kept table, has at most `rows` rows; only then may it be broadcast."""
     return df.count() <= rows

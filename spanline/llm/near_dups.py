@@ -2,12 +2,16 @@
 
 Texts with equal sets of shingles form a class, found by a fingerprint of the whole set; from there on only classes
 are compared, so a group of copies of any size is one row. A class's signature holds the minima of HASHES universal
-hash functions; classes that share a band are candidates. In a bucket every class is compared by signature with the
-smallest one, and those that agree at all (LOOSE) form families. Each family gets a hub, the class nearest to the most
-frequent minima, and every member is compared with it on both full sets. What that leaves open inside a family is
-decided by sizes: with i the part shared with the hub, n the size and b the added shingles, two members share at most
-min(i, i') + |b and b'|; so only members that share some of their rarest added shingles, or that are small enough, can still be
-linked, and only these pairs are verified by signature and confirmed on their full sets. Pairs of a bucket in different families are treated likewise.
+hash functions, one byte of each; classes that share a band of whole minima are candidates. In a bucket every class is
+verified by signature against the smallest one, which forms families; where a bucket still holds several families, its
+signatures meet in blocks, and families with a pair that signatures do not rule out become one. So every candidate
+pair that passes verification lies inside a family.
+
+Each family gets a hub, the class nearest to the most frequent minima, and every member is compared with it on both full
+sets. From then on a member is its difference from the hub, the shingles that only one of both has: two members' sets differ in
+just what their differences do not share, so their similarity follows exactly from sizes and differences. Members
+linked with the hub are one component; all others meet each member of their family in blocks of bounded rows and bytes. A task that
+holds two blocks gives a spanning forest of the links it finds, never all pairs, which leaves every component as it is.
 Links are turned into components by alternating large-star and small-star.
 
 Bands of ROWS minima in BANDS bands miss a pair of similarity 0.8 with probability (1 - 0.8**4)**28, below 1 in 2
@@ -15,7 +19,7 @@ million; a signature of 112 minima that estimates such a pair below 0.6 is 5 sta
 
 Defined cases: a null text or one without words has no shingles and is linked with nothing; a text with fewer words than a
 shingle is one shingle; a null doc_id joins its group, but never names it unless all are null; repeated rows are copies.
-An empty table gives no rows.
+An empty table gives no rows. Extra columns never reach the operator.
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, over_texts, small, texts_of
+from .common import cut, dropped, free_name, over_texts, small, texts_of
 
 ROWS, BANDS = 4, 28
 HASHES = ROWS * BANDS
-LEAST_ESTIMATE, LOOSE = 0.6, 0.45
+LEAST_ESTIMATE = 0.6
 HUB_PLACES = 14
+#: Rows of 32 bytes (fingerprint, doc_id, hash) that are broadcast at most: 6.4 MB.
 BROADCAST_ROWS = 200_000
+#: Members of a block, and shingles of their differences, at most on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 18
 KEPT_WORDS = 100_000
 #: Pairs whose texts are held as Python strings at a time.
 PAIRS_AT_ONCE = 128
@@ -76,16 +83,19 @@ def signature_maker(seed: int = 1):
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, HASHES, dtype="u8") * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, HASHES, dtype="u8")
+    mixers = rng.integers(0, 1 << 63, (BANDS, ROWS), dtype="u8") * np.uint64(2) + np.uint64(1)
 
-    def make(found: np.ndarray) -> bytes:
-        """The minima of (a x + b) mod 2**64, upper half, over a set."""
+    def make(found: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Of the minima of (a x + b) mod 2**64, upper half, over a set: the lowest byte of each, and a 64-bit key of each band."""
         least = np.full(HASHES, 1 << 32, dtype="u8")
         for k in range(0, len(found), 2048):
             values = found[k : k + 2048, None] * a
             values += b
             values >>= np.uint64(32)
             np.minimum(least, values.min(axis=0), out=least)
-        return least.astype("<u4").tobytes()
+        keys = ((least.reshape(BANDS, ROWS) + np.uint64(1)) * mixers).sum(axis=1, dtype="u8")
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return least.astype("u1").tobytes(), keys.view("i8")
 
     return make
 
@@ -95,7 +105,7 @@ def fingerprint(found: np.ndarray) -> bytes | None:
 
 
 def with_fingerprints(docs: DataFrame, words: int, signatures: bool, out: str = "__set") -> DataFrame:
-    """docs with a struct column: n (size of the set), fp (16 bytes, null for an empty set) and, if asked for, the signature."""
+    """docs with a struct column: n (size of the set), fp (16 bytes, null for an empty set) and, if asked for, signature and band keys."""
 
     def work():
         shingles, make = Shingles(words), signature_maker()
@@ -104,12 +114,13 @@ def with_fingerprints(docs: DataFrame, words: int, signatures: bool, out: str =
             sets = [shingles.of(x) for x in texts]
             got = {"n": [len(x) for x in sets], "fp": [fingerprint(x) for x in sets]}
             if signatures:
-                got["sig"] = [make(x) if len(x) else None for x in sets]
+                made = [make(x) if len(x) else (None, None) for x in sets]
+                got |= {"sig": [x for x, _ in made], "bands": [x for _, x in made]}
             return got
 
         return do
 
-    return over_texts(docs, work, "n long, fp binary" + ", sig binary" * signatures, out)
+    return over_texts(docs, work, "n long, fp binary" + ", sig binary, bands array<long>" * signatures, out)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -120,7 +131,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            left, right = (np.array([np.frombuffer(x, dtype="<u4") for x in batch.column(c).to_pylist()]) for c in ("sig_a", "sig_b"))
+            left, right = (np.array([np.frombuffer(x, dtype="u1") for x in batch.column(c).to_pylist()]) for c in ("sig_a", "sig_b"))
             share = (left == right).mean(axis=1)
             good = share >= least
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good)), pa.array(share[good])], names=["a", "b", "estimate"])
@@ -128,10 +139,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, estimate double")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, words: int, added: bool = False) -> DataFrame:
-    """(a, b, n_a, n_b, common) of the pairs on their full sets; added: also the shingles of a that b has not."""
+def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, n_a, n_b, delta) of the pairs on their full sets; delta: the shingles that one of both has."""
     both = pairs.select("a", "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    names = ["a", "b", "n_a", "n_b", "common", "added"]
+    names = ["a", "b", "n_a", "n_b", "delta"]
 
     def run(batches):
         shingles = Shingles(words)
@@ -148,140 +159,214 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, added: bool = False
             got = []
             for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")], strict=True):
                 left, right = of(a, x), of(b, y)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                own = np.setdiff1d(left, right, assume_unique=True).view("i8") if added else np.empty(0, dtype="i8")
-                got.append((a, b, len(left), len(right), common, own))
+                got.append((a, b, len(left), len(right), np.setxor1d(left, right, assume_unique=True).view("i8")))
             if got:
-                kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, n_a long, n_b long, common long, added array<long>")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, n_a long, n_b long, delta array<long>")
 
 
-def linked(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+def lookup(kept: DataFrame) -> DataFrame:
+    """A kept table of two fingerprints or numbers a row, marked to be broadcast if it has no more rows than may be."""
+    return F.broadcast(kept) if small(kept, BROADCAST_ROWS) else kept
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, by alternating large-star and small-star until nothing changes.
+    """(node, root): the smallest node of each node's component, itself included, by alternating large-star and small-star until all are stars.
 
     Each star takes the least neighbour of every node by aggregation and a join, so no task holds the neighbours of a node.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    while before[0]:
+    while edges.join(lookup(cut(edges.select(F.col("v").alias("u")).distinct())), "u", "left_semi").limit(1).count() or edges.groupBy("u").count().where("count > 1").limit(1).count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        edges = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
-        smaller = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        least = lookup(cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        edges = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        kept = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+        smaller = edges.join(lookup(kept), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(smaller.unionByName(kept.select("u", F.col("m").alias("v"))).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(family, hub): the member whose minima are most often the most frequent ones of its family. Counts only, at HUB_PLACES places."""
     step = HASHES // HUB_PLACES
-    places = F.expr(f"explode(transform(sequence(0, {HUB_PLACES - 1}), i -> struct(i AS i, substring(sig, i * {4 * step} + 1, 4) AS v)))")
+    places = F.expr(f"explode(transform(sequence(0, {HUB_PLACES - 1}), i -> struct(i AS i, substring(sig, i * {step} + 1, 1) AS v)))")
     minima = members.join(classes.select("fp", "sig"), "fp").select("family", "fp", places.alias("x")).select("family", "fp", "x.*")
     common = minima.groupBy("family", "i", "v").agg(F.count("*").alias("n")).groupBy("family", "i").agg(F.max(F.struct("n", "v")).alias("m")).select("family", "i", F.col("m.v").alias("v"))
     agreed = minima.join(cut(common), ["family", "i", "v"]).groupBy("family", "fp").agg(F.count("*").alias("n"))
     return agreed.groupBy("family").agg(F.max(F.struct("n", "fp")).alias("m")).select("family", F.col("m.fp").alias("hub"))
 
 
-def open_pairs(diffs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a family in different components that sizes and added shingles do not rule out.
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between numbers, those of a spanning forest."""
+    root: dict[int, int] = {}
 
-    diffs: family, hub, fp, n, i (shared with the hub), added. A link needs common * (100 + percent) >= percent * (n + n'), and
-    common is at most min(i, i') plus the added shingles that both have.
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        u, v = find(x), find(y)
+        if u != v:
+            root[u] = v
+            out.append((x, y))
+    return out
+
+
+def met_in_blocks(rows: DataFrame, key: str, fields: list[str], links, name: str) -> DataFrame:
+    """(a, b): links among the rows of a key, found by blocks; no pair of rows is ever a row.
+
+    A row's `block` is below its key's `blocks`. Blocks below the key's `firsts` meet themselves and all later ones.
+    `links` gets two blocks as lists of rows' struct arrays (the same one twice for a block with itself) and gives the places of linked rows.
     """
-    own = cut(diffs.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    rows = own.select("family", "fp", "n", "i", "root", F.size("added").alias("b"), F.explode("added").alias("shingle"))
-    often = cut(rows.groupBy("family", "shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1"))
-    # A partner has percent of n shingles at least, so at least percent * n - i of the additions are shared: of x's additions,
-    # the rarest first, one of the first b - that + 1 must be among the like first of the partner's.
-    ranked = rows.join(often, ["family", "shingle"], "left").withColumn("place", F.row_number().over(Window.partitionBy("family", "fp").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
-    needed = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("i"), F.lit(1))
-    rows = cut(ranked.where((F.col("place") <= F.col("b") - needed + 1) & (F.col("low") != F.col("high"))).select("family", "shingle", "fp", "n", "i", "b", "root"))
-    left, right = (rows.select("family", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "i", "b", "root")]) for x in "ab")
-    reach = F.least("i_a", "i_b") + F.least("b_a", "b_b")
-    alike = left.join(right, ["family", "shingle"]).where("root_a < root_b").where(reach * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("fp_a", "fp_b").distinct()
-    # Without a shared addition the smaller share i with the hub must do: i <= i' <= n' <= i * (100 + percent) / percent - n.
-    # One of the two is outside the hub's component; sizes n' in that range are joined one by one.
-    centre = diffs.select("family", F.col("hub").alias("node")).distinct().join(roots, "node", "left").select("family", F.coalesce("root", "node").alias("hub_root"))
-    sided = cut(own.join(cut(centre), "family").select("family", "fp", "n", "i", "root", (F.col("root") == F.col("hub_root")).alias("inside")))
-    range_of = sided.groupBy("family").agg(F.max(F.when(~F.col("inside"), F.col("i"))).alias("most_out"), F.min(F.when(F.col("inside"), F.col("i"))).alias("least_in")).where("most_out IS NOT NULL")
-    sided = cut(sided.join(cut(range_of), "family"))
-    most = F.floor(F.col("i") * (100 + percent) / percent) - F.col("n")
-    lower = sided.where("NOT inside OR i <= most_out").where(most >= F.col("i")).select("family", F.col("fp").alias("fp_a"), F.col("i").alias("i_a"), F.col("root").alias("root_a"), F.col("inside").alias("in_a"), F.explode(F.sequence(F.col("i"), most)).alias("n_b"))
-    upper = sided.select("family", F.col("fp").alias("fp_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b"), F.col("inside").alias("in_b"), F.col("n").alias("n_b"))
-    meet = lambda a, b: a.join(b, ["family", "n_b"]).where("i_a <= i_b AND root_a <> root_b").select("fp_a", "fp_b")
-    small_enough = meet(lower.where("NOT in_a"), upper).unionByName(meet(lower.where("in_a"), upper.where("NOT in_b")))
-    both = alike.select("fp_a", "fp_b").unionByName(small_enough.select("fp_a", "fp_b"))
-    return both.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
+    made = cut(rows.groupBy(key, "blocks", "firsts", "block").agg(F.collect_list(F.struct(name, *fields)).alias("own")))
+    alone = made.where("block < firsts").select(F.col("own").alias("left"), F.lit(None).cast(made.schema["own"].dataType).alias("right"))
+    ahead = made.where("block < firsts AND block + 1 < blocks").select(key, F.col("own").alias("left"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"))
+    across = ahead.join(made.where("blocks > 1").select(key, "block", F.col("own").alias("right")), [key, "block"]).select("left", "right")
+
+    def run(batches):
+        for batch in batches:
+            lefts, rights = batch.column("left"), batch.column("right")
+            for k in range(len(batch)):
+                left = lefts[k].values
+                right = rights[k].values if rights[k].is_valid else None
+                a, b = links(left, left if right is None else right)
+                if right is None:
+                    a, b = a[a < b], b[a < b]
+                pairs = forest(a, b if right is None else b + len(left))
+                if not pairs:
+                    continue
+                names = left.field(name) if right is None else pa.concat_arrays([left.field(name), right.field(name)])
+                x, y = (names.take(pa.array(side)) for side in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+
+    return alone.unionByName(across).mapInArrow(run, "a binary, b binary")
+
+
+def alike(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows whose signatures agree in LEAST_ESTIMATE of their minima."""
+    sigs = [np.frombuffer(b"".join(x.field("sig").to_pylist()), dtype="u1").reshape(len(x), HASHES) for x in (left, right)]
+    found = []
+    for k in range(0, len(left), 64):
+        share = (sigs[0][k : k + 64, None] == sigs[1][None]).sum(axis=2)
+        a, b = np.nonzero(share >= LEAST_ESTIMATE * HASHES)
+        found.append((a + k, b))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def linked_by_differences(percent: int):
+    """Gives places of rows that are linked: sets of sizes n and n' whose differences from one hub share s shingles differ in |d| + |d'| - 2 s."""
+
+    def links(left: pa.StructArray, right: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        sizes, counts, flat, owner = [], [], [], []
+        for x in (left, right):
+            delta = x.field("delta")
+            sizes.append(x.field("n").to_numpy())
+            counts.append(np.diff(delta.offsets.to_numpy()))
+            flat.append(delta.flatten().to_numpy())
+            owner.append(np.repeat(np.arange(len(x)), counts[-1]))
+        both = np.intersect1d(flat[0], flat[1])
+        shared = np.zeros((len(left), len(right)), dtype="f4")
+        keep = [np.isin(f, both) for f in flat]
+        for k in range(0, len(both), 4096):
+            part = both[k : k + 4096]
+            hot = []
+            for f, o, good, rows in zip(flat, owner, keep, (len(left), len(right)), strict=True):
+                at = np.searchsorted(part, f)
+                own = good & (at < len(part)) & (f >= part[0]) & (f <= part[-1])
+                dense = np.zeros((rows, len(part)), dtype="f4")
+                dense[o[own], at[own]] = 1
+                hot.append(dense)
+            shared += hot[0] @ hot[1].T
+        apart = counts[0][:, None] + counts[1][None] - 2 * shared.astype("i8")
+        total = sizes[0][:, None] + sizes[1][None]
+        common = (total - apart) // 2
+        return np.nonzero((common > 0) & (100 * common >= percent * (total - common)))
+
+    return links
+
+
+def blocks_of(count: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(count / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES))
+
+
+def in_blocks(rows: DataFrame, key: str, apart: Column, size: Column) -> DataFrame:
+    """rows of the keys that have rows with `apart`, dealt into blocks: first those with it, then the others."""
+    total = lambda x, where: F.coalesce(F.sum(F.when(where, x)), F.lit(0))
+    counts = rows.groupBy(key).agg(*[total(x, where).alias(n) for n, x, where in (("n_first", F.lit(1), apart), ("s_first", size, apart), ("n_rest", F.lit(1), ~apart), ("s_rest", size, ~apart))])
+    sizes = counts.where("n_first > 0 AND n_first + n_rest > 1").select(key, blocks_of(F.col("n_first"), F.col("s_first")).alias("firsts"), blocks_of(F.col("n_rest"), F.col("s_rest")).alias("rests"))
+    sizes = cut(sizes.select(key, "firsts", (F.col("firsts") + F.col("rests")).alias("blocks")))
+    block = F.when(apart, F.expr("pmod(xxhash64(fp), firsts)")).otherwise(F.expr("firsts + pmod(xxhash64(fp), greatest(blocks - firsts, 1))"))
+    return rows.join(lookup(sizes), key).withColumn("block", block)
+
+
+def families_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, family): classes that verified candidate pairs connect. members: key, fp, rep of every bucket of several classes."""
+    others = members.where("fp <> rep")
+    near = cut(estimated(others.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), classes, LEAST_ESTIMATE).select("a", "b"))
+    # where a bucket's least class does not stand for all others, those it doesn't meet each other and the rest
+    marked = cut(others.join(lookup(near), (F.col("fp") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select("key", "fp", F.col("a").isNull().alias("far")))
+    rows = in_blocks(marked, "key", F.col("far"), F.lit(0)).join(classes.select("fp", "sig"), "fp")
+    more = met_in_blocks(rows, "key", ["sig"], alike, "fp")
+    return components(near.unionByName(more)).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+
+
+def links_of(families: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links, confirmed on full sets, that connect just what all links of a family connect."""
+    hub = cut(families.join(lookup(cut(hubs(families, classes))), "family"))
+    measured = cut(compared(hub.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")), texts, words))
+    common = (F.col("n_a") + F.col("n_b") - F.size("delta")) / 2
+    near_hub = (common > 0) & (100 * common >= percent * (F.col("n_a") + F.col("n_b") - common))
+    # a family is known by its hub; those not linked with it meet each other and the linked ones
+    rows = measured.select(F.col("b").alias("hub"), F.col("a").alias("fp"), F.col("n_a").alias("n"), "delta", near_hub.alias("near"))
+    rows = in_blocks(rows, "hub", ~F.col("near"), F.size("delta"))
+    return measured.where(near_hub).select("a", "b").unionByName(met_in_blocks(rows, "hub", ["n", "delta"], linked_by_differences(percent), "fp"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, th (hash of the text), fp, component_id and kept of every row."""
     slim = texts_of(docs).withColumn("th", F.xxhash64("text"))
     rows = cut(with_fingerprints(slim, words, True).select("doc_id", "th", "__set.*"))
-    classes = cut(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("at")))
-    bands = classes.select("fp", F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}))))").alias("key"))
+    classes = cut(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "th")).alias("at")))
+    bands = classes.select("fp", F.explode("bands").alias("key"))
     buckets = cut(bands.groupBy("key").agg(F.min("fp").alias("rep"), F.count("*").alias("n")).where("n > 1"))
     members = cut(bands.join(buckets.select("key", "rep"), "key"))
-    near = cut(estimated(members.where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct(), classes, LOOSE).select("a", "b"))
-
-    inside = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
-    families = components(near).select(F.col("node").alias("fp"), F.col("root").alias("family"))
-    families = cut(inside.join(families, "fp", "left").select("fp", F.coalesce("family", "fp").alias("family")))
+    families = cut(families_of(members, classes))
 
-    # one text of each class that shares a bucket with another
-    need = cut(classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("at.doc_id").alias("__doc"), F.col("at.th").alias("__th")))
+    # one text of each class that is in a family
+    need = cut(classes.join(families.select("fp"), "fp", "left_semi").select("fp", F.col("at.doc_id").alias("__doc"), F.col("at.th").alias("__th")))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))
     texts = slim.join(F.broadcast(need) if small(need, BROADCAST_ROWS) else need, same).select("fp", "text").groupBy("fp").agg(F.first("text").alias("text"))
     texts = cut(texts)
+    links = cut(links_of(families, classes, texts, words, percent))
+    dropped(buckets, members, need, texts)
 
-    to_hub = cut(families.join(cut(hubs(families, classes)), "family"))
-    measured = cut(compared(to_hub.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")), texts, words, added=True))
-    links = cut(linked(measured, percent))
-    roots = components(links)
-
-    diffs = to_hub.join(measured.select(F.col("a").alias("fp"), F.col("n_a").alias("n"), F.col("common").alias("i"), "added"), "fp").select("family", "hub", "fp", "n", "i", "added")
-    more = open_pairs(diffs, roots, percent)
-
-    # pairs of a bucket in different families
-    placed = cut(members.select("key", "fp").join(families, "fp", "left").withColumn("family", F.coalesce("family", "fp")))
-    mixed = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("key")
-    placed = cut(placed.join(cut(mixed), "key", "left_semi"))
-    left, right = (placed.select("key", F.col("fp").alias(x), F.col("family").alias(f"family_{x}")) for x in ("a", "b"))
-    cross = left.join(right, "key").where("family_a < family_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    more = cut(estimated(more.unionByName(cross).distinct(), classes, LEAST_ESTIMATE))
-    if more.limit(1).count():
-        links = links.unionByName(linked(compared(more, texts, words), percent))
-        roots = components(links)
-    named = cut(classes.select("fp", "least_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    ids = cut(named.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    named = cut(named.join(ids, "root").select("fp", "component_id"))
+    roots = cut(components(links).select(F.col("node").alias("fp"), "root"))
+    own = classes.select("fp", "least_id").join(lookup(roots), "fp", "left")
+    ids = cut(own.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("of_root")))
+    named = cut(own.join(lookup(ids), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("of_root")).alias("component_id")))
     out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", "th", "fp", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their groups; of repeated rows one stays, and a group without any doc_id keeps its rows of no doc_id, each text once."""
+    """The rows of docs, with all their columns, that stand for their groups; of repeated rows one stays, and a group without any doc_id keeps its rows of no doc_id, each text once.
+
+    A null or empty text is a group of its own, so its row stays; an empty table stays empty; columns of any name are kept as they are.
+    """
     found = near_duplicates(docs, words, percent).where("kept OR component_id IS NULL")
-    winners = found.groupBy("doc_id", "fp", F.when(F.col("fp").isNull(), F.col("th"))).agg(F.min("th").alias("th"), F.count("*").alias("__n"))
-    winners = cut(winners.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__n"))
-    text = F.col("text").cast("string")
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__own", F.xxhash64(text))
-    same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__th"))
+    own_id, own_th, doc, th, n = (free_name(docs, f"__{x}") for x in ("id", "own", "doc", "th", "n"))
+    winners = found.groupBy("doc_id", "fp", F.when(F.col("fp").isNull(), F.col("th"))).agg(F.min("th").alias("th"), F.count("*").alias("n"))
+    winners = cut(winners.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("n").alias(n)))
+    marked = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_th, F.xxhash64(F.col("text").cast("string")))
+    same = F.col(own_id).eqNullSafe(F.col(doc)) & (F.col(own_th) == F.col(th))
     joined = marked.join(F.broadcast(winners) if small(winners, BROADCAST_ROWS) else winners, same)
-    single = joined.where("__n = 1").select(*docs.columns)
-    several = joined.where("__n > 1").dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    single = joined.where(F.col(n) == 1).select(*kept)
+    several = joined.where(F.col(n) > 1).dropDuplicates([own_id, own_th]).select(*kept)
     return single.unionByName(several)
