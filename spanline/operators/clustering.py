@@ -30,15 +30,20 @@ def assigned(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
     return points.withColumn("b", F.array_max(ways)).select("vec_id", "v", (-F.col("b.k")).alias("cluster"), F.col("b.s").alias("similarity"))
 
 
+def mean_vectors(points: DataFrame) -> dict[int, list[float]]:
+    """Mean vector of each cluster."""
+    sums = points.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    return {r.cluster: list(r.v) for r in sums.collect()}
+
+
 def centroids_of(points: DataFrame) -> dict[int, list[float]]:
     """Normalised mean vector of each cluster."""
-    sums = points.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return {r.cluster: (np.array(r.v) / max(np.linalg.norm(r.v), 1e-12)).round(12).tolist() for r in sums.collect()}
+    return {c: (np.array(v) / max(np.linalg.norm(v), 1e-12)).round(12).tolist() for c, v in mean_vectors(points).items()}
 
 
 def spherical_kmeans(points: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, list[list[float]]]:
     """Farthest-first start from the smallest id, then assignment and mean until nothing moves; an empty cluster takes the point farthest from its own."""
-    points = points.cache()
+    points = cut(points)
     centres = [points.orderBy("vec_id").first().v]
     while len(centres) < k:
         nearest = assigned(points, centres).orderBy("similarity", "vec_id").first()
@@ -55,11 +60,34 @@ def spherical_kmeans(points: DataFrame, k: int, rounds: int = 10) -> tuple[DataF
 
 
 def cluster_quality(points: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """Compactness, centroid silhouette and sizes of a clustering."""
+    """Measures of a clustering of unit vectors: compactness, centroid silhouette, Calinski-Harabasz, Davies-Bouldin, least distance of centroids, and the share of vectors in clusters of fewer than a tenth of the mean size.
+
+    Vectors are summed up by cluster; only the clusters' sizes, sums and mean distances come to the driver.
+    """
     ways = F.transform(literal(centres), lambda c: dot(F.col("v"), c))
     other = F.array_max(F.filter(ways, lambda s, k: k != F.col("cluster")))
     a, b = 1 - F.col("similarity"), 1 - other
-    return points.select("cluster", "similarity", ((b - a) / F.greatest(a, b, F.lit(1e-12))).alias("sil")).agg(F.lit(len(centres)).alias("k"), F.count_distinct("cluster").alias("n_clusters"), F.round(F.avg("similarity"), 6).alias("compactness"), F.round(F.avg("sil"), 6).alias("silhouette"))
+    k, middle = len(centres), np.array(centres)
+    means = {c: np.array(v) for c, v in mean_vectors(points).items()}
+    own = F.element_at(literal([means.get(c, middle[c]).tolist() for c in range(k)]), (F.col("cluster") + 1).cast("int"))
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, z: s + z)
+    rows = points.select("cluster", "similarity", ((b - a) / F.greatest(a, b, F.lit(1e-12))).alias("sil"), apart(F.col("v"), own).alias("d"))
+    per = {r.cluster: r for r in rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("similarity").alias("near"), F.sum("sil").alias("sil"), F.sum("d").alias("d"), F.sum(F.sqrt("d")).alias("root")).collect()}
+    n = sum(r.n for r in per.values())
+    m = sorted(per)
+    whole = sum(per[c].n * means[c] for c in m) / max(n, 1)
+    between, within = sum(per[c].n * float(((means[c] - whole) ** 2).sum()) for c in m), sum(per[c].d for c in m)
+    spread = {c: per[c].root / per[c].n for c in m}
+    gap = {(x, y): float(np.linalg.norm(means[x] - means[y])) for x in m for y in m if x != y}
+    several = len(m) > 1
+    out = {
+        "k": k, "n_clusters": len(m), "compactness": sum(r.near for r in per.values()) / max(n, 1), "silhouette": sum(r.sil for r in per.values()) / max(n, 1),
+        "calinski_harabasz": between / (len(m) - 1) / max(within / max(n - len(m), 1), 1e-12) if several else None,
+        "davies_bouldin": sum(max((spread[x] + spread[y]) / max(gap[x, y], 1e-12) for y in m if y != x) for x in m) / len(m) if several else None,
+        "separation": min(gap.values()) if several else None, "fragmentation": sum(r.n for r in per.values() if 10 * r.n * len(m) < n) / max(n, 1),
+    }
+    kinds = ", ".join(f"{name} {'int' if name == 'k' else 'long' if name == 'n_clusters' else 'double'}" for name in out)
+    return points.sparkSession.createDataFrame([tuple(round(x, 6) if isinstance(x, float) else x for x in out.values())], kinds)
 
 
 def choose_count(points: DataFrame, counts: range) -> DataFrame:
@@ -206,18 +234,21 @@ def consensus_labels(grid: DataFrame, least: int = 2) -> DataFrame:
     return best.where(clear).select("recording_id", "frame", F.col("b.speaker_id").alias("speaker_id"), F.col("b.n").alias("n_systems"))
 
 
-def merge_runs(pairs: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
-    """Greedy merging by rounds: in each, every group takes its best partner if they choose each other and score enough; all recordings go on at once.
+def merge_runs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Greedy merging by rounds until none merges: in each, every group takes its best partner if they choose each other and score enough; all recordings go on at once.
 
     pairs: (key, a, b, score). Gives (key, member, label).
     """
     nodes = pairs.select("key", F.col("a").alias("member")).unionByName(pairs.select("key", F.col("b").alias("member"))).distinct()
-    label = nodes.withColumn("label", F.col("member"))
-    for _ in range(rounds):
+    label, pairs = cut(nodes.withColumn("label", F.col("member"))), cut(pairs)
+    while True:
         l, r = label.select("key", F.col("member").alias("a"), F.col("label").alias("la")), label.select("key", F.col("member").alias("b"), F.col("label").alias("lb"))
         groups = pairs.join(l, ["key", "a"]).join(r, ["key", "b"]).where("la <> lb").groupBy("key", F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.round(F.avg("score"), 9).alias("s")).where(F.col("s") >= least)
-        ways = groups.select("key", F.col("x").alias("g"), F.col("y").alias("o"), "s").unionByName(groups.select("key", F.col("y").alias("g"), F.col("x").alias("o"), "s"))
-        best = ways.groupBy("key", "g").agg(F.max(F.struct("s", (-F.col("o")).alias("o"))).alias("b")).select("key", "g", (-F.col("b.o")).alias("o"))
+        groups = groups.withColumn("tie", F.xxhash64("key", "x", "y"))  # ties by a hash of the pair, so that long rows of equal scores merge at many places at once
+        ways = groups.select("key", F.col("x").alias("g"), F.col("y").alias("o"), "s", "tie").unionByName(groups.select("key", F.col("y").alias("g"), F.col("x").alias("o"), "s", "tie"))
+        best = ways.groupBy("key", "g").agg(F.max(F.struct("s", "tie", "o")).alias("b")).select("key", "g", "b.o")
         mutual = best.alias("p").join(best.alias("q"), F.expr("p.key = q.key AND p.g = q.o AND p.o = q.g AND p.g > p.o")).select("p.key", F.col("p.g").alias("label"), F.col("p.o").alias("to"))
+        mutual = cut(mutual)
+        if not mutual.limit(1).count():
+            return label
         label = cut(label.join(mutual, ["key", "label"], "left").select("key", "member", F.coalesce("to", "label").alias("label")))
-    return label

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import boundaries, edges, merge_turns, nearest, overlap_join
 
-#: Speakers on the smaller side up to which the best one-to-one map is searched exactly.
-MOST_SPEAKERS = 12
-
 
 def speaking_time(turns: DataFrame) -> DataFrame:
     """Union time, number of runs and share of each speaker."""
@@ -36,24 +33,39 @@ def mutual_best(matrix: DataFrame, least_ratio: float = 0.5, least_ms: int = 100
 
 
 def best_assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
-    """The one-to-one map of most weight, by dynamic programming over subsets of the smaller side."""
-    if not weights or not weights[0]:
+    """The one-to-one map of most weight: rows enter one by one along shortest augmenting paths over prices, in time cubic in the speakers. Pairs without weight stay apart."""
+    w = np.maximum(np.array(weights, dtype="f8"), 0)
+    if not w.size:
         return []
-    turned = len(weights) < len(weights[0])
-    w = [list(x) for x in zip(*weights, strict=True)] if turned else weights  # rows: the larger side
-    n = len(w[0])
-    if n > MOST_SPEAKERS:
-        raise ValueError(f"more than {MOST_SPEAKERS} speakers on both sides")
-    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    for r, row in enumerate(w):
-        new = dict(best)
-        for mask, (total, pairs) in best.items():
-            for c in range(n):
-                if not mask >> c & 1 and row[c] > 0 and (total + row[c] > new.get(mask | 1 << c, (-1.0, ()))[0]):
-                    new[mask | 1 << c] = (total + row[c], (*pairs, (r, c)))
-        best = new
-    pairs = max(best.values(), key=lambda x: x[0])[1]
-    return [(c, r) if turned else (r, c) for r, c in pairs]
+    turned = w.shape[0] > w.shape[1]
+    cost = -(w.T if turned else w)
+    n, m = cost.shape
+    row_price, price = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)  # the row that has a column
+    for new in range(n):
+        # distances to columns from the new row; scanned ones are final
+        distance, before, scanned = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
+        row, column, reached = new, -1, 0.0
+        while True:
+            through = reached + cost[row] - row_price[row] - price
+            nearer = ~scanned & (through < distance)
+            distance[nearer], before[nearer] = through[nearer], column
+            column = int(np.where(scanned, np.inf, distance).argmin())
+            reached = distance[column]
+            scanned[column] = True
+            if owner[column] < 0:
+                break
+            row = owner[column]
+        row_price[new] += reached
+        inner = np.flatnonzero(scanned & (owner >= 0))
+        row_price[owner[inner]] += reached - distance[inner]
+        price[scanned] -= reached - distance[scanned]
+        while column >= 0:  # shift owners back along the path
+            last = before[column]
+            owner[column] = new if last < 0 else owner[last]
+            column = last
+    pairs = [(int(r), c) for c, r in enumerate(owner) if r >= 0 and cost[r, c] < 0]
+    return sorted((c, r) if turned else (r, c) for r, c in pairs)
 
 
 def optimal_map(matrix: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins of several kinds of evidence: track mapping, token projection, edit counts, attributed error rates, snapped cuts, proposals."""
+"""Joins of several kinds of evidence: track mapping, token projection, edit counts, attributed and time-constrained error rates, point matching, snapped cuts, proposals."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanline.functions.text import token_distance
-from spanline.lineage import cut
 
 from .diarization import optimal_map, relabel
 from .intervals import overlap_join, overlap_matrix
 from .review import bounded_batches
+from .windows import by_group
 
 COUNTS = T.StructType([T.StructField("substituted", T.LongType()), T.StructField("inserted", T.LongType()), T.StructField("deleted", T.LongType())])
 
@@ -67,35 +67,111 @@ def edit_count_column(words: str, others: str):
     return F.pandas_udf(run, COUNTS)(words, others)
 
 
+def streams(words: DataFrame, who: str, name: str) -> DataFrame:
+    """The words of each speaker of a recording (recording_id, speaker_id, turn, words) in order of turns."""
+    return words.groupBy("recording_id", F.col("speaker_id").alias(who)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "words"))), lambda x: x["words"])).alias(name))
+
+
+def error_rate_of(ref: DataFrame, hyp: DataFrame, saved: DataFrame, name: str) -> DataFrame:
+    """Errors and rate by recording: all words of both sides less what the mapped streams save (recording_id, saved); unmapped words are all wrong."""
+    n = lambda df, w, out: df.groupBy("recording_id").agg(F.sum(F.size(w)).alias(out))
+    both = n(ref, "r", "n_ref").join(n(hyp, "h", "n_hyp"), "recording_id", "full_outer").join(saved.groupBy("recording_id").agg(F.sum("saved").alias("saved")), "recording_id", "left").fillna(0)
+    errors = F.col("n_ref") + F.col("n_hyp") - F.col("saved")
+    return both.select("recording_id", "n_ref", errors.alias("errors"), F.round(F.when(F.col("n_ref") > 0, errors / F.col("n_ref")), 9).alias(name))
+
+
 def concatenated_error_rate(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """Word errors of the best one-to-one map of speakers' whole word streams (recording_id, speaker_id, turn, words)."""
-    stream = lambda df, who, w: df.groupBy("recording_id", F.col("speaker_id").alias(who)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "words"))), lambda x: x["words"])).alias(w))
-    r, h = stream(ref, "ref_speaker", "r"), stream(hyp, "hyp_speaker", "h")
+    r, h = streams(ref, "ref_speaker", "r"), streams(hyp, "hyp_speaker", "h")
     d = r.join(h, "recording_id").select("recording_id", "ref_speaker", "hyp_speaker", (F.size("r") + F.size("h") - token_distance("r", "h")).cast("long").alias("overlap_ms"))
-    saved = optimal_map(d).groupBy("recording_id").agg(F.sum("overlap_ms").alias("saved"))
-    n = lambda df, w, name: df.groupBy("recording_id").agg(F.sum(F.size(w)).alias(name))
-    both = n(r, "r", "n_ref").join(n(h, "h", "n_hyp"), "recording_id").join(saved, "recording_id", "left").fillna(0)
-    errors = F.col("n_ref") + F.col("n_hyp") - F.col("saved")
-    return both.select("recording_id", "n_ref", errors.alias("errors"), F.round(F.when(F.col("n_ref") > 0, errors / F.col("n_ref")), 9).alias("cpwer"))
+    return error_rate_of(r, h, optimal_map(d).withColumnRenamed("overlap_ms", "saved"), "cpwer")
 
 
-def match_points(ref: DataFrame, hyp: DataFrame, rounds: int = 4) -> DataFrame:
-    """Pairs of points (recording_id, t) that choose each other as nearest, repeated on what is left."""
-    def neighbour(points: DataFrame, others: DataFrame, name: str) -> DataFrame:
-        both = points.withColumn("o", F.lit(None).cast("long")).unionByName(others.withColumn("o", F.col("t")))
-        order = Window.partitionBy("recording_id").orderBy("t", F.col("o").isNull())
-        before, after = F.last("o", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("o", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-        near = F.when(after.isNull() | (F.col("t") - before <= after - F.col("t")), before).otherwise(after)
-        return both.withColumn(name, F.coalesce(near, after)).where(F.col("o").isNull() & F.col(name).isNotNull()).select("recording_id", "t", name)
+def attributed_error_rate(ref: DataFrame, hyp: DataFrame, ref_turns: DataFrame, hyp_turns: DataFrame) -> DataFrame:
+    """Word errors where speakers are mapped by their common time, whatever they say."""
+    r, h = streams(ref, "ref_speaker", "r"), streams(hyp, "hyp_speaker", "h")
+    mapped = optimal_map(overlap_matrix(ref_turns, hyp_turns)).select("recording_id", "ref_speaker", "hyp_speaker")
+    saved = mapped.join(r, ["recording_id", "ref_speaker"]).join(h, ["recording_id", "hyp_speaker"]).select("recording_id", (F.size("r") + F.size("h") - token_distance("r", "h")).alias("saved"))
+    return error_rate_of(r, h, saved, "sawer")
+
+
+def timed_words(segments: DataFrame) -> DataFrame:
+    """recording_id, speaker_id, turn, words: each word with its share of the segment's time by characters (w, a, b)."""
+    sizes = "transform(words, w -> greatest(char_length(w), 1))"
+    share = f"""transform(words, (w, i) -> struct(w AS w,
+        start_ms + (end_ms - start_ms) * aggregate(slice({sizes}, 1, i), 0, (x, y) -> x + y) / aggregate({sizes}, 0, (x, y) -> x + y) AS a,
+        start_ms + (end_ms - start_ms) * aggregate(slice({sizes}, 1, i + 1), 0, (x, y) -> x + y) / aggregate({sizes}, 0, (x, y) -> x + y) AS b))"""
+    return segments.select("recording_id", "speaker_id", "turn", F.expr(share).alias("words"))
+
+
+def constrained_distance(words: list, starts: list, ends: list, others: list, points: list, collar: float) -> int:
+    """Edit distance where two words may stand against each other only if the other's point lies in the word's time, widened by the collar."""
+    ids: dict = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], dtype="i8") for x in (words, others))
+    at = np.array(points, dtype="f8")
+    steps = np.arange(len(b) + 1, dtype="i8")
+    row = steps.copy()
+    for k, (w, low, high) in enumerate(zip(a, starts, ends, strict=True), 1):
+        step = np.where((at >= low - collar) & (at <= high + collar), b != w, 2)  # 2: as leaving one out and putting one in
+        row = np.minimum.accumulate(np.minimum(row + 1, np.concatenate(([k], row[:-1] + step))) - steps) + steps
+    return int(row[-1])
+
 
-    out, a, b = None, cut(ref.distinct()), cut(hyp.distinct())
-    for _ in range(rounds):
-        x, y = neighbour(a, b, "h"), neighbour(b, a, "r")
-        pairs = cut(x.select("recording_id", F.col("t").alias("r"), "h").join(y.select("recording_id", F.col("t").alias("h"), "r"), ["recording_id", "r", "h"]))
-        out = pairs if out is None else out.unionByName(pairs)
-        a = a.join(pairs.select("recording_id", F.col("r").alias("t")), ["recording_id", "t"], "left_anti")
-        b = b.join(pairs.select("recording_id", F.col("h").alias("t")), ["recording_id", "t"], "left_anti")
-    return out
+def time_constrained_error_rate(ref: DataFrame, hyp: DataFrame, collar_ms: float = 5_000) -> DataFrame:
+    """Word errors of the best one-to-one map of speakers where words match only near in time; both sides as timed_words gives them."""
+    r, h = streams(ref, "ref_speaker", "r"), streams(hyp, "hyp_speaker", "h")
+
+    def saved(words: pd.Series, starts: pd.Series, ends: pd.Series, others: pd.Series, points: pd.Series) -> pd.Series:
+        return pd.Series([len(w) + len(o) - constrained_distance(list(w), s, e, list(o), p, collar_ms) for w, s, e, o, p in zip(words, starts, ends, others, points, strict=True)], dtype="int64")
+
+    saved.__annotations__ = dict.fromkeys(("words", "starts", "ends", "others", "points", "return"), pd.Series)
+    middle = F.transform("h", lambda x: (x["a"] + x["b"]) / 2)
+    d = r.join(h, "recording_id").select("recording_id", "ref_speaker", "hyp_speaker", F.pandas_udf(saved, "long")(F.col("r.w"), F.col("r.a"), F.col("r.b"), F.col("h.w"), middle).alias("overlap_ms"))
+    return error_rate_of(r, h, optimal_map(d).withColumnRenamed("overlap_ms", "saved"), "tcpwer")
+
+
+def matched_in_order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a one-to-one match of two sorted rows of points with the least sum of distances, every point of the shorter one matched.
+
+    Row by row of the table of least sums; every step-th row is kept and those between are made again on the way back.
+    """
+    turned = len(a) > len(b)
+    few, many = (b, a) if turned else (a, b)
+    far = np.int64(1) << 60
+    step = math.isqrt(len(few)) + 1
+
+    def rows_after(row: np.ndarray, k: int, stop: int):
+        for k in range(k, stop):
+            best = np.minimum.accumulate(np.minimum(row[:-1] + np.abs(many - few[k]), far))
+            yield (row := np.concatenate(([far], best)))
+
+    first = np.zeros(len(many) + 1, dtype="i8")
+    kept = {0: first} | {k: row for k, row in enumerate(rows_after(first, 0, len(few)), 1) if k % step == 0}
+    places, low, table, column = np.empty(len(few), dtype="i8"), len(few), [first], len(many)
+    for k in range(len(few), 0, -1):
+        if k <= low:
+            low = (k - 1) // step * step
+            table = [kept[low], *rows_after(kept[low], low, k)]
+        here, before = table[k - low], table[k - low - 1]
+        taken = np.flatnonzero(before[:column] + np.abs(many[:column] - few[k - 1]) == here[1 : column + 1])
+        column = int(taken[-1]) + 1
+        places[k - 1] = column - 1
+        column -= 1
+    mine = np.arange(len(few))
+    return (places, mine) if turned else (mine, places)
+
+
+def match_points(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Pairs (recording_id, r, h) of points (recording_id, t): one to one with the least sum of distances, all points of a recording's shorter side matched."""
+    both = ref.select("recording_id", "t", F.lit(True).alias("ref")).unionByName(hyp.select("recording_id", "t", F.lit(False).alias("ref")))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        r, h = (np.sort(part.loc[part["ref"] == side, "t"].to_numpy()) for side in (True, False))
+        i, j = matched_in_order(r, h)
+        return pd.DataFrame({"recording_id": part["recording_id"].iloc[0], "r": r[i], "h": h[j]})
+
+    kind = dict(ref.dtypes)["recording_id"]
+    return both.groupBy("recording_id").applyInPandas(solve, f"recording_id {kind}, r long, h long")
 
 
 def snapped_cuts(spans: DataFrame, changes: DataFrame, parts: int, radius: int) -> DataFrame:
@@ -155,21 +231,28 @@ def bounded_cues(cues: DataFrame, durations: DataFrame) -> DataFrame:
 
 
 def thinned(windows: DataFrame, keys: list[str], spacing: int) -> DataFrame:
-    """Windows in order, each kept if its middle lies far enough from the last kept one; a fold for each key."""
-    rows = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("rows"))
-    last = "try_element_at(done, -1)"
-    far = f"size(done) = 0 OR (s.start_ms + s.end_ms) div 2 - ({last}.start_ms + {last}.end_ms) div 2 >= {spacing}"
-    kept = F.expr(f"aggregate(rows, cast(array() AS array<struct<start_ms: bigint, end_ms: bigint>>), (done, s) -> if({far}, concat(done, array(s)), done))")
-    return rows.select(*keys, F.inline(kept))
-
-
-def keyword_spans(docs: DataFrame, pattern: str, most: int) -> DataFrame:
-    """The longest keyword spans of each text that do not overlap, at most `most`: a fold over spans, longest first."""
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("k", "word"), "text")
-    spans = words.select("doc_id", F.length("word").alias("n"), F.expr("instr(text, word)").alias("at"))
-    rows = spans.distinct().groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "n"))), 1, 8 * most).alias("rows"))
-    free = "NOT exists(done, d -> s.at < d.at + d.n AND d.at < s.at + s.n)"
-    kept = F.expr(f"aggregate(rows, cast(array() AS array<struct<at: int, n: int>>), (done, s) -> if(size(done) < {most} AND {free}, concat(done, array(struct(s.at AS at, s.n AS n))), done))")
-    return rows.select("doc_id", F.inline(kept))
-
-
+    """Windows in order, each kept if its middle lies far enough from the last kept one."""
+
+    def keep(rows):
+        last = None
+        for s, e in rows:
+            middle = (s + e) // 2
+            if last is None or middle - last >= spacing:
+                last = middle
+                yield s, e
+
+    return by_group(windows.select(*keys, "start_ms", "end_ms").distinct(), keys, ["start_ms", "end_ms"], keep, "start_ms long, end_ms long")
+
+
+def keyword_spans(docs: DataFrame, words: str, keyword: str, most: int) -> DataFrame:
+    """(doc_id, at, n): the longest `most` keywords of each text, the first ones of equal length; at: place in characters, from 1.
+
+    A place is the length of all words and of what stands between them before; no text goes beyond the row it is read from.
+    """
+    between, found = F.split("text", words), F.regexp_extract_all("text", F.lit(words), F.lit(0))
+    parts = F.arrays_zip(F.transform(found, lambda x: F.when(x.rlike(f"^(?:{keyword})$"), F.length(x)).otherwise(0)).alias("key"), F.transform(found, F.length).alias("n"), F.transform(between, F.length).alias("gap"))
+    rows = docs.select("doc_id", F.posexplode(parts).alias("k", "x")).where("x.n IS NOT NULL").select("doc_id", "k", "x.key", "x.n", "x.gap")
+    before = F.sum(F.col("n") + F.col("gap")).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    keys = rows.withColumn("at", (before + 1).cast("int")).where("key > 0")
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("key"), "at"))
+    return keys.withColumn("place", best).where(F.col("place") <= most).select("doc_id", "at", "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import folded
+from .windows import by_group
 
 
 def review_queue(segments: DataFrame, low: float = 0.3, long_ms: int = 60_000) -> DataFrame:
@@ -74,12 +74,18 @@ def cues(segments: DataFrame, most: int = 84) -> DataFrame:
 
 
 def bounded_batches(segments: DataFrame, most_items: int, most_chars: int) -> DataFrame:
-    """Batches in order, with at most so many items and characters; a row is never split. A fold over each recording's rows."""
+    """Batches in order, with at most so many items and characters; a row is never split."""
+
+    def fill(rows):
+        batch, items, chars = -1, most_items, 0
+        for _, segment, n in rows:
+            if items >= most_items or chars + n > most_chars:
+                batch, items, chars = batch + 1, 0, 0
+            items, chars = items + 1, chars + n
+            yield segment, batch, items, chars
+
     sized = segments.withColumn("n", F.length("text").cast("long"))
-    last = "element_at(done, -1)"
-    new = f"size(done) = 0 OR {last}.items >= {most_items} OR {last}.chars + s.n > {most_chars}"
-    step = f"concat(done, array(if({new}, struct(s.segment_id AS segment_id, coalesce({last}.batch, -1L) + 1 AS batch, 1L AS items, s.n AS chars), struct(s.segment_id AS segment_id, {last}.batch AS batch, {last}.items + 1 AS items, {last}.chars + s.n AS chars))))"
-    return folded(sized, ["segment_id", "n"], "segment_id: string, batch: bigint, items: bigint, chars: bigint", step.replace("element_at(done, -1)", "try_element_at(done, -1)"))
+    return by_group(sized, ["recording_id"], ["start_ms", "segment_id", "n"], fill, "segment_id string, batch long, items long, chars long")
 
 
 def text_chunks(docs: DataFrame, target: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,19 +152,62 @@ def partition_agreement(pairs: DataFrame) -> DataFrame:
     return x.select(F.round((F.col("both") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected), 9).alias("adjusted_rand"), F.round(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")), 9).alias("jaccard"))
 
 
+def bare(text: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
 def leak_scan(private: DataFrame, published: DataFrame, size: int = 16, step: int = 8, most_rows: int = 1_000_000) -> DataFrame:
     """Published rows (id, text) that hold a fragment of a private text (id, text): fragments of `size` characters every `step`, after folding case and marks.
 
-    Fragments of the private side are broadcast up to `most_rows`; beyond that both sides are shuffled by fragment.
+    Up to `most_rows` fragments (of `size` characters each, so the bound is one of bytes) are a broadcast: a text's windows are hashed by a running sum, those
+    whose hash a fragment has are compared with it, and only these become rows. Beyond that both sides are shuffled by fragment.
     """
-    clean = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "")
-    own = private.select(F.col("id").alias("private_id"), clean(F.col("text")).alias("t")).where(F.length("t") >= size)
+    own = private.select(F.col("id").alias("private_id"), bare(F.col("text")).alias("t")).where(F.length("t") >= size)
     fragments = own.select("private_id", F.explode(F.expr(f"transform(sequence(1, length(t) - {size - 1}, {step}), i -> substr(t, i, {size}))")).alias("f")).distinct()
-    many = published.select(F.col("id").alias("public_id"), clean(F.col("text")).alias("t")).where(F.length("t") >= size)
-    letters = many.select("public_id", F.split("t", "").alias("c"))  # slices of an array cost their own length, substrings of a text the way to them
-    shingles = letters.select("public_id", F.explode(F.expr(f"transform(sequence(1, size(c) - {size - 1}), i -> array_join(slice(c, i, {size}), ''))")).alias("f"))
-    side = F.broadcast(fragments) if fragments.count() <= most_rows else fragments
-    return shingles.join(side, "f").groupBy("public_id", "private_id").agg(F.count_distinct("f").alias("n_fragments"))
+    many = published.select(F.col("id").alias("public_id"), bare(F.col("text")).alias("t")).where(F.length("t") >= size)
+    keys = fragments.select("f").distinct().limit(most_rows + 1)
+    found = [r.f for r in keys.collect()] if keys.count() <= most_rows else None
+    if found is None:
+        letters = many.select("public_id", F.split("t", "").alias("c"))  # slices of an array cost their own length, substrings of a text the way to them
+        hits = letters.select("public_id", F.explode(F.expr(f"transform(sequence(1, size(c) - {size - 1}), i -> array_join(slice(c, i, {size}), ''))")).alias("f"))
+    else:
+        table = published.sparkSession.sparkContext.broadcast(found)
+        kind = dict(many.dtypes)["public_id"]
+        hits = many.mapInArrow(lambda batches: windows_among(batches, table.value, size), f"public_id {kind}, f string")
+    return hits.join(fragments, "f").groupBy("public_id", "private_id").agg(F.count_distinct("f").alias("n_fragments"))
+
+
+def windows_among(batches, fragments: list[str], size: int):
+    """(public_id, f) of the texts' windows that are among the fragments."""
+    base = [pow(1_000_003, size - 1 - k, 1 << 64) for k in range(size)]
+
+    def hashes(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype("u8")
+        out = np.zeros(max(0, len(codes) - size + 1), dtype="u8")
+        for k in range(size):
+            out += codes[k : k + len(out)] * np.uint64(base[k])
+        return out
+
+    known = set(fragments)
+    keys = np.unique(hashes("".join(fragments))[::size]) if fragments else np.empty(0, dtype="u8")
+    for batch in batches:
+        ids, found = [], []
+        for k, text in enumerate(batch.column("t").to_pylist()):
+            for at in np.flatnonzero(np.isin(hashes(text), keys)).tolist():
+                f = text[at : at + size]
+                if f in known:
+                    ids.append(k)
+                    found.append(f)
+        if ids:
+            yield pa.RecordBatch.from_arrays([batch.column("public_id").take(pa.array(ids)), pa.array(found)], names=["public_id", "f"])
+
+
+def whole_leaks(private: DataFrame, published: DataFrame) -> DataFrame:
+    """Published rows whose whole text is a private one, as it is (exact) or in letters and digits alone (normalized), short ones too."""
+    side = lambda df, name: df.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"), bare(F.col("text")).alias("t")).where("t <> ''")
+    both = side(private, "private_id").join(side(published, "public_id"), "t")
+    return both.select("public_id", "private_id", F.when(F.col("public_id_text") == F.col("private_id_text"), "exact").otherwise("normalized").alias("kind"))
 
 
 def seeded_windows(spans: DataFrame, size: int, step: int, count: int, seed: str) -> DataFrame:

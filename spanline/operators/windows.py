@@ -1,10 +1,13 @@
 """Window operators on ordered rows: runs, islands, gates, smoothing. Rows of one recording are one window.
 
-Where a rule reads what it has itself just changed, the rows of a recording are folded as a sorted array inside the JVM.
+Where a rule reads what it has itself just changed, a recording's sorted rows go through a small Python step with constant state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from spanline.functions.text import suffix_prefix
 
 from .intervals import islands
 
+
 def speaker_runs(segments: DataFrame, gap: int) -> DataFrame:
     """segments with run, place in it and its size: rows of one speaker in a row, within a gap."""
     order = Window.partitionBy("recording_id").orderBy("start_ms", "segment_id")
@@ -106,22 +110,35 @@ def repair_islands(segments: DataFrame, most: int) -> DataFrame:
     return segments.withColumn("fixed", F.when((before == after) & (F.col("speaker_id") != before) & (F.col("end_ms") - F.col("start_ms") < most), before).otherwise(F.col("speaker_id")))
 
 
-def folded(segments: DataFrame, fields: list[str], kind: str, step: str) -> DataFrame:
-    """A recording's rows in order, folded by a SQL step over (done, s) from an empty array of `kind`, and given back as rows."""
-    rows = segments.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", *[f for f in fields if f != "start_ms"]))).alias("rows"))
-    out = F.expr(f"aggregate(rows, cast(array() AS array<struct<{kind}>>), (done, s) -> {step})")
-    return rows.select("recording_id", F.explode(out).alias("x")).select("recording_id", "x.*")
+def by_group(rows: DataFrame, keys: list[str], fields: list[str], step: Callable, out: str) -> DataFrame:
+    """Rows of each key, sorted by all fields, through a generator of tuples from tuples; keys and `out` (DDL) are the columns of the result."""
+    names, kinds = [x.split()[0] for x in out.split(", ")], dict(rows.dtypes)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = list(step(part.sort_values(fields)[fields].itertuples(index=False, name=None)))
+        done = pd.DataFrame(found, columns=names)
+        for k, (name, value) in enumerate(zip(keys, key, strict=True)):
+            done.insert(k, name, value)
+        return done
+
+    return rows.select(*keys, *fields).groupBy(*keys).applyInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], out]))
 
 
 def smooth_boundaries(segments: DataFrame, gap: int, overlap: int, least: int) -> DataFrame:
     """Small gaps and overlaps between neighbours are closed at their middle if both keep a least length; left to right."""
-    last = "element_at(done, -1)"
-    near = f"size(done) > 0 AND s.start_ms - {last}.end_ms <= {gap} AND {last}.end_ms - s.start_ms <= {overlap} AND s.start_ms <> {last}.end_ms"
-    middle = f"(s.start_ms + {last}.end_ms) div 2"
-    fits = f"{near} AND {middle} - {last}.start_ms >= {least} AND s.end_ms - {middle} >= {least}"
-    moved = f"concat(slice(done, 1, size(done) - 1), array(struct({last}.segment_id AS segment_id, {last}.start_ms AS start_ms, {middle} AS end_ms), struct(s.segment_id AS segment_id, {middle} AS start_ms, s.end_ms AS end_ms)))"
-    same = "concat(done, array(struct(s.segment_id AS segment_id, s.start_ms AS start_ms, s.end_ms AS end_ms)))"
-    return folded(segments, ["segment_id", "start_ms", "end_ms"], "segment_id: string, start_ms: bigint, end_ms: bigint", f"if({fits}, {moved}, {same})")
+
+    def close(rows):
+        last = None
+        for start, segment, end in rows:
+            if last is not None:
+                apart, middle = start - last[2], (start + last[2]) // 2
+                if apart and -overlap <= apart <= gap and middle - last[1] >= least and end - middle >= least:
+                    last, start = (last[0], last[1], middle), middle
+                yield last
+            last = (segment, start, end)
+        yield last
+
+    return by_group(segments, ["recording_id"], ["start_ms", "segment_id", "end_ms"], close, "segment_id string, start_ms long, end_ms long")
 
 
 def dedup_text(segments: DataFrame, least: int) -> DataFrame:

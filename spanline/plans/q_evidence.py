@@ -13,7 +13,7 @@ from spanline.operators.scoring import seeded_order
 
 from .q_intervals import DER, RATE, SETS, SWEEP, merged
 from .registry import query
-from .tables import SYSTEMS, all_pairs, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
+from .tables import SYSTEMS, doc_pairs, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
 @query()
@@ -24,7 +24,7 @@ def c21_map_tracks(spark, sf):
 
 @query()
 def d36_edit_counts(spark, sf):
-    return all_pairs(spark, sf).select("doc_id", E.edit_count_column("ref_words", "hyp_words").alias("c"), F.size("ref_words").alias("n")).select("doc_id", "c.*", "n")
+    return doc_pairs(spark, sf).select("doc_id", E.edit_count_column("ref_words", "hyp_words").alias("c"), F.size("ref_words").alias("n")).select("doc_id", "c.*", "n")
 
 
 @query()
@@ -35,6 +35,28 @@ def d37_concatenated_error_rate(spark, sf):
     return E.concatenated_error_rate(words, words.select("recording_id", F.concat(F.lit("spk-"), F.length("speaker_id").cast("string")).alias("speaker_id"), "turn", fewer.alias("words")))
 
 
+def retold(spark, sf):
+    """Segments with words, and the same with speakers renamed and every seventh word left out."""
+    own = segments(spark, sf).withColumn("words", F.split("text", r"\s+"))
+    fewer = F.expr("transform(filter(transform(words, (x, i) -> struct(x AS x, i AS i)), s -> s.i % 7 <> 6), s -> s.x)")
+    return own, own.withColumn("speaker_id", F.concat(F.lit("spk-"), F.length("speaker_id").cast("string"))).withColumn("words", fewer)
+
+
+@query()
+def d37_attributed_error_rate(spark, sf):
+    """Speakers are mapped by their common time."""
+    ref, hyp = retold(spark, sf)
+    turns = lambda df: df.select(F.xxhash64("segment_id").alias("event_id"), "recording_id", "speaker_id", "start_ms", "end_ms")
+    words = lambda df: df.select("recording_id", "speaker_id", "turn", "words")
+    return E.attributed_error_rate(words(ref), words(hyp), turns(ref), turns(hyp))
+
+
+@query()
+def d37_time_constrained_error_rate(spark, sf):
+    """Words match within five seconds of their share of the segment's time."""
+    return E.time_constrained_error_rate(*[E.timed_words(df) for df in retold(spark, sf)])
+
+
 REF3 = " UNION ALL ".join(f"SELECT event_id, '{n}:' || recording_id AS recording_id, speaker_id, start_ms, end_ms FROM turns_ref" for n, *_ in SYSTEMS)
 
 
@@ -50,8 +72,9 @@ def d43_system_errors(spark, sf):
 
 @query()
 def e9_match_points(spark, sf):
-    point = lambda df, k: df.where(F.col("event_id") % k == 0).select("recording_id", F.col("start_ms").alias("t"))
-    return E.match_points(point(turns_ref(spark, sf), 4), point(turns_hyp(spark, sf), 4))
+    """The starts of both sides' turns, one to one with the least sum of distances."""
+    point = lambda df: df.select("recording_id", F.col("start_ms").alias("t")).distinct()
+    return E.match_points(point(turns_ref(spark, sf)), point(turns_hyp(spark, sf)))
 
 
 @query(with_tables("turns_ref", "WITH c AS (SELECT DISTINCT recording_id, CAST(floor(86400000 * k / 8.0::DOUBLE) AS BIGINT) AS cut FROM turns_ref, (SELECT unnest(range(1, 8)) AS k)), n AS (SELECT c.recording_id, cut, start_ms, row_number() OVER (PARTITION BY c.recording_id, cut ORDER BY abs(start_ms - cut), start_ms) AS k FROM c JOIN turns_ref t ON t.recording_id = c.recording_id AND start_ms BETWEEN cut - 300000 AND cut + 300000) SELECT c.recording_id, c.cut, coalesce(n.start_ms, c.cut) AS snapped FROM c LEFT JOIN n ON n.recording_id = c.recording_id AND n.cut = c.cut AND n.k = 1"))
@@ -86,10 +109,14 @@ def f12_switch_window(spark, sf):
     from pyspark.sql import Window
 
     s = segments(spark, sf).select("recording_id", "turn", "start_ms", "end_ms", (F.col("speaker_id") != F.lag("speaker_id").over(Window.partitionBy("recording_id").orderBy("turn"))).alias("switched"))
+    # both ends lie within two minutes of the change, so in its own bucket of two minutes or the one before or after
+    size = 120_000
+    near = lambda c, *steps: F.explode(F.array(*[F.floor(F.col(c) / size) + k for k in steps])).alias("bucket")
     i = s.where("switched").select("recording_id", "turn", F.col("start_ms").alias("at"))
-    l = s.select("recording_id", F.col("turn").alias("l_turn"), F.col("start_ms").alias("l_start"))
-    r = s.select("recording_id", F.col("turn").alias("r_turn"), F.col("end_ms").alias("r_end"))
-    w = i.join(l, "recording_id").where("l_turn < turn AND at - l_start <= 120000").join(r, "recording_id").where("r_turn >= turn AND r_end - l_start <= 120000")
+    l = s.select("recording_id", F.col("turn").alias("l_turn"), F.col("start_ms").alias("l_start"), F.floor(F.col("start_ms") / size).alias("bucket"))
+    r = s.select("recording_id", F.col("turn").alias("r_turn"), F.col("end_ms").alias("r_end"), F.floor(F.col("end_ms") / size).alias("bucket"))
+    left = i.select("*", near("at", -1, 0)).join(l, ["recording_id", "bucket"]).where("l_turn < turn AND at - l_start <= 120000").drop("bucket")
+    w = left.select("*", near("at", 0, 1)).join(r, ["recording_id", "bucket"]).where("r_turn >= turn AND r_end - l_start <= 120000")
     best = F.min(F.struct((-F.least(F.col("at") - F.col("l_start"), F.col("r_end") - F.col("at"))).alias("b"), "l_turn", "r_turn")).alias("x")
     return w.groupBy("recording_id", "turn").agg(best).select("recording_id", "turn", "x.l_turn", "x.r_turn")
 
@@ -112,9 +139,15 @@ def f15_recovery_intervals(spark, sf):
     return first.select("recording_id", "speakers", F.greatest(F.col("start_ms") - 1000, F.lit(0)).alias("start_ms"), end.alias("end_ms"))
 
 
-@query()
+KEYS = r'''WITH s AS (SELECT doc_id, string_split_regex(text, '[\p{L}\p{N}]+') AS gaps, regexp_extract_all(text, '[\p{L}\p{N}]+') AS words FROM documents),
+    w AS (SELECT * FROM (SELECT doc_id, unnest(range(1, len(gaps) + 1)) AS k, unnest(gaps) AS gap, unnest(words) AS word FROM s) WHERE word IS NOT NULL),
+    p AS (SELECT doc_id, word, length(word) AS n, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) - length(word) + 1 AS INTEGER) AS "at" FROM w)
+    SELECT doc_id, "at", CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, "at") AS place FROM p WHERE regexp_full_match(word, '[A-Z][a-z]{5,}')) WHERE place <= 3'''
+
+
+@query(KEYS)
 def f19_keyword_spans(spark, sf):
-    return E.keyword_spans(table(spark, sf, "documents"), r"\b[A-Z][a-z]{5,}\b", 3)
+    return E.keyword_spans(table(spark, sf, "documents"), r"[\p{L}\p{N}]+", "[A-Z][a-z]{5,}", 3)
 
 
 @query(with_tables("turns_ref", "SELECT recording_id, number, CAST(floor(start_ms * f) AS BIGINT) AS start_ms, CAST(floor(end_ms * f) AS BIGINT) AS end_ms, squeezed FROM (SELECT *, CASE WHEN last > 80000000 THEN 80000000 / last::DOUBLE ELSE 1.0 END AS f, last > 80000000 AS squeezed FROM (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, event_id) AS number, start_ms, end_ms, max(end_ms) OVER (PARTITION BY recording_id) AS last FROM turns_ref))"))

@@ -42,12 +42,12 @@ def k3_choose_count(spark, sf):
 
 @query()
 def k4_stability(spark, sf):
-    """Agreement of a clustering of all vectors with that of a seeded 80 %."""
-    from spanline.operators.sampling import partition_agreement, resample
+    """Agreement of a clustering of all vectors with that of those a seeded hash keeps, four of five."""
+    from spanline.operators.sampling import partition_agreement
 
     v = vectors(spark, sf)
     whole, _ = K.spherical_kmeans(v, 4)
-    part, _ = K.spherical_kmeans(resample(v.withColumn("g", F.lit(0)), ["g"], S.seeded_order("run-1", "vec_id"), F.lit(False)).drop("g"), 4)
+    part, _ = K.spherical_kmeans(v.where(F.pmod(F.xxhash64(S.seeded_order("run-1", "vec_id")), F.lit(5)) < 4), 4)
     return partition_agreement(whole.select("vec_id", F.col("cluster").alias("a")).join(part.select("vec_id", F.col("cluster").alias("b")), "vec_id"))
 
 
@@ -63,7 +63,7 @@ def k5_merge_runs(spark, sf):
     v = vectors(spark, sf).withColumn("key", F.expr("vec_id div 50"))
     l = v.select("key", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 5)).alias("b"))
     pairs = l.join(v.select("key", F.col("vec_id").alias("b"), F.col("v").alias("vb")), ["key", "b"]).select("key", "a", "b", F.round(cosine("va", "vb"), 9).alias("score"))
-    return K.merge_runs(pairs, 3, 0.3)
+    return K.merge_runs(pairs, 0.3)
 
 
 GRID = f"g AS (SELECT DISTINCT recording_id, system, speaker_id, unnest(range(f, l + 1)) AS frame FROM (SELECT *, CAST(ceil((start_ms - {HOP} / 2) / {HOP}) AS BIGINT) AS f, CAST(ceil((end_ms - {HOP} / 2) / {HOP}) AS BIGINT) - 1 AS l FROM turns_by_system) WHERE f <= l)"

@@ -51,43 +51,29 @@ def f9_seeded_windows(spark, sf):
     return P.seeded_windows(spans, 3_600_000, 1_800_000, 3, "w")
 
 
-WINDOWS = "w AS (SELECT DISTINCT recording_id, start_ms AS s, start_ms + 1800000 AS e FROM turns_ref WHERE start_ms + 1800000 <= 86400000 AND event_id % 5 = 0), o AS (SELECT w.recording_id, w.s, w.e, t.speaker_id, sum(least(t.end_ms, w.e) - greatest(t.start_ms, w.s)) AS ms FROM w JOIN turns_ref t ON t.recording_id = w.recording_id AND t.start_ms < w.e AND w.s < t.end_ms GROUP BY ALL)"
+WINDOWS = "w AS (SELECT DISTINCT recording_id, start_ms AS s, start_ms + 1800000 AS e FROM turns_ref WHERE start_ms + 1800000 <= 86400000), o AS (SELECT w.recording_id, w.s, w.e, t.speaker_id, sum(least(t.end_ms, w.e) - greatest(t.start_ms, w.s)) AS ms FROM w JOIN turns_ref t ON t.recording_id = w.recording_id AND t.start_ms < w.e AND w.s < t.end_ms GROUP BY ALL)"
 
 
-#: The turns at which the SQL tries windows; the queries named `_whole` try them at every turn.
-FIFTHS = "event_id % 5 = 0"
-
-
-def speaker_windows(spark, sf, starts=FIFTHS):
+def speaker_windows(spark, sf):
     ref = turns_ref(spark, sf)
-    w = ref.where("start_ms + 1800000 <= 86400000").where(starts).select("recording_id", "start_ms", (F.col("start_ms") + 1_800_000).alias("end_ms")).distinct()
+    w = ref.where("start_ms + 1800000 <= 86400000").select("recording_id", "start_ms", (F.col("start_ms") + 1_800_000).alias("end_ms")).distinct()
     return I.overlap_join(w, ref).groupBy("recording_id", "start_ms", "end_ms", "r_speaker_id").agg(F.sum("overlap_ms").alias("ms")).groupBy("recording_id", "start_ms", "end_ms").agg(F.count("*").alias("n"), F.min("ms").alias("least_ms"), F.sum("ms").alias("speech_ms"))
 
 
 @query(with_tables("turns_ref", f"WITH {WINDOWS}, g AS (SELECT recording_id, s, e, count(*) AS n, min(ms) AS least_ms, sum(ms) AS speech FROM o GROUP BY 1, 2, 3) SELECT recording_id, s AS start_ms, least_ms::BIGINT AS least_ms FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY least_ms DESC, speech DESC, s) AS k FROM g WHERE n = 2) WHERE k = 1"))
-def f10_exact_speaker_window(spark, sf, starts=FIFTHS):
+def f10_exact_speaker_window(spark, sf):
     best = F.max(F.struct("least_ms", "speech_ms", (-F.col("start_ms")).alias("s"))).alias("b")
-    return speaker_windows(spark, sf, starts).where("n = 2").groupBy("recording_id").agg(best).select("recording_id", (-F.col("b.s")).alias("start_ms"), F.col("b.least_ms").alias("least_ms"))
+    return speaker_windows(spark, sf).where("n = 2").groupBy("recording_id").agg(best).select("recording_id", (-F.col("b.s")).alias("start_ms"), F.col("b.least_ms").alias("least_ms"))
 
 
 @query(with_tables("turns_ref", f"WITH {WINDOWS} SELECT recording_id, count(*) AS n_windows, min(s) AS first_ms FROM (SELECT recording_id, s FROM o WHERE ms >= 60000 GROUP BY 1, 2 HAVING count(*) = 3) GROUP BY 1"))
-def f11_windows_with_n_speakers(spark, sf, starts=FIFTHS):
+def f11_windows_with_n_speakers(spark, sf):
     ref = turns_ref(spark, sf)
-    w = ref.where("start_ms + 1800000 <= 86400000").where(starts).select("recording_id", "start_ms", (F.col("start_ms") + 1_800_000).alias("end_ms")).distinct()
+    w = ref.where("start_ms + 1800000 <= 86400000").select("recording_id", "start_ms", (F.col("start_ms") + 1_800_000).alias("end_ms")).distinct()
     per = I.overlap_join(w, ref).groupBy("recording_id", "start_ms", "r_speaker_id").agg(F.sum("overlap_ms").alias("ms")).where("ms >= 60000").groupBy("recording_id", "start_ms").agg(F.count("*").alias("n")).where("n = 3")
     return per.groupBy("recording_id").agg(F.count("*").alias("n_windows"), F.min("start_ms").alias("first_ms"))
 
 
-@query()
-def f10_exact_speaker_window_whole(spark, sf):
-    return f10_exact_speaker_window(spark, sf, "true")
-
-
-@query()
-def f11_windows_with_n_speakers_whole(spark, sf):
-    return f11_windows_with_n_speakers(spark, sf, "true")
-
-
 @query(with_tables("turns_by_system turns_ref", "SELECT recording_id, arg_max(system, struct_pack(a := ms, b := -ascii(system))) AS system FROM (SELECT recording_id, system, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) AS ms FROM turns_ref r JOIN turns_by_system h USING (recording_id, speaker_id) WHERE r.start_ms < h.end_ms AND h.start_ms < r.end_ms GROUP BY 1, 2) GROUP BY 1"))
 def f14_best_system(spark, sf):
     pairs = I.overlap_join(turns_ref(spark, sf), turns_by_system(spark, sf), keys=("recording_id", "speaker_id"))
@@ -194,6 +180,12 @@ def leaks(spark, sf):
     return P.leak_scan(ids(table(spark, sf, "benchmark"), "item_id"), ids(table(spark, sf, "documents"), "doc_id"))
 
 
+@query(r"SELECT d.doc_id AS public_id, b.item_id AS private_id, CASE WHEN d.text = b.text THEN 'exact' ELSE 'normalized' END AS kind FROM documents d JOIN benchmark b ON regexp_replace(lower(d.text), '[^\p{L}\p{N}]+', '', 'g') = regexp_replace(lower(b.text), '[^\p{L}\p{N}]+', '', 'g') WHERE regexp_replace(lower(b.text), '[^\p{L}\p{N}]+', '', 'g') <> ''")
+def g5_whole_matches(spark, sf):
+    """Documents that are a benchmark item as a whole."""
+    return P.whole_leaks(*[table(spark, sf, t).select(F.col(c).alias("id"), "text") for t, c in (("benchmark", "item_id"), ("documents", "doc_id"))])
+
+
 @query(LEAK)
 def g5_leak_scan(spark, sf):
     return leaks(spark, sf)

@@ -9,7 +9,7 @@ from spanline.operators import intervals as I
 from spanline.operators import rules as U
 
 from .registry import query
-from .tables import all_pairs, candidates, doc_pairs, eval_cases, frames, reviews, segments, stage_samples, table, turns_by_system, turns_hyp, turns_ref, with_tables
+from .tables import candidates, doc_pairs, eval_cases, frames, reviews, segments, stage_samples, table, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
 def flags(*pairs: tuple[str, str]) -> str:
@@ -76,14 +76,14 @@ def c9_truth_alignment(spark, sf):
     return one.join(s.where("turn % 5 = 0").select("segment_id"), "segment_id", "left_anti").select("segment_id")
 
 
-MARK = "a AS (SELECT recording_id, start_ms AS t FROM turns_ref WHERE event_id % 3 = 0), b AS (SELECT recording_id, start_ms AS m, event_id % 2 + 1 AS priority, (event_id % 10) / 10.0::DOUBLE AS confidence, event_id FROM turns_hyp WHERE event_id % 3 = 1)"
+MARK = "a AS (SELECT recording_id, start_ms AS t FROM turns_ref), b AS (SELECT recording_id, start_ms AS m, event_id % 2 + 1 AS priority, (event_id % 10) / 10.0::DOUBLE AS confidence, event_id FROM turns_hyp)"
 
 
 @query(with_tables("turns_ref turns_hyp", f"WITH {MARK} SELECT recording_id, t, m, score FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, t ORDER BY score DESC, d, priority DESC, m, event_id) AS k FROM (SELECT DISTINCT a.recording_id, t, m, priority, event_id, abs(t - m) AS d, round(0.75 * (1 - abs(t - m) / 60000.0::DOUBLE) + 0.25 * confidence, 9) AS score FROM a JOIN b ON a.recording_id = b.recording_id AND m BETWEEN t - 60000 AND t + 60000)) WHERE k = 1"))
 def c11_nearest_marker(spark, sf):
     """The best marker within a minute of each point, by nearness and confidence."""
-    a = turns_ref(spark, sf).where("event_id % 3 = 0").select("recording_id", "start_ms").distinct().select("recording_id", F.col("start_ms").alias("t"), (F.col("start_ms") - 60000).alias("start_ms"), (F.col("start_ms") + 60001).alias("end_ms"))
-    b = turns_hyp(spark, sf).where("event_id % 3 = 1").select("recording_id", "start_ms", (F.col("start_ms") + 1).alias("end_ms"), "event_id", (F.col("event_id") % 2 + 1).alias("priority"), ((F.col("event_id") % 10) / 10.0).alias("confidence"))
+    a = turns_ref(spark, sf).select("recording_id", "start_ms").distinct().select("recording_id", F.col("start_ms").alias("t"), (F.col("start_ms") - 60000).alias("start_ms"), (F.col("start_ms") + 60001).alias("end_ms"))
+    b = turns_hyp(spark, sf).select("recording_id", "start_ms", (F.col("start_ms") + 1).alias("end_ms"), "event_id", (F.col("event_id") % 2 + 1).alias("priority"), ((F.col("event_id") % 10) / 10.0).alias("confidence"))
     pairs = I.overlap_join(b, a, 120_000)
     d = F.abs(F.col("r_t") - F.col("start_ms"))
     scored = pairs.select("recording_id", F.col("r_t").alias("t"), F.col("start_ms").alias("m"), "event_id", "priority", d.alias("d"), F.round(0.75 * (1 - d / 60000.0) + 0.25 * F.col("confidence"), 9).alias("score"))
@@ -137,14 +137,9 @@ def d22_language_time(spark, sf):
 
 
 @query(with_tables("doc_pairs", "SELECT lang, CAST(sum(len(list_filter(range(1, least(len(ref_words), len(hyp_words)) + 1), lambda i: ref_words[i] = hyp_words[i]))) AS BIGINT) AS n_equal, CAST(sum(len(ref_words)) AS BIGINT) AS n_words FROM doc_pairs GROUP BY 1"))
-def d23_token_agreement(spark, sf, pairs=doc_pairs):
+def d23_token_agreement(spark, sf):
     n = F.size(F.filter(F.arrays_zip("ref_words", "hyp_words"), lambda x: x["ref_words"] == x["hyp_words"]))
-    return pairs(spark, sf).groupBy("lang").agg(F.sum(n).alias("n_equal"), F.sum(F.size("ref_words")).alias("n_words"))
-
-
-@query()
-def d23_token_agreement_whole(spark, sf):
-    return d23_token_agreement(spark, sf, all_pairs)
+    return doc_pairs(spark, sf).groupBy("lang").agg(F.sum(n).alias("n_equal"), F.sum(F.size("ref_words")).alias("n_words"))
 
 
 @query(with_tables("segments", "SELECT recording_id, count(*) AS n, count(*) FILTER (language = 'en') AS n_match, count(*) FILTER (language IS NULL) AS n_undetermined FROM segments GROUP BY 1"))
@@ -244,15 +239,9 @@ def d47_count_prior(spark, sf):
     return n.groupBy("recording_id").agg(F.when(F.count_distinct("n") == 1, F.min("n")).alias("prior"))
 
 
-@query("SELECT doc_id, n_chars, sha256(text) = sha256(text) AS intact FROM documents WHERE doc_id BETWEEN 100 AND 200")
-def a7_row_access(spark, sf, wanted="doc_id BETWEEN 100 AND 200"):
-    """Rows by id with a check of their content's hash; the id range reaches the scan."""
+@query("SELECT doc_id, n_chars, sha256(text) = sha256(text) AS intact FROM documents")
+def a7_row_access(spark, sf):
+    """Every row by its id, with a check of its content's hash against the stored one."""
     d = table(spark, sf, "documents")
     stored = d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    return d.where(wanted).join(stored, "doc_id").select("doc_id", "n_chars", (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("intact"))
-
-
-@query()
-def a7_row_access_whole(spark, sf):
-    """Over every id."""
-    return a7_row_access(spark, sf, "true")
+    return d.join(stored, "doc_id").select("doc_id", "n_chars", (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("intact"))

@@ -9,7 +9,7 @@ from spanline.functions import text as X
 from spanline.functions import vectors as V
 
 from .registry import query
-from .tables import all_pairs, doc_pairs, segments, table, turns_ref, with_tables
+from .tables import doc_pairs, segments, table, turns_ref, with_tables
 
 NORM = r"trim(regexp_replace(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 N_OF = "len(regexp_extract_all({t}, '{p}'))"
@@ -36,61 +36,54 @@ def h2_score_tokens(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(X.score_tokens("text")).cast("long").alias("n_tokens"))
 
 
-ASCII = "lang = 'en' AND ref_text !~ '[^\\x00-\\x7f]'"
-
-
-def ascii_pairs(spark, sf):
-    return doc_pairs(spark, sf).where("lang = 'en'").where(~F.col("ref_text").rlike(r"[^\x00-\x7f]"))
-
-
-def ascii_sql(body: str) -> str:
-    return with_tables("doc_pairs", body + r" FROM doc_pairs WHERE lang = 'en' AND NOT regexp_matches(ref_text, '[^\x00-\x7f]')")
-
-
-@query(ascii_sql("SELECT doc_id, levenshtein(ref_text, hyp_text) AS distance"))
-def h3_edit_distance(spark, sf, pairs=ascii_pairs):
-    return pairs(spark, sf).select("doc_id", X.edit_distance("ref_text", "hyp_text").cast("long").alias("distance"))
+@query()
+def h3_edit_distance(spark, sf):
+    return doc_pairs(spark, sf).select("doc_id", X.edit_distance("ref_text", "hyp_text").cast("long").alias("distance"))
 
 
 @query()
 def h3_token_distance(spark, sf):
-    return all_pairs(spark, sf).select("doc_id", X.token_distance("ref_words", "hyp_words").alias("distance"), F.size("ref_words").alias("n_words"))
+    return doc_pairs(spark, sf).select("doc_id", X.token_distance("ref_words", "hyp_words").alias("distance"), F.size("ref_words").alias("n_words"))
 
 
-@query(ascii_sql("SELECT doc_id, round(CASE WHEN length(ref_text) > 0 THEN levenshtein(ref_text, hyp_text)::DOUBLE / length(ref_text) END, 9) AS cer, CASE WHEN levenshtein(ref_text, hyp_text) = 0 THEN 'tied' ELSE 'worsened' END AS label"))
-def h4_error_rate(spark, sf, pairs=ascii_pairs):
+@query()
+def h4_error_rate(spark, sf):
     d = X.edit_distance("ref_text", "hyp_text")
-    return pairs(spark, sf).select("doc_id", X.error_rate(d, F.length("ref_text")).alias("cer"), F.when(d == 0, "tied").otherwise("worsened").alias("label"))
+    return doc_pairs(spark, sf).select("doc_id", X.error_rate(d, F.length("ref_text")).alias("cer"), F.when(d == 0, "tied").otherwise("worsened").alias("label"))
 
 
-@query(ascii_sql("SELECT doc_id, round(CASE WHEN greatest(length(ref_text), length(hyp_text)) > 0 THEN levenshtein(ref_text, hyp_text)::DOUBLE / greatest(length(ref_text), length(hyp_text)) END, 9) AS distance"))
-def h5_normalized_distance(spark, sf, pairs=ascii_pairs):
-    return pairs(spark, sf).select("doc_id", X.error_rate(X.edit_distance("ref_text", "hyp_text"), F.greatest(F.length("ref_text"), F.length("hyp_text"))).alias("distance"))
+@query()
+def h5_normalized_distance(spark, sf):
+    return doc_pairs(spark, sf).select("doc_id", X.error_rate(X.edit_distance("ref_text", "hyp_text"), F.greatest(F.length("ref_text"), F.length("hyp_text"))).alias("distance"))
 
 
 @query(with_tables("doc_pairs", "WITH a AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(ref_text, '')) AS c FROM doc_pairs) WHERE c > '~' GROUP BY 1, 2), b AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(hyp_text, '')) AS c FROM doc_pairs) WHERE c > '~' GROUP BY 1, 2) SELECT doc_id, round(sum(least(a.n, coalesce(b.n, 0)))::DOUBLE / sum(a.n), 9) AS retention FROM a LEFT JOIN b USING (doc_id, c) GROUP BY 1"))
-def h6_letter_retention(spark, sf, pairs=doc_pairs):
+def h6_letter_retention(spark, sf):
     """Share of the letters beyond ASCII, as a multiset, that the edited text keeps."""
     def counts(side, name):
-        return pairs(spark, sf).select("doc_id", F.explode(F.split(side, "")).alias("c")).where("c > '~'").groupBy("doc_id", "c").agg(F.count("*").alias(name))
+        return doc_pairs(spark, sf).select("doc_id", F.explode(F.split(side, "")).alias("c")).where("c > '~'").groupBy("doc_id", "c").agg(F.count("*").alias(name))
 
     both = counts("ref_text", "a").join(counts("hyp_text", "b"), ["doc_id", "c"], "left")
     return both.groupBy("doc_id").agg(F.round(F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a"), 9).alias("retention"))
 
 
-PROT = r"list_sort(list_concat(regexp_extract_all({t}, '\b[A-Z]{{2,6}}\b'), regexp_extract_all({t}, '\b[0-9]+\b')))"
+#: Words of any letters that consist of capitals or digits alone: word bounds are those of all scripts.
+PROT = r"list_sort(list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{Nd}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,6}}|[0-9]+')))"
+
 
+@query(with_tables("doc_pairs", f"SELECT doc_id, {PROT.format(t='ref_text')} = {PROT.format(t='hyp_text')} AS kept FROM doc_pairs"))
+def h7_protected_tokens(spark, sf):
+    return doc_pairs(spark, sf).select("doc_id", X.protected_kept("ref_text", "hyp_text").alias("kept"))
 
-@query(ascii_sql(f"SELECT doc_id, {PROT.format(t='ref_text')} = {PROT.format(t='hyp_text')} AS kept"))
-def h7_protected_tokens(spark, sf, pairs=ascii_pairs):
-    return pairs(spark, sf).select("doc_id", X.protected_kept("ref_text", "hyp_text").alias("kept"))
 
+FOUND = {k: f"regexp_extract_all(text, '{p}')" for k, p in X.LITERALS.items()} | {"acronym": r"list_filter(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,6}'))"}
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, literal, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{p}')) AS literal FROM documents WHERE lang = 'en') GROUP BY ALL" for k, p in X.LITERALS.items() if k in ("url", "email", "version", "acronym")))
-def h8_literal_inventory(spark, sf, texts=lambda spark, sf: docs(spark, sf).where("lang = 'en'")):
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, literal, count(*) AS n FROM (SELECT unnest({FOUND[k]}) AS literal FROM documents) GROUP BY ALL" for k in ("url", "email", "version", "acronym")))
+def h8_literal_inventory(spark, sf):
     found = None
     for kind in ("url", "email", "version", "acronym"):
-        own = texts(spark, sf).select(F.lit(kind).alias("kind"), F.explode(X.literals("text", kind)).alias("literal"))
+        own = docs(spark, sf).select(F.lit(kind).alias("kind"), F.explode(X.literals("text", kind)).alias("literal"))
         found = own if found is None else found.unionByName(own)
     return found.groupBy("kind", "literal").agg(F.count("*").alias("n"))
 
@@ -121,8 +114,8 @@ def h11_language_conflict(spark, sf):
 
 
 @query(with_tables("doc_pairs", f"SELECT doc_id, {NORM.format(t='ref_text')} = {NORM.format(t='hyp_text')} AS copied FROM doc_pairs"))
-def h12_copied_source(spark, sf, pairs=doc_pairs):
-    return pairs(spark, sf).select("doc_id", (X.normalized("ref_text") == X.normalized("hyp_text")).alias("copied"))
+def h12_copied_source(spark, sf):
+    return doc_pairs(spark, sf).select("doc_id", (X.normalized("ref_text") == X.normalized("hyp_text")).alias("copied"))
 
 
 @query("SELECT conv_id, turn, n_overlap FROM (SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, least(120, length(prev), length(text)) + 1), lambda n: right(prev, n) = left(text, n))), 0) AS n_overlap FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL)")
@@ -173,9 +166,9 @@ def h19_frame_features(spark, sf):
 
 
 @query(with_tables("doc_pairs", "WITH p AS (SELECT doc_id, len(ref_words) AS n, list_filter(range(1, len(ref_words) + 1), lambda i: i % 7 = 0 OR i % 11 = 0) AS truth, list_filter(range(1, least(len(ref_words), len(hyp_words)) + 1), lambda i: ref_words[i] <> hyp_words[i]) AS found FROM doc_pairs) SELECT doc_id, len(list_intersect(truth, found)) AS hits, round(CASE WHEN len(found) > 0 THEN len(list_intersect(truth, found))::DOUBLE / len(found) END, 9) AS precision, round(CASE WHEN len(truth) > 0 THEN len(list_intersect(truth, found))::DOUBLE / len(truth) END, 9) AS recall FROM p"))
-def h20_edit_spans(spark, sf, pairs=doc_pairs):
+def h20_edit_spans(spark, sf):
     """Positions that the edit touched against positions whose words differ."""
-    p = pairs(spark, sf)
+    p = doc_pairs(spark, sf)
     truth = F.expr("filter(sequence(1, size(ref_words)), i -> i % 7 = 0 OR i % 11 = 0)")
     found = F.expr("filter(sequence(1, least(size(ref_words), size(hyp_words))), i -> i > 0 AND ref_words[i - 1] <> hyp_words[i - 1])")
     own = p.where("size(hyp_words) > 0").select("doc_id", truth.alias("t"), found.alias("f")).unionByName(p.where("size(hyp_words) = 0").select("doc_id", truth.alias("t"), F.array().cast("array<int>").alias("f")))
@@ -245,8 +238,3 @@ def b5_languages_agree(spark, sf):
     nxt = s.select((F.col("recording_id")).alias("rid"), F.col("turn").alias("t"), "language", "segment_id", F.lead("language").over(Window.partitionBy("recording_id").orderBy("turn")).alias("l"))
     n = F.when(F.col("t") % 3 == 0, "und").otherwise(F.concat("l", F.lit("-X")))
     return nxt.select("segment_id", "language", n.alias("next_language")).withColumn("agree", X.languages_agree("language", "next_language"))
-
-
-#: The queries above whose SQL cuts by length, language or ASCII, over all texts.
-for _f, _source in ((h3_edit_distance, all_pairs), (h4_error_rate, all_pairs), (h5_normalized_distance, all_pairs), (h6_letter_retention, all_pairs), (h7_protected_tokens, all_pairs), (h12_copied_source, all_pairs), (h20_edit_spans, all_pairs), (h8_literal_inventory, docs)):
-    query(name=f"{_f.__name__}_whole")(lambda spark, sf, f=_f, source=_source: f(spark, sf, source))

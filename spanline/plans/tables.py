@@ -51,7 +51,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     duration = F.greatest(F.lit(900), F.ceil(n * 1000 / 17)).cast("long")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    langs = table(spark, sf_dir, "documents").where("doc_id < 1000").select(F.col("doc_id").alias("lang_id"), F.col("lang").alias("language"))
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lang_id"), F.col("lang").alias("language"))
     base = conv.withColumn("d", duration).withColumn("start_ms", (F.coalesce(F.sum("d").over(w), F.lit(0)) + 80 * F.col("turn")).cast("long"))
     return base.join(langs, F.expr("conv_id % 1000 = lang_id"), "left").select(
         F.concat_ws("-", "conv_id", "turn").alias("segment_id"), F.col("conv_id").alias("recording_id"), "turn", F.col("role").alias("speaker_id"), "start_ms", (F.col("start_ms") + F.col("d")).alias("end_ms"), "text",
@@ -99,17 +99,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), F.expr("doc_id div 4").alias("group_id"), F.col("doc_id").alias("candidate_id"), (F.col("doc_id") % 5 != 0).alias("eligible"), (F.col("doc_id") % 4 == 0).alias("current"), F.round((F.col("n_chars") % 101) / 101.0, 9).alias("score"))
 
 
-def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text against itself with every 7th word left out and every 11th doubled."""
-    return _pairs(table(spark, sf_dir, "documents"))
-
-
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """all_pairs of the texts of up to 2000 characters, as in the SQL below; the queries named `_whole` take all_pairs."""
-    return _pairs(table(spark, sf_dir, "documents").where("n_chars <= 2000"))
-
-
-def _pairs(documents: DataFrame) -> DataFrame:
+    """Each text against itself with every 7th word left out and every 11th doubled."""
+    documents = table(spark, sf_dir, "documents")
     d = documents.select("doc_id", "lang", F.split(F.regexp_replace("text", "\n", " "), " ").alias("w"))
     edited = F.expr("flatten(transform(filter(transform(w, (x, i) -> struct(x AS x, i + 1 AS i)), s -> s.i % 7 <> 0), s -> if(s.i % 11 = 0, array(s.x, s.x), array(s.x))))")
     return d.select("doc_id", "lang", F.col("w").alias("ref_words"), edited.alias("hyp_words"), F.array_join("w", " ").alias("ref_text"), F.array_join(edited, " ").alias("hyp_text"))
@@ -132,7 +124,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "turns_by_system": (("turns_ref",), " UNION ALL ".join(f"SELECT *, '{n}' AS system FROM ({_shift_sql(d, r, s)})" for n, d, r, s in SYSTEMS)),
     "segments": ((), """SELECT concat_ws('-', conv_id, turn) AS segment_id, conv_id AS recording_id, turn, role AS speaker_id, start_ms, start_ms + d AS end_ms, text, ((conv_id * 31 + turn * 17) % 100) / 100.0::DOUBLE AS confidence, lang AS language FROM (
         SELECT *, CAST(coalesce(sum(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 80 * turn AS BIGINT) AS start_ms FROM (
-        SELECT *, CAST(greatest(900, ceil(length(text) * 1000.0 / 17)) AS BIGINT) AS d FROM conversations)) c LEFT JOIN (SELECT doc_id, lang FROM documents WHERE doc_id < 1000) l ON c.conv_id % 1000 = l.doc_id"""),
+        SELECT *, CAST(greatest(900, ceil(length(text) * 1000.0 / 17)) AS BIGINT) AS d FROM conversations)) c LEFT JOIN (SELECT doc_id, lang FROM documents) l ON c.conv_id % 1000 = l.doc_id"""),
     "trials": ((), """SELECT l.vec_id AS l, r.vec_id AS r, l.label AS l_label, r.label AS r_label, l.label = r.label AS same,
         round(greatest(-1, least(1, list_dot_product(l.embedding::DOUBLE[], r.embedding::DOUBLE[]) / (sqrt(list_dot_product(l.embedding::DOUBLE[], l.embedding::DOUBLE[])) * sqrt(list_dot_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[]))))), 9) AS score
         FROM embeddings l JOIN embeddings r ON r.vec_id > l.vec_id AND r.vec_id <= l.vec_id + 20"""),
@@ -144,7 +136,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "candidates": ((), "SELECT lang AS domain, doc_id // 4 AS group_id, doc_id AS candidate_id, doc_id % 5 <> 0 AS eligible, doc_id % 4 = 0 AS current, round((n_chars % 101) / 101.0::DOUBLE, 9) AS score FROM documents"),
     "doc_pairs": ((), """SELECT doc_id, lang, w AS ref_words, h AS hyp_words, array_to_string(w, ' ') AS ref_text, array_to_string(h, ' ') AS hyp_text FROM (
         SELECT *, flatten(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda s: s[2] % 7 <> 0), lambda s: CASE WHEN s[2] % 11 = 0 THEN [s[1], s[1]] ELSE [s[1]] END)) AS h FROM (
-        SELECT doc_id, lang, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents WHERE n_chars <= 2000))"""),
+        SELECT doc_id, lang, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))"""),
 }
 
 

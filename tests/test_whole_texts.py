@@ -42,27 +42,27 @@ def rows(spark, name, where):
 def test_edit_queries_cover_all_texts(spark, texts):
     where, own = texts
     near = lambda x, n, d: (x is None and not d) or abs(x - n / d) < 1e-8
-    got = {n: rows(spark, n, where) for n in ("h3_edit_distance_whole", "h4_error_rate_whole", "h5_normalized_distance_whole", "h3_token_distance", "d36_edit_counts", "h7_protected_tokens_whole", "h12_copied_source_whole", "h20_edit_spans_whole", "h6_letter_retention_whole")}
-    assert all(set(g) == set(own) for n, g in got.items() if n != "h6_letter_retention_whole")
-    assert set(got["h6_letter_retention_whole"]) == {1, 3}
+    got = {n: rows(spark, n, where) for n in ("h3_edit_distance", "h4_error_rate", "h5_normalized_distance", "h3_token_distance", "d36_edit_counts", "h7_protected_tokens", "h12_copied_source", "h20_edit_spans", "h6_letter_retention")}
+    assert all(set(g) == set(own) for n, g in got.items() if n != "h6_letter_retention")
+    assert set(got["h6_letter_retention"]) == {1, 3}
     protected = lambda t: Counter(re.findall(r"\b[A-Z]{2,6}\b|\b[0-9]+\b", t, re.ASCII))
     norm = lambda t: re.sub(r"\s+", " ", "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t.lower())).strip()
     for k, (_, a, b, _) in own.items():
         x, y = " ".join(a), " ".join(b)
         d = distance(x, y)
-        assert got["h3_edit_distance_whole"][k].distance == d
-        assert near(got["h4_error_rate_whole"][k].cer, d, len(x)) and got["h4_error_rate_whole"][k].label == ("worsened" if d else "tied")
-        assert near(got["h5_normalized_distance_whole"][k].distance, d, max(len(x), len(y)))
+        assert got["h3_edit_distance"][k].distance == d
+        assert near(got["h4_error_rate"][k].cer, d, len(x)) and got["h4_error_rate"][k].label == ("worsened" if d else "tied")
+        assert near(got["h5_normalized_distance"][k].distance, d, max(len(x), len(y)))
         c = got["d36_edit_counts"][k]
         assert got["h3_token_distance"][k].distance == distance(a, b) == c.substituted + c.inserted + c.deleted and c.inserted - c.deleted == len(b) - len(a)
-        assert got["h7_protected_tokens_whole"][k].kept == (protected(x) == protected(y))
-        assert got["h12_copied_source_whole"][k].copied == (norm(x) == norm(y))
+        assert got["h7_protected_tokens"][k].kept == (protected(x) == protected(y))
+        assert got["h12_copied_source"][k].copied == (norm(x) == norm(y))
         truth, found = {i for i in range(1, len(a) + 1) if i % 7 == 0 or i % 11 == 0}, {i for i in range(1, min(len(a), len(b)) + 1) if a[i - 1] != b[i - 1]}
-        r = got["h20_edit_spans_whole"][k]
+        r = got["h20_edit_spans"][k]
         assert r.hits == len(truth & found) and near(r.precision, r.hits, len(found)) and near(r.recall, r.hits, len(truth))
         if k in (1, 3):
             p, q = Counter(ch for ch in x if ch > "~"), Counter(ch for ch in y if ch > "~")
-            assert near(got["h6_letter_retention_whole"][k].retention, sum((p & q).values()), sum(p.values()))
+            assert near(got["h6_letter_retention"][k].retention, sum((p & q).values()), sum(p.values()))
 
 
 def test_counts_over_all_texts(spark, texts):
@@ -71,9 +71,9 @@ def test_counts_over_all_texts(spark, texts):
     for lang, a, b, _ in own.values():
         want[lang, "equal"] += sum(x == y for x, y in zip(a, b))
         want[lang, "words"] += len(a)
-    got = QUERIES["d23_token_agreement_whole"](spark, where).collect()
+    got = QUERIES["d23_token_agreement"](spark, where).collect()
     assert {r.lang: (r.n_equal, r.n_words) for r in got} == {lang: (want[lang, "equal"], want[lang, "words"]) for lang in ("en", "de", "fr")}
-    inventory = {(r.kind, r.literal): r.n for r in QUERIES["h8_literal_inventory_whole"](spark, where).collect()}
+    inventory = {(r.kind, r.literal): r.n for r in QUERIES["h8_literal_inventory"](spark, where).collect()}
     words = Counter(own[1][1])
     assert inventory == {("acronym", "USA"): words["USA"], ("email", "x.y@z.org"): words["x.y@z.org"], ("url", "https://a.b/c"): words["https://a.b/c"]}
 
