@@ -11,12 +11,20 @@ from spanline.operators import intervals as I
 from spanline.operators import review as R
 from spanline.operators.scoring import seeded_order
 
-from .q_intervals import DER, RATE, SETS, SWEEP, merged
+from .q_intervals import DER, OVER, RATE, SETS, SWEEP, R, merged
 from .registry import query
 from .tables import SYSTEMS, doc_pairs, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
-@query()
+@query(with_tables("turns_by_system turns_ref", f"""WITH RECURSIVE {R}, t AS (SELECT event_id, recording_id, 'track-' || ascii(speaker_id) AS speaker_id, start_ms, end_ms FROM turns_by_system WHERE system = 'b'), h AS ({merged('t')}), m AS ({OVER}),
+    refs AS (SELECT recording_id, ref_speaker, row_number() OVER (PARTITION BY recording_id ORDER BY ref_speaker) AS k FROM m GROUP BY 1, 2),
+    walk AS (SELECT DISTINCT recording_id, 0 AS k, []::VARCHAR[] AS used, []::VARCHAR[] AS names, 0::BIGINT AS total FROM refs
+      UNION ALL SELECT w.recording_id, w.k + 1, CASE WHEN m.hyp_speaker IS NULL THEN w.used ELSE list_append(w.used, m.hyp_speaker) END, CASE WHEN m.hyp_speaker IS NULL THEN w.names ELSE list_append(w.names, m.ref_speaker) END, w.total + coalesce(m.overlap_ms, 0)
+      FROM walk w JOIN refs f ON f.recording_id = w.recording_id AND f.k = w.k + 1 JOIN (SELECT recording_id, ref_speaker, hyp_speaker, overlap_ms FROM m UNION ALL SELECT recording_id, ref_speaker, NULL, 0 FROM refs) m ON m.recording_id = f.recording_id AND m.ref_speaker = f.ref_speaker AND (m.hyp_speaker IS NULL OR NOT list_contains(w.used, m.hyp_speaker))),
+    best AS (SELECT recording_id, arg_max(used, total) AS used, arg_max(names, total) AS names FROM walk GROUP BY 1), map AS (SELECT recording_id, unnest(used) AS hyp_speaker, unnest(names) AS ref_speaker FROM best),
+    lead AS (SELECT *, lead(overlap_ms, 1, 0) OVER (PARTITION BY recording_id, hyp_speaker ORDER BY overlap_ms DESC, ref_speaker) AS next_ms, sum(overlap_ms) OVER (PARTITION BY recording_id, hyp_speaker) AS all_ms FROM m),
+    clear AS (SELECT map.* FROM map JOIN lead USING (recording_id, hyp_speaker, ref_speaker) WHERE (overlap_ms - next_ms) / all_ms >= 0.1)
+    SELECT t.event_id, t.recording_id, coalesce(c.ref_speaker, '~' || t.speaker_id) AS speaker_id, t.start_ms, t.end_ms FROM t LEFT JOIN clear c ON c.recording_id = t.recording_id AND c.hyp_speaker = t.speaker_id"""))
 def c21_map_tracks(spark, sf):
     tracks = turns_by_system(spark, sf).where("system = 'b'").withColumn("speaker_id", F.concat(F.lit("track-"), F.ascii("speaker_id").cast("string"))).drop("system")
     return E.map_tracks(turns_ref(spark, sf), tracks)
@@ -84,7 +92,12 @@ def e30_snapped_cuts(spark, sf):
     return E.snapped_cuts(spans, ref.select("recording_id", F.col("start_ms").alias("t")), 8, 300_000)
 
 
-@query()
+@query(with_tables("turns_ref turns_hyp", """WITH i AS (SELECT r.recording_id, r.event_id, greatest(r.start_ms, h.start_ms) AS a, least(r.end_ms, h.end_ms) AS b FROM turns_ref r JOIN turns_hyp h ON r.recording_id = h.recording_id AND r.start_ms < h.end_ms AND h.start_ms < r.end_ms),
+    t AS (SELECT recording_id, event_id, a AS t FROM i UNION SELECT recording_id, event_id, b FROM i UNION SELECT recording_id, event_id, start_ms FROM turns_ref UNION SELECT recording_id, event_id, end_ms FROM turns_ref),
+    p AS (SELECT * FROM (SELECT recording_id, event_id, t AS start_ms, lead(t) OVER (PARTITION BY event_id ORDER BY t) AS end_ms FROM t) WHERE end_ms IS NOT NULL),
+    o AS (SELECT p.event_id, p.start_ms, h.speaker_id, sum(least(p.end_ms, h.end_ms) - greatest(p.start_ms, h.start_ms)) AS ms FROM p JOIN turns_hyp h ON p.recording_id = h.recording_id AND p.start_ms < h.end_ms AND h.start_ms < p.end_ms GROUP BY 1, 2, 3),
+    w AS (SELECT event_id, start_ms, speaker_id, row_number() OVER (PARTITION BY event_id, start_ms ORDER BY ms DESC, speaker_id DESC) AS k FROM o)
+    SELECT p.recording_id, p.event_id, p.start_ms, p.end_ms, w.speaker_id FROM p LEFT JOIN w ON w.event_id = p.event_id AND w.start_ms = p.start_ms AND w.k = 1"""))
 def e31_project_turns(spark, sf):
     return E.project_turns(turns_ref(spark, sf), turns_hyp(spark, sf))
 
@@ -121,7 +134,10 @@ def f12_switch_window(spark, sf):
     return w.groupBy("recording_id", "turn").agg(best).select("recording_id", "turn", "x.l_turn", "x.r_turn")
 
 
-@query()
+@query(with_tables("turns_ref", f"""WITH RECURSIVE q AS ({SETS.format(n='= 1', alias=' AS speaker_id')}), w AS (SELECT DISTINCT recording_id, speaker_id, unnest(list_append(range(start_ms, end_ms - 30000 + 1, 15000), end_ms - 30000)) AS s FROM q WHERE end_ms - start_ms >= 30000),
+    k AS (SELECT recording_id, speaker_id, min(s) AS s FROM w GROUP BY 1, 2
+      UNION ALL SELECT recording_id, speaker_id, next FROM (SELECT k.recording_id, k.speaker_id, (SELECT min(w.s) FROM w WHERE w.recording_id = k.recording_id AND w.speaker_id = k.speaker_id AND w.s >= k.s + 600000) AS next FROM k) WHERE next IS NOT NULL)
+    SELECT recording_id, speaker_id, s AS start_ms, s + 30000 AS end_ms FROM k"""))
 def f13_thinned_windows(spark, sf):
     """Windows of half a minute inside solo spans, at half steps, with middles at least ten minutes apart."""
     w = I.sliding_windows(I.solo_spans(turns_ref(spark, sf)), 30_000, 15_000)
@@ -159,7 +175,10 @@ def l10_bounded_cues(spark, sf):
     return E.bounded_cues(cues, ref.select("recording_id").distinct().withColumn("duration_ms", F.lit(80_000_000).cast("long")))
 
 
-@query()
+@query(with_tables("segments", """WITH RECURSIVE o AS (SELECT recording_id, segment_id, length(text) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, segment_id) AS k FROM segments),
+    b AS (SELECT recording_id, segment_id, k, 0::BIGINT AS batch, 1::BIGINT AS items, n::BIGINT AS chars FROM o WHERE k = 1 UNION ALL SELECT o.recording_id, o.segment_id, o.k, CASE WHEN items >= 3 OR chars + n > 1500 THEN batch + 1 ELSE batch END, CASE WHEN items >= 3 OR chars + n > 1500 THEN 1 ELSE items + 1 END, CASE WHEN items >= 3 OR chars + n > 1500 THEN n ELSE chars + n END FROM b JOIN o ON o.recording_id = b.recording_id AND o.k = b.k + 1),
+    g AS (SELECT recording_id, batch, list(segment_id ORDER BY items) AS ids FROM b GROUP BY 1, 2)
+    SELECT recording_id, batch, array_to_string(list_concat(tail, ids), ',') AS segments, len(tail)::BIGINT AS n_context FROM (SELECT *, coalesce(lag(ids) OVER (PARTITION BY recording_id ORDER BY batch)[-1:], []) AS tail FROM g)"""))
 def l12_overlapping_windows(spark, sf):
     return E.overlapping_windows(segments(spark, sf), 3, 1500, 1)
 
@@ -187,7 +206,11 @@ def l19_apply_proposals(spark, sf):
     return s.join(p, "segment_id", "left").select("segment_id", F.when(ok, F.col("to")).otherwise(F.col("speaker_id")).alias("speaker_id"), ok.alias("applied"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e),
+    c AS (SELECT label AS "to", list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2) GROUP BY 1),
+    s AS (SELECT vec_id, "to", round(list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c))), 9) AS s FROM e, c),
+    t AS (SELECT *, row_number() OVER w AS k, s - lead(s) OVER w AS lead FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY s DESC, "to"))
+    SELECT vec_id, CASE WHEN lead >= 0.05 THEN "to" END AS speaker, round(lead, 6) AS lead, lead < 0.05 AS review FROM t WHERE k = 1""")
 def l20_overlap_assignment(spark, sf):
     """Each vector to the nearest mean vector of the labels, or to review if the second is too near."""
     from pyspark.sql import Window

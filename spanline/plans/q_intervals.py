@@ -155,7 +155,12 @@ def c6_optimal_map(spark, sf):
     return D.optimal_map(I.overlap_matrix(turns_ref(spark, sf), turns_hyp(spark, sf))).groupBy("recording_id").agg(F.sum("overlap_ms").alias("mapped_ms"))
 
 
-@query()
+@query(with_tables("turns_ref turns_hyp", f"""WITH RECURSIVE {R}, {H}, m AS ({OVER}), refs AS (SELECT recording_id, ref_speaker, row_number() OVER (PARTITION BY recording_id ORDER BY ref_speaker) AS k FROM m GROUP BY 1, 2),
+    walk AS (SELECT DISTINCT recording_id, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS ref_speaker, NULL::VARCHAR AS hyp_speaker, NULL::BIGINT AS overlap_ms FROM refs
+      UNION ALL SELECT recording_id, k, CASE WHEN hyp_speaker IS NULL THEN used ELSE list_append(used, hyp_speaker) END, ref_speaker, hyp_speaker, overlap_ms FROM (
+        SELECT w.recording_id, f.k, w.used, f.ref_speaker, m.hyp_speaker, m.overlap_ms, row_number() OVER (PARTITION BY w.recording_id ORDER BY m.overlap_ms DESC NULLS LAST, m.hyp_speaker) AS place
+        FROM walk w JOIN refs f ON f.recording_id = w.recording_id AND f.k = w.k + 1 LEFT JOIN m ON m.recording_id = f.recording_id AND m.ref_speaker = f.ref_speaker AND NOT list_contains(w.used, m.hyp_speaker)) WHERE place = 1)
+    SELECT recording_id, ref_speaker, hyp_speaker, overlap_ms FROM walk WHERE hyp_speaker IS NOT NULL"""))
 def c22_greedy_map(spark, sf):
     return D.greedy_map(I.overlap_matrix(turns_ref(spark, sf), turns_hyp(spark, sf)))
 

@@ -9,6 +9,7 @@ from spanline.functions.vectors import cosine
 from spanline.operators import clustering as K
 from spanline.operators import scoring as S
 
+from .q_intervals import R, merged
 from .registry import query
 from .tables import segments, table, turns_by_system, turns_ref, with_tables
 
@@ -30,9 +31,11 @@ def k1_spherical_kmeans(spark, sf):
     return own.select("vec_id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) >= 0.4),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT a AS vec_id, min(b) AS label FROM r GROUP BY 1""")
 def k2_leader_groups(spark, sf):
-    return K.leader_groups(vectors(spark, sf), 0.72)
+    """Groups at a cosine of 0.4: at 0.72 no two of these vectors are linked."""
+    return K.leader_groups(vectors(spark, sf), 0.4)
 
 
 @query()
@@ -125,7 +128,15 @@ def k7_calibrator(spark, sf):
     return spark.createDataFrame(out, "feature string, weight double")
 
 
-@query()
+@query(with_tables("turns_ref turns_by_system", f"""WITH RECURSIVE {R}, h AS ({merged('(SELECT * FROM turns_by_system)', 0, 'recording_id, speaker_id, system')}),
+    m AS (SELECT r.recording_id || ':' || system AS id, r.recording_id, system, r.speaker_id AS ref_speaker, h.speaker_id AS hyp_speaker, CAST(sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) AS BIGINT) AS overlap_ms FROM r JOIN h ON r.recording_id = h.recording_id AND r.start_ms < h.end_ms AND h.start_ms < r.end_ms GROUP BY ALL),
+    refs AS (SELECT id, ref_speaker, row_number() OVER (PARTITION BY id ORDER BY ref_speaker) AS k FROM m GROUP BY 1, 2),
+    walk AS (SELECT DISTINCT id, 0::BIGINT AS k, []::VARCHAR[] AS used, 0::BIGINT AS ms FROM refs
+      UNION ALL SELECT id, k, CASE WHEN hyp_speaker IS NULL THEN used ELSE list_append(used, hyp_speaker) END, ms + coalesce(overlap_ms, 0) FROM (
+        SELECT w.id, f.k, w.used, w.ms, m.hyp_speaker, m.overlap_ms, row_number() OVER (PARTITION BY w.id ORDER BY m.overlap_ms DESC NULLS LAST, m.hyp_speaker) AS place
+        FROM walk w JOIN refs f ON f.id = w.id AND f.k = w.k + 1 LEFT JOIN m ON m.id = f.id AND m.ref_speaker = f.ref_speaker AND NOT list_contains(w.used, m.hyp_speaker)) WHERE place = 1),
+    total AS (SELECT split_part(id, ':', 1) AS recording_id, split_part(id, ':', 2) AS system, max(ms) AS ms FROM walk GROUP BY 1, 2)
+    SELECT recording_id, system, ms FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY ms DESC, system DESC) AS k FROM total) WHERE k = 1"""))
 def k10_best_system(spark, sf):
     """The system whose mapped time agrees most with the reference."""
     from spanline.operators import diarization as D

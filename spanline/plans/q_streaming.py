@@ -32,14 +32,17 @@ def s3_sessions(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH n(status, after) AS (VALUES ('new', 'signup'), ('signup', 'view'), ('signup', 'click'), ('view', 'view'), ('view', 'click'), ('view', 'purchase'), ('view', 'error'), ('click', 'view'), ('click', 'click'), ('click', 'purchase'), ('click', 'error'), ('purchase', 'view'), ('purchase', 'click'), ('error', 'view'), ('error', 'signup')),
+    e AS (SELECT user_id, event_type, coalesce(lag(event_type) OVER w, 'new') AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id AS job_id, max(CASE WHEN back = 1 THEN event_type END) AS status, count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM n WHERE n.status = e.before AND n.after = e.event_type)) AS n_illegal FROM e GROUP BY 1""")
 def s4_job_status(spark, sf):
     """The last row of each job."""
     out = J.drained(J.job_status(stream(spark, sf)), "update")
     return out.groupBy("job_id").agg(F.max_by(F.struct("status", "n", "n_illegal"), "__batch").alias("x")).select("job_id", "x.*")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(epoch_us(ts) // 1000) OVER () - 7200000 AS mark FROM events)
+    SELECT job_id, t AS silent_since, false AS open FROM e WHERE next - t > 21600000 UNION ALL SELECT job_id, t, true FROM e WHERE next IS NULL AND t + 21600000 <= mark""")
 def s5_heartbeats(spark, sf):
     return J.drained(J.heartbeat_alerts(stream(spark, sf)))
 

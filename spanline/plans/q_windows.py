@@ -107,16 +107,21 @@ def e7_island_repair(spark, sf):
     return W.repair_islands(segments(spark, sf), 8000).select("segment_id", "fixed")
 
 
-@query()
+@query(with_tables("segments", """WITH RECURSIVE o AS (SELECT recording_id, segment_id, start_ms, end_ms, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, segment_id) AS k FROM segments),
+    b AS (SELECT recording_id, segment_id, k, start_ms, end_ms, NULL::BIGINT AS before_end FROM o WHERE k = 1
+      UNION ALL SELECT recording_id, segment_id, k, CASE WHEN fits THEN middle ELSE start_ms END, end_ms, CASE WHEN fits THEN middle ELSE last_end END
+      FROM (SELECT *, start_ms <> last_end AND start_ms - last_end <= 200 AND last_end - start_ms <= 200 AND middle - last_start >= 500 AND end_ms - middle >= 500 AS fits
+        FROM (SELECT o.*, b.start_ms AS last_start, b.end_ms AS last_end, (o.start_ms + b.end_ms) // 2 AS middle FROM b JOIN o ON o.recording_id = b.recording_id AND o.k = b.k + 1)))
+    SELECT recording_id, segment_id, start_ms, coalesce(lead(before_end) OVER (PARTITION BY recording_id ORDER BY k), end_ms) AS end_ms FROM b"""))
 def e10_smooth_boundaries(spark, sf):
     return W.smooth_boundaries(segments(spark, sf), 200, 200, 500)
 
 
-@query()
+@query(with_tables("segments", "SELECT segment_id, recording_id, CASE WHEN prev IS NULL THEN text ELSE substr(text, 1 + coalesce(list_max(list_filter(range(5, least(120, length(prev), length(text)) + 1), lambda n: right(prev, n) = left(text, n))), 0)) END AS text FROM (SELECT *, lag(text) OVER (PARTITION BY recording_id ORDER BY turn) AS prev FROM segments) WHERE prev IS NULL OR lower(trim(prev)) <> lower(trim(text))"))
 def e11_dedup_overlap_text(spark, sf):
     return W.dedup_text(segments(spark, sf), 5)
 
 
-@query()
+@query(with_tables("segments", "SELECT recording_id, speaker_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY start_ms, text) AS text FROM (SELECT *, sum(new) OVER (PARTITION BY recording_id, speaker_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (PARTITION BY recording_id, speaker_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100 THEN 0 ELSE 1 END AS new FROM segments)) GROUP BY recording_id, speaker_id, island"))
 def e12_merge_with_text(spark, sf):
     return W.merge_with_text(segments(spark, sf), 100)

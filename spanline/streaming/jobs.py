@@ -115,7 +115,7 @@ def heartbeat_alerts(events: DataFrame, silence_ms: int = 6 * 3_600_000) -> Data
             state.remove()
             yield pd.DataFrame({"job_id": [key[0]], "silent_since": [last], "open": [True]})
             return
-        times = sorted(int(t.timestamp() * 1000) for p in parts for t in p["ts"])
+        times = sorted(t.value // 1_000_000 for p in parts for t in p["ts"])
         out = []
         for t in times:
             if last is not None and t - last > silence_ms:
