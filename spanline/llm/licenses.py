@@ -3,7 +3,9 @@
 The templates' words go into one suffix automaton. A text is streamed through it once: at each word the automaton gives
 the length of the longest stretch ending there that stands in some template (matching statistics). Maximal long
 stretches are anchored at a place in a template, chained while they follow each other in both text and template, and a
-chain that covers enough of a template gives its label. Base phrases are found as places of consecutive words.
+chain that covers enough of a template gives its label. Where chains of several templates share most of their place in the text, as those of versions of
+one licence do, the one that covers most words counts, then the one that covers the greater share of its template; equals all count. Base phrases
+are found as places of consecutive words.
 
 Defined cases: a null text counts as empty (no words, score 0, empty labels); overlapping places all count; repeated
 rows each get a row; an empty table gives no rows.
@@ -28,9 +30,13 @@ PHRASES = {
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
     "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "bsd-2": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-3": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-2.1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
@@ -140,6 +146,16 @@ def automaton() -> Automaton:
     return Automaton(TEMPLATES)
 
 
+def winners(spans: list[tuple[int, float, int, int, str]]) -> list[tuple[str, int, int]]:
+    """(label, start, end) of chains (words covered, share of the template, start, end, label) that no better chain shares half of their place with."""
+    kept: list[tuple] = []
+    for own in sorted(spans, key=lambda s: (-s[0], -s[1], s[4])):
+        better = (k for k in kept if k[:2] > own[:2] and 2 * (min(k[3], own[3]) - max(k[2], own[2])) > own[3] - own[2])
+        if not any(better):
+            kept.append(own)
+    return sorted((label, start, end) for _, _, start, end, label in kept)
+
+
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 
@@ -155,8 +171,8 @@ def scan(text: str | None, model: Automaton, phrases: list[tuple[bytes, str]]) -
             at = line.find(phrase, at + 1)
     best = model.chains(words)
     shares = {n: covered / model.sizes[n] for n, (covered, _, _) in best.items()}
-    found = {model.labels[n] for n, share in shares.items() if share >= LEAST_SHARE}
-    spans = sorted((model.labels[n], best[n][1], best[n][2]) for n, share in shares.items() if share >= LEAST_SHARE)
+    spans = winners([(best[n][0], share, *best[n][1:], model.labels[n]) for n, share in shares.items() if share >= LEAST_SHARE])
+    found = {label for label, _, _ in spans}
     score = 1.0 if starts else min(1.0, max(shares.values(), default=0.0))
     base = sorted(labels)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(labels | found)), score, ",".join(f"{k}:{s}:{e}" for k, s, e in spans)

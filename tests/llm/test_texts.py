@@ -54,6 +54,16 @@ def test_bpe_equals_the_library(spark, part_chars):
     assert kept.columns == [*df.columns, "__bpe"] and kept.where("__bpe.decoded <> coalesce(text, '')").count() == 0
 
 
+def test_bpe_of_long_texts(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("thenioas'é") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(rng.choices(words, k=200_000))
+    texts = [text, text[:70_000] + "<|endoftext|>" + text[70_000:150_000] + "<|endoftext|><|endoftext|>" + "a" * 100_000, text, "<|endoftext|>" * 6_000]
+    lib = library()
+    want = Counter((k, len(ids := lib.encode(t, add_special_tokens=False).ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(texts))
+    assert as_counter(bpe.encode_and_decode(table(spark, texts, list(range(4))), PATH)) == want
+
+
 def test_bpe_joins_are_exact():
     v = bpe.Vocabulary.load(PATH)
     rng = random.Random(3)
@@ -119,6 +129,50 @@ def test_quality_rules(spark):
     assert quality_rules.judge(spark.createDataFrame(rows[:0], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def brute_cut(values, apart):
+    """Half way over the gap at the best split of whole numbers in two, if its sides are apart."""
+    best = None
+    n, kinds = len(values), sorted(set(values))
+    most = min((v for v in kinds if 1000 * sum(x <= v for x in values) >= 995 * n), default=0)
+    for low, high in zip(kinds, kinds[1:]):
+        a, b = [min(v, most) for v in values if v <= low], [min(v, most) for v in values if v > low]
+        if 100 * len(b) < n or 2 * len(b) > n:
+            continue
+        way = (len(a) * len(b) * (np.mean(b) - np.mean(a)) ** 2, -low)
+        if best is None or way > best[0]:
+            best = (way, (low + high) // 2, 2 * (np.mean(b) - np.mean(a)) ** 2 >= apart**2 * (np.var(a) + np.var(b)))
+    return best[1] if best and best[2] else None
+
+
+def brute_top(values):
+    cut = brute_cut(values, 3)
+    lower = None if cut is None else brute_cut([v for v in values if v <= cut], 6)
+    return cut if lower is None else lower
+
+
+def test_quality_thresholds_equal_brute_force(spark):
+    rng = random.Random(17)
+    rows = []
+    for k in range(4000):
+        lang, source = rng.choice([("en", "a"), ("en", "a"), ("en", "b"), ("de", "a"), (None, "c")])
+        junk = rng.random() < (0.2 if source == "a" else 0.04 if source == "b" else 0)
+        symbols = rng.randint(60, 90) if junk and source == "a" else rng.randint(20, 30) if junk else rng.choice([0, 0, 0, 1, 2])
+        rows.append((k, lang, source, 100, 500, symbols, rng.choice([0, 0, 0, 1]), 90 if rng.random() < 0.05 else rng.randint(0, 9), 20, 0))
+    counts = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shouts long").repartition(5)
+    measures = {"symbols": lambda r: 1000 * r[5] // r[4], "dup_lines": lambda r: 1000 * r[6] // r[8], "repeats": lambda r: 1000 * r[7] // r[3], "shouts": lambda r: 0}
+    got = {(r.lang, r.source): r for r in quality_rules.thresholds(counts).collect()}
+    assert set(got) == {(r[1], r[2]) for r in rows}
+    lean = lambda own, above, n: above if own is None else own if above is None else (n * own + 500 * above) / (n + 500)
+    for k, f in measures.items():
+        top = brute_top([f(r) for r in rows])
+        for (lang, source), r in got.items():
+            of_lang, own = [f(x) for x in rows if x[1] == lang], [f(x) for x in rows if (x[1], x[2]) == (lang, source)]
+            want = lean(brute_top(own), lean(brute_top(of_lang), top, len(of_lang)), len(own))
+            assert r[f"top_{k}"] == (None if want is None else int(want)), (k, lang, source)
+    assert got["en", "a"].top_symbols > got["en", "b"].top_symbols + 10 and got["en", "a"].top_shouts is None
+    assert quality_rules.thresholds(counts.limit(0)).count() == 0
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     key = lambda n, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789": "".join(rng.choice(a) for _ in range(n))
@@ -145,8 +199,18 @@ def test_secrets(spark):
     clean = [r.spans for r in got.values() if "plain words" in (texts[r.doc_id] or "") or "internationalisation" in (texts[r.doc_id] or "")]
     assert not any(clean)
     chain = secret_scan.fit_chain(df)
-    unseen = "some words here with value \"" + key(40, "0123456789abcxyz") + "\" and more words"  # no pattern names it
-    assert "crf:" in secret_scan.scan(unseen, chain)[4]
+    hits, alarms = [], []
+    for k in range(120):  # secrets that no pattern names, and identifiers beside them
+        value = [key(40, "0123456789abcxyz"), key(24) + "+/" + key(18), "ghp_" + key(36), key(20) + "." + key(40) + "." + key(43)][k % 4]
+        before = ["some words here with ", 'the value: "', "use bearer "][k % 3]
+        spans = [x.split(":") for x in secret_scan.scan(before + value + ' and more words', chain)[4].split(",") if x.startswith("crf")]
+        hits.append(any(int(s) < len(before) + len(value) and int(e) > len(before) for _, s, e in spans))
+        other = ["chapter_12_section_4", "v2.10.3-beta4", "2023-05-17T10:22:31", "john-smith-1984", "www.words.com/2020/05/17/title"][k % 5]
+        alarms.append("crf" in secret_scan.scan(f"some words here with {other} and more words", chain)[4])
+    assert np.mean(hits) >= 0.9 and np.mean(alarms) <= 0.1
+    again = secret_scan.fit_chain(df.repartition(7))
+    assert np.array_equal(chain.tokens, again.tokens) and np.array_equal(chain.moves, again.moves)
+    assert secret_scan.fit_chain(df.limit(0)).decode([[1], [2]]) == [0, 0]
     redacted = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
     assert redacted[0] is None and redacted[1] == "" and all("[SECRET]" in redacted[k] for k in range(9, 69)) and redacted[70] == texts[70]
     assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -229,5 +293,19 @@ def test_licenses(spark):
         assert set(filter(None, got[k].base_labels.split(","))) <= set(got[k].labels.split(",")) and 0 <= got[k].score <= 1
     assert got[6].labels == got[7].labels == "mit" and got[9].labels == "cc-by" and got[8].labels == got[5].labels == got[10].labels == ""
     model = licenses.automaton()
+    noise = lambda t: "intro words " + " ".join(w + (" stray" if k % 25 == 24 else "") for k, w in enumerate(t.split())) + " and more"
+    for label, text in licenses.TEMPLATES.items():  # every template, versions of one licence among them, whole and with stray words
+        assert licenses.scan(text.upper(), model, [])[5] == label and licenses.scan(noise(text), model, [])[5] == label, label
+    both = licenses.TEMPLATES["gpl-3"] + " " + "word " * 50 + licenses.TEMPLATES["bsd-2"]
+    assert licenses.scan(both, model, [])[5] == "bsd-2,gpl-3"
+    rng = random.Random(31)
+    vocabulary = [w for t in licenses.TEMPLATES.values() for w in t.split()]
+    for _ in range(200):  # matching statistics equal the longest stretches found by search
+        own = [rng.choice(vocabulary).encode() if rng.random() < 0.3 else w for w in rng.choice(list(licenses.TEMPLATES.values())).encode().split()[: rng.randint(4, 40)]]
+        lines = [b" " + t.encode() + b" " for t in licenses.TEMPLATES.values()]
+        known = lambda a, b, own=own, lines=lines: any(b" " + b" ".join(own[a:b]) + b" " in line for line in lines)
+        longest = [max((n for n in range(1, e + 1) if known(e - n, e)), default=0) for e in range(1, len(own) + 1)]
+        want = [(e, n) for e, n in enumerate(longest, 1) if n >= licenses.LEAST_STRETCH and (e == len(own) or longest[e] <= n)]
+        assert [x[:2] for x in model.stretches(own)] == want
     words = mit.encode().split()
     assert model.stretches([b"x", *words, b"y"])[0][:2] == (len(words) + 1, len(words))
