@@ -53,12 +53,14 @@ def a6_parallel_arrays(spark, sf):
 
 @query(with_tables("segments", "SELECT recording_id::VARCHAR AS \"documentId\", segment_id AS id, start_ms, end_ms, speaker_id AS speaker, text FROM segments"))
 def a1_transcript_json(spark, sf):
-    """Documents rendered as JSON and parsed under the fixed schema."""
+    """Documents rendered as JSON and parsed under the fixed schema; bad ones among them stay out."""
     seg = F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("id"), "start_ms", "end_ms", F.col("speaker_id").alias("speaker"), "text")))
     docs = segments(spark, sf).groupBy(F.col("recording_id").cast("string").alias("documentId")).agg(F.first("language").alias("language"), seg.alias("segments"))
-    raw = docs.select(F.to_json(F.struct("documentId", "language", "segments")).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string"))
-    good = raw.select(F.from_json("value", S.TRANSCRIPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).where("d._corrupt_record IS NULL AND d.documentId IS NOT NULL")
-    return good.select("d.documentId", F.inline("d.segments"))
+    plain = docs.select(F.to_json(F.struct("documentId", "language", "segments")).alias("value"))
+    # each document again, broken, with a repeated key, and with a number that is none
+    broken = [F.concat("value", F.lit("{")), F.regexp_replace("value", r"^\{", '{"documentId":"x",'), F.regexp_replace("value", r"^\{", '{"gain":NaN,')]
+    raw = plain.select(F.explode(F.array("value", *broken)).alias("value"))
+    return S.transcripts(raw)[0].drop("language")
 
 
 @query()

@@ -58,9 +58,12 @@ def s7_stream_join(spark, sf):
     return J.drained(J.joined_turns(e.where("event_type = 'view'"), stream(spark, sf).where("event_type = 'click'")))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, value >= 100 AS active, row_number() OVER w AS k, row_number() OVER (PARTITION BY user_id, value >= 100 ORDER BY ts, event_id) AS j, count(*) OVER (PARTITION BY user_id) AS rows FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, arg_min(event_id, k) AS first_id, count(*) AS n, max(k) = max(rows) AS open FROM e WHERE active GROUP BY user_id, k - j""")
 def s8_activity_runs(spark, sf):
-    return J.drained(J.activity_runs(stream(spark, sf), 100.0))
+    """A job's events as frames; the last word on each run."""
+    out = J.drained(J.activity_runs(stream(spark, sf), 100.0), "update")
+    return out.groupBy("user_id", "first_id").agg(F.max_by(F.struct("n", "open"), "__batch").alias("x")).select("user_id", "first_id", "x.*")
 
 
 def shout(batch: pd.DataFrame) -> pd.DataFrame:

@@ -211,6 +211,15 @@ def h24_contrast(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(1.05 / (light + 0.05), 6).alias("contrast"))
 
 
+@query()
+def h24_ciede2000(spark, sf):
+    """Difference of the same colours from white."""
+    from spanline.functions.colour import ciede2000, lab
+
+    k, white = F.col("event_id"), F.lit(255)
+    return table(spark, sf, "events").select("event_id", F.round(ciede2000(lab(k % 256, k * 7 % 256, k * 13 % 256), lab(white, white, white)), 6).alias("difference"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', round_even(n / 1024.0::DOUBLE, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round_even(n / 1048576.0::DOUBLE, 1)) ELSE printf('%.1f GB', round_even(n / 1073741824.0::DOUBLE, 1)) END AS size FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * l_quantity) AS BIGINT) AS n FROM lineitem)")
 def h25_human_size(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.human_size(F.floor(F.col("l_extendedprice") * F.col("l_quantity"))).alias("size"))

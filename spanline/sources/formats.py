@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,11 +19,50 @@ def seconds_ms(text: str):
     return F.bround(F.col(text).cast("double") * 1000).cast("long")
 
 
+def is_strict_json(text: str | None) -> bool:
+    """Whether a text is a JSON document without repeated keys in an object and without NaN or infinite numbers."""
+
+    def unique(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    def number(text: str) -> float:
+        value = float(text)
+        if value in (float("inf"), float("-inf")):
+            raise ValueError("not finite")
+        return value
+
+    def refuse(name: str):
+        raise ValueError(name)
+
+    try:
+        json.loads(text or "", object_pairs_hook=unique, parse_constant=refuse, parse_float=number)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def strict_json(text: str | Column) -> Column:
+    """is_strict_json by Arrow batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(is_strict_json).astype("bool")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")(text)
+
+
+def transcripts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, bad) of JSON documents (column value); those that are not strict JSON or lack an id are kept as text."""
+    parsed = raw.select("value", F.from_json("value", TRANSCRIPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"), F.coalesce(strict_json("value"), F.lit(False)).alias("strict"))
+    ok = F.col("strict") & F.col("d._corrupt_record").isNull() & F.col("d.documentId").isNotNull()
+    return parsed.where(ok).select("d.documentId", "d.language", F.inline("d.segments")), parsed.where(~ok).select("value")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(segments, bad): JSON documents, one a line; those that do not parse are kept as text."""
-    raw = spark.read.text(path).select("value", F.from_json("value", TRANSCRIPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
-    good = raw.where("d._corrupt_record IS NULL AND d.documentId IS NOT NULL").select("d.documentId", "d.language", F.inline("d.segments"))
-    return good, raw.where("d._corrupt_record IS NOT NULL OR d.documentId IS NULL").select("value")
+    return transcripts(spark.read.text(path))
 
 
 def parse_rttm(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -130,19 +130,22 @@ def heartbeat_alerts(events: DataFrame, silence_ms: int = 6 * 3_600_000) -> Data
     return own.groupBy("user_id").applyInPandasWithState(step, "job_id long, silent_since long, open boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def activity_runs(frames: DataFrame, threshold: float) -> DataFrame:
-    """Runs of frames at or above a level, by event type, closed when a frame falls below; the open run is kept as state."""
+def activity_runs(frames: DataFrame, threshold: float, key: str = "user_id") -> DataFrame:
+    """Runs of a key's frames at or above a level. A run is given when a frame falls below, and the one still open after each batch, marked open; of rows with one first_id the last counts."""
+    kind = dict(frames.dtypes)[key]
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n = state.get if state.exists else (-1, 0)
         rows, out = pd.concat(list(parts)).sort_values(["ts", "event_id"]), []
         for i, v in zip(rows["event_id"], rows["value"], strict=True):
             if v >= threshold:
                 start, n = (int(i), 1) if start < 0 else (start, n + 1)
             elif start >= 0:
-                out.append((key[0], start, n))
+                out.append((name[0], start, n, False))
                 start, n = -1, 0
         state.update((start, n))
-        yield pd.DataFrame(out, columns=["event_type", "first_id", "n"])
+        if start >= 0:
+            out.append((name[0], start, n, True))
+        yield pd.DataFrame(out, columns=[key, "first_id", "n", "open"])
 
-    return frames.groupBy("event_type").applyInPandasWithState(step, "event_type string, first_id long, n long", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_id long, n long, open boolean", "start long, n long", "update", GroupStateTimeout.NoTimeout)

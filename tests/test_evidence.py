@@ -155,3 +155,45 @@ def test_merging_goes_on_until_nothing_merges(spark):
     pairs = [("k", a, a + 1, 0.9 - 0.01 * (a % 2)) for a in range(40)] + [("l", 1, 2, 0.1)]
     got = {(r.key, r.member): r.label for r in K.merge_runs(spark.createDataFrame(pairs, "key string, a long, b long, score double"), 0.5).collect()}
     assert {got["k", m] for m in range(41)} == {0} and (got["l", 1], got["l", 2]) == (1, 2)
+
+
+def test_colour_difference_gives_published_values(spark):
+    """Pairs and differences that the formula's authors published for checking implementations."""
+    from pyspark.sql import functions as F
+
+    from spanline.functions.colour import ciede2000, lab
+
+    pairs = [
+        ((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, -1.3802, -84.2814), (50, 0, -82.7485), 1.0), ((50, 0, 0), (50, -1, 2), 2.3669), ((50, 2.49, -0.001), (50, -2.49, 0.0009), 7.1792),
+        ((50, 2.5, 0), (50, 0, -2.5), 4.3065), ((50, 2.5, 0), (73, 25, -18), 27.1492), ((60.2574, -34.0099, 36.2677), (60.4626, -34.1751, 39.4387), 1.2644), ((2.0776, 0.0795, -1.135), (0.9033, -0.0636, -0.5514), 0.9082),
+    ]
+    side = "struct<l: double, a: double, b: double>"
+    df = spark.createDataFrame([(tuple(map(float, x)), tuple(map(float, y)), d) for x, y, d in pairs], f"x {side}, y {side}, d double")
+    got = df.select("d", ciede2000(F.col("x"), F.col("y")).alias("e"), ciede2000(F.col("y"), F.col("x")).alias("f")).collect()
+    assert all(abs(r.d - r.e) < 6e-5 and abs(r.e - r.f) < 1e-9 for r in got)
+    white = spark.range(1).select(lab(F.lit(255), F.lit(255), F.lit(255)).alias("x")).first().x
+    assert abs(white.l - 100) < 1e-3 and abs(white.a) < 0.02 and abs(white.b) < 0.02
+
+
+def test_strict_json(spark):
+    from spanline.sources.formats import is_strict_json, transcripts
+
+    bad = ["", None, "{", '{"a":1,"a":2}', '{"a":{"b":1,"b":1}}', '{"a":NaN}', "[Infinity]", "[1e999]", '{"a":1} x']
+    assert not any(map(is_strict_json, bad)) and all(map(is_strict_json, ['{"a":1,"b":{"a":2}}', "[1.5, null, true]", '"text"']))
+    rows = [('{"documentId":"d","segments":[{"id":"s","start_ms":0,"end_ms":5,"text":"t"}]}',), ('{"documentId":"d","documentId":"e","segments":[]}',), ('{"segments":[]}',), (None,)]
+    good, rest = transcripts(spark.createDataFrame(rows, "value string"))
+    assert [(r.documentId, r.id) for r in good.collect()] == [("d", "s")] and rest.count() == 3
+
+
+def test_activity_runs_keep_open_ones(spark):
+    from spanline.streaming import jobs as J
+
+    rows = [(k, f"2024-01-01 00:{k:02d}:00", k % 2, float(v)) for k, v in enumerate([1, 9, 9, 9, 1, 1, 9, 9, 9, 1, 9, 9])]
+    path = f"{J.shared_folder(spark)}/frames"
+    for part in (rows[:5], rows[5:]):  # two files, two batches
+        spark.createDataFrame(part, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "cast(ts AS timestamp) AS ts", "user_id", "value").coalesce(1).write.mode("append").parquet(path)
+    out = J.drained(J.activity_runs(J.event_stream(spark, path), 5.0), "update")
+    last = {}
+    for r in sorted(out.collect(), key=lambda r: r["__batch"]):
+        last[r.user_id, r.first_id] = (r.n, r.open)
+    assert last == {(0, 2): (1, False), (0, 6): (3, True), (1, 1): (2, False), (1, 7): (1, False), (1, 11): (1, True)}
