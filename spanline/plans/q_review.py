@@ -11,12 +11,12 @@ from spanline.operators import windows as W
 from .registry import query
 from .tables import candidates, reviews, segments, table, turns_ref, with_tables
 
-DEC = "d AS (SELECT 'd' || (turn * 1000 + recording_id) AS decision_id, segment_id, recording_id * 10 + turn AS seq, CASE turn % 3 WHEN 0 THEN 'edit' WHEN 1 THEN 'accept' ELSE 'reject' END AS action, CASE WHEN turn % 3 = 0 THEN text || ' (edited)' END AS text FROM segments WHERE turn < 5)"
+DEC = "d AS (SELECT 'd' || (turn * 1000 + recording_id) AS decision_id, segment_id, recording_id * 10 + turn AS seq, CASE turn % 3 WHEN 0 THEN 'edit' WHEN 1 THEN 'accept' ELSE 'reject' END AS action, CASE WHEN turn % 3 = 0 THEN text || ' (edited)' END AS text FROM segments WHERE confidence < 0.9)"
 
 
 def decisions(spark, sf):
     action = F.when(F.col("turn") % 3 == 0, "edit").when(F.col("turn") % 3 == 1, "accept").otherwise("reject")
-    return segments(spark, sf).where("turn < 5").select(F.concat(F.lit("d"), (F.col("turn") * 1000 + F.col("recording_id")).cast("string")).alias("decision_id"), "segment_id", (F.col("recording_id") * 10 + F.col("turn")).alias("seq"), action.alias("action"), F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" (edited)"))).alias("text"))
+    return segments(spark, sf).where("confidence < 0.9").select(F.concat(F.lit("d"), (F.col("turn") * 1000 + F.col("recording_id")).cast("string")).alias("decision_id"), "segment_id", (F.col("recording_id") * 10 + F.col("turn")).alias("seq"), action.alias("action"), F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" (edited)"))).alias("text"))
 
 
 @query(with_tables("segments", "SELECT recording_id, segment_id, reason FROM (SELECT recording_id, segment_id, unnest(list_filter([CASE WHEN confidence < 0.3 THEN 'LOW_CONFIDENCE' END, CASE WHEN end_ms - start_ms > 60000 THEN 'LONG_SEGMENT' END, CASE WHEN length(text) < 20 THEN 'SHORT_TEXT' END], lambda x: x IS NOT NULL)) AS reason FROM segments) UNION ALL SELECT recording_id, '*', 'LOW_MEAN_CONFIDENCE' FROM segments GROUP BY 1 HAVING avg(confidence) < 0.5"))
@@ -34,10 +34,10 @@ def c19_merge_speakers(spark, sf):
     return R.merge_speakers(segments(spark, sf), {"system": "assistant"}).select("segment_id", "speaker")
 
 
-@query(with_tables("segments", "SELECT segment_id, count(*) FILTER (open) AS n_open, count(*) FILTER (NOT open) AS n_resolved, bool_and(NOT open) AS complete FROM (SELECT segment_id, turn % 4 = 0 AS open FROM segments UNION ALL SELECT segment_id, false FROM segments WHERE turn < 5) GROUP BY 1"))
+@query(with_tables("segments", "SELECT segment_id, count(*) FILTER (open) AS n_open, count(*) FILTER (NOT open) AS n_resolved, bool_and(NOT open) AS complete FROM (SELECT segment_id, turn % 4 = 0 AS open FROM segments UNION ALL SELECT segment_id, false FROM segments WHERE confidence < 0.9) GROUP BY 1"))
 def l2_resolution(spark, sf):
     s = segments(spark, sf)
-    q = s.select("segment_id", F.when(F.col("turn") % 4 == 0, "open").otherwise("done").alias("status")).unionByName(s.where("turn < 5").select("segment_id", F.lit("done").alias("status")))
+    q = s.select("segment_id", F.when(F.col("turn") % 4 == 0, "open").otherwise("done").alias("status")).unionByName(s.where("confidence < 0.9").select("segment_id", F.lit("done").alias("status")))
     return R.resolution(q)
 
 
