@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Texts go through numpy in runs of about this many bytes, so that memory does not follow the Arrow batch.
 SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         start = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to tasks in Arrow batches of bounded rows and bytes: both the JVM and Python hold a batch as a whole. A lower setting of the session stays."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if not spark.conf.get(size).removesuffix("b").isdigit() or not 0 < int(spark.conf.get(size).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     simple = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.FloatType: pa.float32()}
     if isinstance(kind, T.ArrayType):
@@ -91,8 +102,10 @@ def over_texts(docs: DataFrame, work: Callable[[], Callable[[list], dict]], fiel
     All columns of docs are kept as they are, whatever their names; texts are given whole, in runs of bounded size.
     """
     kind = T.StructType.fromDDL(fields) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(fields)
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at, plain = names.index(text), docs.toDF(*[f"c{k}" for k in range(len(names))])  # a name with a dot can't be passed to a task
+    schema = T.StructType([*plain.schema.fields, T.StructField("found", kind)])
     as_arrow = arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +116,10 @@ def over_texts(docs: DataFrame, work: Callable[[], Callable[[list], dict]], fiel
                 got = do(part.to_pylist())
                 found = pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in as_arrow], fields=list(as_arrow))
                 own = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, "found"])
                 start += len(part)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, out)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
