@@ -7,7 +7,8 @@ this: the split scans from left to right without looking back, so two scans that
 merged tokens are right as a whole if every neighbouring pair is right on its own.
 
 Defined cases: a null text counts as empty (no ids); a special string inside a text becomes its one id, as by the
-library's default; repeated rows each get a row; an empty table gives no rows.
+library's default, and what lies between such strings is split and joined apart; repeated rows each get a row, texts above the size of a part
+being encoded once however often they come; an empty table gives no rows; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, texts_of
+from .common import free_name, over_texts, texts_of
 
 #: A pre-token of more bytes is halved.
 LEAF_BYTES = 256
@@ -74,26 +76,28 @@ class Vocabulary:
         """Whether two tokens may stand side by side inside a piece."""
         return self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
 
-    def join(self, a: list[int], b: list[int]) -> list[int]:
-        """The tokens of one piece from those of its two parts: a window around the join grows until both its ends agree."""
-        if not a or not b:
-            return a + b
+    def join(self, a, b):
+        """The tokens of one piece from those of its two parts, lists or arrays: a window around the join grows until both its ends agree."""
+        if not len(a) or not len(b):
+            return b if len(b) else a
         k = 0
         while True:
             left, right = max(0, len(a) - k), min(len(b), k)
-            window = self.merge(b"".join(map(self.tokens.__getitem__, a[left:] + b[:right]))) if k else []
+            window = self.merge(b"".join(map(self.tokens.__getitem__, [*a[left:], *b[:right]]))) if k else []
             seam = [*a[max(0, left - 1) : left], *window, *b[right : right + 1]]
             ends = [(seam[0], seam[1]), (seam[-2], seam[-1])] if len(seam) > 1 else []
             if all(self.agree(*pair) for pair, open_end in zip(ends, (left > 0, right < len(b)), strict=False) if open_end):
-                return a[:left] + window + b[right:]
+                if isinstance(a, list):
+                    return a[:left] + window + b[right:]
+                return np.concatenate([a[:left], np.array(window, dtype="u4"), b[right:]])
             k = max(2 * k, 2)
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The tokens of one pre-token; long ones by halves."""
+    def encode_piece(self, piece: bytes):
+        """The tokens of one pre-token; long ones by halves, as arrays."""
         if len(piece) <= LEAF_BYTES:
             return self.merge(piece)
         half = len(piece) // 2
-        return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+        return self.join(*[np.asarray(self.encode_piece(x), dtype="u4") for x in (piece[:half], piece[half:])])
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a pre-token as little-endian 32-bit integers, kept for the next time it comes."""
@@ -111,56 +115,73 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids; the caller turns them into text, wrong bytes replaced, as the library does."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        every = np.frombuffer(ids, dtype="<u4")
+        return b"".join([b"".join(map(self.tokens.__getitem__, every[k : k + 65_536].tolist())) for k in range(0, len(every), 65_536)])
 
 
 class Part:
-    """An encoded stretch of text: its text, the ends of its pre-tokens in it, and each pre-token's ids."""
+    """An encoded stretch of text: its text, the ends of its pre-tokens in it, and their ids in one array with each pre-token's end in that."""
 
-    def __init__(self, text: str, ends: list[int], ids: list[list[int]]):
-        self.text, self.ends, self.ids = text, ends, ids
+    def __init__(self, text: str, at: np.ndarray, stops: np.ndarray, flat: np.ndarray):
+        self.text, self.at, self.stops, self.flat = text, at, stops, flat
 
     @staticmethod
     def of(text: str, vocabulary: Vocabulary) -> Part:
         found = [(m.end(), vocabulary.encode_piece(m[0].encode())) for m in vocabulary.pattern.finditer(text)]
-        return Part(text, [e for e, _ in found], [i for _, i in found])
+        return Part(text, *arrays_of([e for e, _ in found], [i for _, i in found]))
+
+    @property
+    def ends(self) -> list[int]:
+        return self.at.tolist()
+
+    @property
+    def ids(self) -> list[list[int]]:
+        return [x.tolist() for x in np.split(self.flat, self.stops[:-1])] if len(self.stops) else []
 
     def join(self, other: Part, vocabulary: Vocabulary) -> Part:
         """Both parts as one: pre-tokens that end 3 characters before the join are final; from there the split runs on until it meets a boundary of the other part."""
         if not self.text or not other.text:
             return self if self.text else other
-        keep = len(self.ends)
-        while keep and self.ends[keep - 1] > len(self.text) - 3:
-            keep -= 1
-        start = self.ends[keep - 1] if keep else 0
-        tail, theirs = self.text[start:], {e: k for k, e in enumerate(other.ends)}
+        keep = int(np.searchsorted(self.at, len(self.text) - 3, "right"))
+        start, final = (int(self.at[keep - 1]), int(self.stops[keep - 1])) if keep else (0, 0)
+        tail = self.text[start:]
         window = 64
         while True:
             whole = window >= len(other.text)
             text = tail + other.text[:window]
-            ends, ids, at, met = [], [], 0, None
+            ends, ids, at, rest = [], [], 0, None
             for m in vocabulary.pattern.finditer(text):
                 if not whole and m.end() > len(text) - 3:
                     break  # what follows the window could change this one
-                own = self.ids[keep] if len(self.ends) > keep and at == 0 and len(self.ends) == keep + 1 else None
-                first = other.ids[0]
-                if own is not None and m.end() == len(tail) + other.ends[0]:
-                    piece = vocabulary.join(own, first)  # one pre-token across the join: its halves are encoded already
+                if at == 0 and len(self.at) == keep + 1 and m.end() == len(tail) + other.at[0]:
+                    piece = vocabulary.join(self.flat[final:], other.flat[: other.stops[0]])  # one pre-token across the join: its halves are encoded already
                 else:
                     piece = vocabulary.encode_piece(m[0].encode())
                 ends.append(start + m.end())
                 ids.append(piece)
                 at = m.end()
-                if at > len(tail) and at - len(tail) in theirs:
-                    met = theirs[at - len(tail)]
-                    break
-            if met is not None or whole:
-                rest = len(other.ends) if met is None else met + 1
-                shift = len(self.text)
-                return Part(self.text + other.text, self.ends[:keep] + ends + [shift + e for e in other.ends[rest:]], self.ids[:keep] + ids + other.ids[rest:])
+                if at > len(tail):
+                    k = int(np.searchsorted(other.at, at - len(tail)))
+                    if k < len(other.at) and other.at[k] == at - len(tail):
+                        rest = k + 1
+                        break
+            if rest is not None or whole:
+                rest = len(other.at) if rest is None else rest
+                skipped = int(other.stops[rest - 1]) if rest else 0
+                at, stops, flat = arrays_of(ends, ids)
+                here = final + len(flat)
+                return Part(
+                    self.text + other.text, np.concatenate([self.at[:keep], at, other.at[rest:] + len(self.text)]), np.concatenate([self.stops[:keep], stops + final, other.stops[rest:] - skipped + here]),
+                    np.concatenate([self.flat[:final], flat, other.flat[skipped:]]),
+                )
             window *= 4
 
 
+def arrays_of(ends: list[int], ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(i) for i in ids], dtype="i8")
+    return np.array(ends, dtype="i8"), np.cumsum(sizes), np.fromiter(chain.from_iterable(ids), dtype="u4", count=int(sizes.sum()))
+
+
 def tree(parts: list[Part], vocabulary: Vocabulary) -> Part:
     while len(parts) > 1:
         parts = [parts[k].join(parts[k + 1], vocabulary) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
@@ -193,12 +214,28 @@ def encode_texts(docs: DataFrame, path: str, out: str = "__bpe", part_chars: int
 
     size = F.coalesce(F.length("text"), F.lit(0))
     short = over_texts(docs.where(size <= part_chars), work, FIELDS, out)
-    long = docs.where(size > part_chars)
-
-    key = ["__row", "__part"]
-    numbered = long.withColumn("__row", F.struct(F.sha2(F.to_json(F.struct(*[c for c in docs.columns if c != "text"])), 256).alias("a"), F.sha2("text", 256).alias("b")))
-    parts = numbered.select("__row", "text").distinct().select("__row", F.expr(f"posexplode(transform(sequence(0, (length(text) - 1) div {part_chars}), i -> substr(text, i * {part_chars} + 1, {part_chars})))").alias("__part", "text"))
-    parts = parts.repartition(*key)
+    key = free_name(docs, "__text")
+    long = docs.where(size > part_chars).withColumn(key, F.sha2("text", 256))
+
+    def cut_up(batches):
+        """Parts of the sections between special strings."""
+        special = Vocabulary.load(path).special
+        names = ["row", "section", "part", "text"]
+        for batch in batches:
+            rows, size = [], 0
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for n, section in enumerate(text.split(special)):
+                    for k in range(0, max(1, len(section)), part_chars):
+                        rows.append((row, n, k // part_chars, section[k : k + part_chars]))
+                        size += 64 + len(rows[-1][3])
+                        if size >= 1 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+
+    own = long.select(key, "text").groupBy(key).agg(F.first("text").alias("text"))
+    parts = own.mapInArrow(cut_up, "row string, section long, part long, text string").repartition("row", "section", "part")
 
     def encode_part():
         vocabulary = Vocabulary.load(path)
@@ -207,31 +244,26 @@ def encode_texts(docs: DataFrame, path: str, out: str = "__bpe", part_chars: int
             got: dict[str, list] = {"ends": [], "sizes": [], "flat": []}
             for text in texts:  # a part's lists give way to arrays before the next part
                 part = Part.of(text, vocabulary)
-                got["ends"].append(np.array(part.ends, dtype="i4"))
-                got["sizes"].append(np.array([len(i) for i in part.ids], dtype="i4"))
-                got["flat"].append(np.fromiter(chain.from_iterable(part.ids), dtype="i4"))
+                got["ends"].append(part.at.astype("i4"))
+                got["sizes"].append(np.diff(part.stops, prepend=0).astype("i4"))
+                got["flat"].append(part.flat.astype("i4"))
             return got
 
         return do
 
     def join_parts(group: pd.DataFrame) -> pd.DataFrame:
         vocabulary = Vocabulary.load(path)
-        marks = vocabulary.special
-        parts = []
-        for _, r in group.sort_values("__part").iterrows():
-            cuts = np.cumsum(r["sizes"])[:-1]
-            parts.append(Part(r["text"], list(map(int, r["ends"])), [list(map(int, x)) for x in np.split(np.asarray(r["flat"]), cuts)]))
-        whole = tree(parts, vocabulary)
-        if marks in whole.text:  # sections between special strings are split apart from each other
-            ids = vocabulary.encode(whole.text)
-        else:
-            ids = np.array(list(chain.from_iterable(whole.ids)), dtype="<u4").tobytes()
-        row = group["__row"].iloc[0]
-        return pd.DataFrame([{"__row": row, out: dict(zip(names, finished(ids, vocabulary, keep), strict=True))}])
-
-    encoded = over_texts(parts, encode_part, "ends array<int>, sizes array<int>, flat array<int>", "__e").select("__row", "__part", "text", "__e.*")
-    joined = encoded.groupBy("__row").applyInPandas(join_parts, f"__row struct<a: string, b: string>, {out} struct<{FIELDS.replace(' ', ': ').replace(',:', ',')}>")
-    whole = numbered.join(joined, "__row").select(*docs.columns, out)
+        sections: list[bytes] = []
+        group = group.sort_values(["section", "part"])
+        for _, own in group.groupby("section", sort=True):
+            parts = [Part(text, np.asarray(ends, dtype="i8"), np.cumsum(sizes, dtype="i8"), np.asarray(flat).astype("u4")) for text, ends, sizes, flat in zip(own["text"], own["ends"], own["sizes"], own["flat"], strict=True)]
+            sections.append(tree(parts, vocabulary).flat.astype("<u4").tobytes())
+        ids = np.array([vocabulary.special_id], dtype="<u4").tobytes().join(sections)
+        return pd.DataFrame([{key: group["row"].iloc[0], out: dict(zip(names, finished(ids, vocabulary, keep), strict=True))}])
+
+    encoded = over_texts(parts, encode_part, "ends array<int>, sizes array<int>, flat array<int>", "e").select("row", "section", "part", "text", "e.*")
+    joined = encoded.groupBy("row").applyInPandas(join_parts, f"`{key}` string, `{out}` struct<{FIELDS.replace(' ', ': ').replace(',:', ',')}>")
+    whole = long.join(joined, key).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{out}`"))
     return short.unionByName(whole)
 
 
