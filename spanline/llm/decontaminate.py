@@ -5,22 +5,24 @@ two words: its shift tells how far the search may skip, as no window can end soo
 windows with that last block, and only those are compared word by word. Windows of each length have their own tables.
 Words are looked up in the benchmark's own vocabulary, so a comparison of ids is a comparison of words.
 
-The benchmark is broadcast in blocks of at most `block_bytes`; a larger one takes as many passes as it has blocks, and
-the found spans of each text are put together, so nothing is dropped.
+The benchmark is dealt by Spark into blocks of at most `block_bytes` (an item that is larger is a block of its own). One block at a time is
+broadcast and searched for in all texts, the spans found are kept as a table, and the next block adds to them, so nothing is
+dropped and neither the driver nor a task ever holds more than a block.
 
 Defined cases: a null text or item has no words; an item without words never occurs; items alike in words both count;
-repeated rows each get a row; empty tables give no rows or no hits.
+repeated rows each get a row; empty tables give no rows or no hits; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, over_texts
+from .common import ascii_words, cut, dropped, free_name, over_texts
 
 WINDOW = 10
 WORDS = ascii_words()
@@ -106,18 +108,21 @@ class Search:
         return spans, items
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int):
-    """The items in blocks of bounded size, read part by part, in the order of item_id."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        block.append((r.item_id or "", r.text))
-        size += len(r.text)
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, list[int]]:
+    """item_id, text and block of the items that have a text, and the blocks' numbers; halved by hashes until none is too large."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // block_bytes))
+    while True:
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+        sizes = dealt.groupBy("block").agg(F.sum(F.octet_length("text")).alias("size"), F.count_distinct("item_id", "text").alias("items"))
+        if not sizes.where((F.col("size") > block_bytes) & (F.col("items") > 1)).limit(1).count():
+            return dealt, sorted(r.block for r in sizes.select("block").collect())
+        n *= 2
+
+
+#: The tables of the block that a worker has searched for last.
+_LAST: dict[str, Search] = {}
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, out: str = "__hit", block_bytes: int = 8 << 20) -> DataFrame:
@@ -126,12 +131,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, out: str = "__hit", bl
     found = docs.withColumn(out, F.lit(None).cast("struct<n_words: long, spans: array<int>, items: array<string>>"))
     kind = "n_words long, spans array<int>, items array<string>"
     columns = docs.columns
+    more_name = free_name(found, "__more")
 
-    def passed(found: DataFrame, block: list) -> DataFrame:
-        search = spark.sparkContext.broadcast(block)
-
+    def passed(found: DataFrame, search) -> DataFrame:
         def work():
-            tables = Search(search.value)
+            name, block = search.value
+            if name not in _LAST:
+                _LAST.clear()
+                _LAST[name] = Search(block)
+            tables = _LAST[name]
 
             def do(texts: list) -> dict:
                 got: dict[str, list] = {"n_words": [], "spans": [], "items": []}
@@ -145,24 +153,29 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, out: str = "__hit", bl
 
             return do
 
-        more = over_texts(found, work, kind, "__more")
-        before, after = f"`{out}`", "__more"
+        more = over_texts(found, work, kind, more_name)
+        before, after = f"`{out}`", f"`{more_name}`"
         both = F.expr(f"named_struct('n_words', {after}.n_words, 'spans', concat(coalesce({before}.spans, array()), {after}.spans), 'items', array_union(coalesce({before}.items, array()), {after}.items))")
         return more.select(*[F.col(f"`{c}`") for c in columns], both.alias(out))
 
-    blocks = 0
-    for block in blocks_of(benchmark, block_bytes):
-        found = passed(found, block)
-        blocks += 1
-    if not blocks:
-        found = passed(found, [])
+    dealt, numbers = blocks_of(benchmark, block_bytes)
+    for k in numbers or [0]:
+        block = sorted((r.item_id, r.text) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect())
+        search = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+        if len(numbers) > 1:
+            before, found = found, cut(passed(found, search))
+            if k != numbers[0]:
+                dropped(before)
+            search.unpersist()
+        else:
+            found = passed(found, search)
     spans = "array_sort(transform(sequence(1, size(s) div 2), i -> struct(s[2 * i - 2] AS a, s[2 * i - 1] AS b)))"
     hit = f"""transform(array(`{out}`.spans), s -> if(size(s) = 0, 0L, aggregate({spans}, struct(0L AS n, 0 AS last),
         (x, y) -> struct(x.n + greatest(0, y.b - greatest(y.a, x.last)) AS n, greatest(x.last, y.b) AS last), x -> x.n)))[0]"""
     items = f"array_sort(`{out}`.items)"
     result = F.expr(f"named_struct('n_words', `{out}`.n_words, 'n_hit', {hit}, 'n_items', bigint(size(`{out}`.items)), 'items', {items}, 'items_sha256', sha2(array_join({items}, ','), 256))")
     done = found.withColumn(out, result)
-    return done.withColumn(out, F.col(out).withField("contaminated", F.col(out)["n_hit"] > 0))
+    return done.withColumn(out, F.col(f"`{out}`").withField("contaminated", F.col(f"`{out}`")["n_hit"] > 0))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
