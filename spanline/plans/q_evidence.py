@@ -11,12 +11,13 @@ from spanline.operators import intervals as I
 from spanline.operators import review as R
 from spanline.operators.scoring import seeded_order
 
-from .q_intervals import DER, OVER, RATE, SETS, SWEEP, R, merged
+from .q_intervals import DER, OVER, RATE, SETS, SWEEP, merged
+from .q_intervals import R as RUNS
 from .registry import query
 from .tables import SYSTEMS, doc_pairs, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
-@query(with_tables("turns_by_system turns_ref", f"""WITH RECURSIVE {R}, t AS (SELECT event_id, recording_id, 'track-' || ascii(speaker_id) AS speaker_id, start_ms, end_ms FROM turns_by_system WHERE system = 'b'), h AS ({merged('t')}), m AS ({OVER}),
+@query(with_tables("turns_by_system turns_ref", f"""WITH RECURSIVE {RUNS}, t AS (SELECT event_id, recording_id, 'track-' || ascii(speaker_id) AS speaker_id, start_ms, end_ms FROM turns_by_system WHERE system = 'b'), h AS ({merged('t')}), m AS ({OVER}),
     refs AS (SELECT recording_id, ref_speaker, row_number() OVER (PARTITION BY recording_id ORDER BY ref_speaker) AS k FROM m GROUP BY 1, 2),
     walk AS (SELECT DISTINCT recording_id, 0 AS k, []::VARCHAR[] AS used, []::VARCHAR[] AS names, 0::BIGINT AS total FROM refs
       UNION ALL SELECT w.recording_id, w.k + 1, CASE WHEN m.hyp_speaker IS NULL THEN w.used ELSE list_append(w.used, m.hyp_speaker) END, CASE WHEN m.hyp_speaker IS NULL THEN w.names ELSE list_append(w.names, m.ref_speaker) END, w.total + coalesce(m.overlap_ms, 0)
