@@ -90,7 +90,7 @@ def neighbour_sums(docs: DataFrame) -> np.ndarray:
                 left = right - 1
                 for own, other, move in ((at[left], at[right], 1), (at[right], at[left], 0)):
                     into = own[:, None] * WORD_SIZE + (places[other] + move) % WORD_SIZE
-                    sums += np.bincount(into.ravel(), signs[other].ravel(), ROWS * WORD_SIZE).astype("i8")
+                    np.add.at(sums, into.ravel(), signs[other].ravel())
         for k, own in enumerate(sums.reshape(SLICES, -1)):
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()])], names=["slice", "sums"])
