@@ -134,7 +134,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, depth, n (the conversation's turns), digest, parent and chars of every prefix of every conversation; kept as a table. Turns go by place."""
     small_batches(turns.sparkSession)
     sized = turns.select("conv_id", "place", "role", "text", F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
-    schema = pa.schema([("conv_id", pa.int64()), ("depth", pa.int32()), ("n", pa.int64()), ("digest", pa.binary()), ("parent", pa.binary()), ("chars", pa.int64())])
+    schema = pa.schema([("conv_id", pa.int64()), ("depth", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("parent", pa.binary()), ("chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, depth, last = None, 0, ROOT
@@ -150,7 +150,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
                 last = digest
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 6, schema, strict=True)], schema=schema)
 
-    return cut(sized.sortWithinPartitions("conv_id", "place").mapInArrow(run, "conv_id long, depth int, n long, digest binary, parent binary, chars long"))
+    return cut(sized.sortWithinPartitions("conv_id", "place").mapInArrow(run, "conv_id long, depth long, n long, digest binary, parent binary, chars long"))
 
 
 def digests_of_ends(ends: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def trie(turns: DataFrame, ids: DataFrame, most: int = MOST_BELOW, shard_nodes:
     below = cut(in_shards)
     hung = below.where("parent_conv_id IS NULL").groupBy("parent").agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
     root = ids.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(
-        F.lit(ROOT).alias("digest"), F.lit(b"\xff" * 32).alias("parent"), "conv_id", F.lit(0).alias("depth"), "n_convs", F.lit(0).cast("long").alias("chars"),
+        F.lit(ROOT).alias("digest"), F.lit(b"\xff" * 32).alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.lit(0).cast("long").alias("chars"),
     )
     above = nodes.where("subtree IS NULL").select(*root.columns).unionByName(root)
     above = above.join(hung.withColumnRenamed("parent", "digest"), "digest", "left").fillna(0, ["children", "leaves", "saved"])
