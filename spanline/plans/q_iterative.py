@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanline.functions.vectors import cosine
 from spanline.operators import clustering as K
+from spanline.operators import decoding as D
+from spanline.operators import graphs as G
 from spanline.operators import scoring as S
 
 from .q_intervals import R, merged
@@ -31,6 +33,18 @@ def k1_spherical_kmeans(spark, sf):
     return own.select("vec_id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH RECURSIVE u AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT DISTINCT embedding::DOUBLE[] AS v FROM embeddings)),
+    m AS (SELECT a.i, list(round(list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 1e-300), 12) ORDER BY b.i) AS row FROM u a, u b GROUP BY a.i),
+    tree AS (SELECT 0::BIGINT AS step, NULL::DOUBLE AS s, list_transform(row, lambda x, k: CASE WHEN k = 1 THEN -9 ELSE x END) AS near FROM m WHERE i = 1
+      UNION ALL SELECT step + 1, list_max(near), list_transform(list_zip(near, row), lambda x, k: CASE WHEN x[1] = -9 OR k = m.i THEN -9 ELSE greatest(x[1], x[2]) END) FROM tree JOIN m ON m.i = list_position(near, list_max(near)) WHERE list_max(near) > -9),
+    w AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS k, count(*) OVER () AS n FROM tree WHERE step > 0),
+    p AS (SELECT n + 2 - k AS n_groups, (coalesce(lag(s) OVER (ORDER BY s DESC), 1.0) - s) / 2 AS score FROM w UNION ALL SELECT 1, (coalesce(min(s), 1.0) + 1) / 2 FROM w)
+    SELECT n_groups::BIGINT AS n_groups, round(greatest(0, least(1, score)), 9) AS score, row_number() OVER (ORDER BY round(greatest(0, least(1, score)), 9) DESC, n_groups DESC) = 1 AS best FROM p""")
+def k2_connectivity(spark, sf):
+    """How long each number of groups lasts while links of ever smaller cosines are added; the longest is the estimate."""
+    return G.connectivity_profile(G.cosine_tree(vectors(spark, sf)))
+
+
 @query("""WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) >= 0.4),
     r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT a AS vec_id, min(b) AS label FROM r GROUP BY 1""")
 def k2_leader_groups(spark, sf):
@@ -83,21 +97,71 @@ def e24_overlap_tracks(spark, sf):
     return K.frame_runs(K.emissions(grid(spark, sf), WEIGHTS).where("p >= 0.5"), ["recording_id", "speaker_id"], HOP, "p")
 
 
-@query()
+#: Staying, switching, relief of switching at bounds, and the distance at which a bound fades.
+STAY, SWITCH, RELIEF, SNAP_MS = 0.16, 0.42, 0.28, 120_000
+
+
+def fused_labels(spark, sf):
+    """(emissions, labels): one speaker or none a frame, switching being cheaper near the systems' bounds."""
+    turns = turns_by_system(spark, sf)
+    p = K.emissions(K.frame_grid(turns, HOP), WEIGHTS)
+    near = D.boundary_scores(p.select(F.col("recording_id").alias("key"), "frame").distinct(), turns.withColumnRenamed("recording_id", "key"), HOP, SNAP_MS, WEIGHTS)
+    return p, D.decode_frame_grid(p, near.withColumnRenamed("key", "recording_id"), SWITCH, STAY, RELIEF)
+
+
+def _labels_sql() -> str:
+    """The best path in a recursive query: at each frame the best way to each state, whose letter joins the path."""
+    weight = "CASE system WHEN 'a' THEN 1.0 WHEN 'b' THEN 0.8 ELSE 0.6 END::DOUBLE"
+    return f"""{GRID}, {EMIT}, bounds AS (SELECT recording_id, start_ms AS pos, {weight} AS w FROM turns_by_system UNION ALL SELECT recording_id, end_ms, {weight} FROM turns_by_system),
+    total AS (SELECT recording_id, sum(w) AS total FROM bounds GROUP BY 1),
+    spine AS (SELECT recording_id, unnest(range(a, b + 1)) AS frame, a FROM (SELECT recording_id, min(frame) AS a, max(frame) AS b FROM p GROUP BY 1)),
+    near AS (SELECT f.recording_id, f.frame, round(sum(w * exp(-abs((f.frame + 0.5) * {HOP} - pos) / {SNAP_MS}.0)) / any_value(total), 9) AS boundary FROM (SELECT DISTINCT recording_id, frame FROM p) f JOIN bounds USING (recording_id) JOIN total USING (recording_id) GROUP BY 1, 2),
+    names AS (SELECT recording_id, speaker_id, chr((97 + row_number() OVER (PARTITION BY recording_id ORDER BY speaker_id))::INTEGER) AS code FROM (SELECT DISTINCT recording_id, speaker_id FROM p)),
+    states AS (SELECT recording_id, speaker_id, code FROM names UNION ALL SELECT DISTINCT recording_id, '-', 'a' FROM p),
+    steps AS (SELECT s.recording_id, s.frame, s.frame - s.a AS t, code, CAST(round(CASE WHEN code = 'a' THEN 0.34 ELSE coalesce(p.p, 0) END * 1000000000) AS BIGINT) AS e,
+        CAST(round(greatest(0.0, {SWITCH}::DOUBLE - {RELIEF}::DOUBLE * coalesce(boundary, 0.0)) * 1000000000) AS BIGINT) AS sw
+        FROM spine s JOIN states st USING (recording_id) LEFT JOIN p ON p.recording_id = s.recording_id AND p.frame = s.frame AND p.speaker_id = st.speaker_id LEFT JOIN near n ON n.recording_id = s.recording_id AND n.frame = s.frame),
+    walk AS (SELECT recording_id, t, code, e AS score, code AS path FROM steps WHERE t = 0
+      UNION ALL SELECT recording_id, t, code, score, path FROM (SELECT s.recording_id, s.t, s.code, w.score + s.e + CASE WHEN w.code = s.code THEN {round(STAY * 10**9)} ELSE -s.sw END AS score, w.path || s.code AS path,
+        row_number() OVER (PARTITION BY s.recording_id, s.code ORDER BY w.score + CASE WHEN w.code = s.code THEN {round(STAY * 10**9)} ELSE -s.sw END DESC, w.code <> s.code, w.code) AS k FROM walk w JOIN steps s ON s.recording_id = w.recording_id AND s.t = w.t + 1) WHERE k = 1),
+    done AS (SELECT recording_id, path FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t DESC, score DESC, code) AS k FROM walk) WHERE k = 1),
+    labels AS (SELECT s.recording_id, s.frame, st.speaker_id FROM (SELECT DISTINCT recording_id, frame, t FROM steps) s JOIN done d USING (recording_id) JOIN states st ON st.recording_id = s.recording_id AND st.code = d.path[s.t + 1])"""
+
+
+@query(with_tables("turns_by_system", f"WITH RECURSIVE {_labels_sql()} SELECT recording_id, speaker_id, CAST(min(frame) * {HOP} AS BIGINT) AS start_ms, CAST((max(frame) + 1) * {HOP} AS BIGINT) AS end_ms FROM (SELECT *, frame - row_number() OVER (PARTITION BY recording_id, speaker_id ORDER BY frame) AS run FROM labels WHERE speaker_id <> '-') GROUP BY recording_id, speaker_id, run"))
 def e23_frame_fusion(spark, sf):
-    labels = K.decode_frames(K.emissions(grid(spark, sf), WEIGHTS)).where("speaker_id <> '-'")
-    return K.frame_runs(labels, ["recording_id", "speaker_id"], HOP)
+    _, labels = fused_labels(spark, sf)
+    return K.frame_runs(labels.where("speaker_id <> '-'"), ["recording_id", "speaker_id"], HOP)
+
+
+def scored_turns(spark, sf):
+    """Turns with scores of three roles from segment arithmetic; every seventh place is locked to one role, every eleventh turn a given anchor."""
+    roles = F.array(*[F.struct(F.lit(r).alias("speaker_id"), F.when(F.lit(r) == F.col("speaker_id"), F.col("confidence")).otherwise((1 - F.col("confidence")) / 2).alias("score")) for r in ("assistant", "system", "user")])
+    locked = F.when((F.col("recording_id") + F.col("turn")) % 7 == 0, "assistant")
+    return segments(spark, sf).select(F.col("recording_id").alias("key"), F.col("turn").alias("turn_id"), "start_ms", "end_ms", "speaker_id", locked.alias("locked"), (locked.isNull() & ((F.col("recording_id") + F.col("turn")) % 11 == 5)).alias("strong"), roles.alias("scores"))
+
+
+@query(with_tables("segments", f"""WITH RECURSIVE s AS (SELECT recording_id, turn, speaker_id AS own, confidence, row_number() OVER w AS t, exp(-greatest(0, coalesce(start_ms - lag(end_ms) OVER w, 0)) / {D.FADE_MS}.0::DOUBLE) AS near,
+      CASE WHEN (recording_id + turn) % 7 = 0 THEN 'assistant' END AS locked, (recording_id + turn) % 7 <> 0 AND (recording_id + turn) % 11 = 5 AS strong FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, end_ms, turn)),
+    e AS (SELECT *, CASE WHEN role = own THEN confidence ELSE (1 - confidence) / 2 END AS score FROM s, (SELECT unnest(['assistant', 'system', 'user']) AS role)),
+    r AS (SELECT *, row_number() OVER w AS k, first_value(role) OVER w AS top, first_value(score) OVER w AS best, nth_value(score, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM e WINDOW w AS (PARTITION BY recording_id, t ORDER BY score DESC, role)),
+    c AS (SELECT recording_id, turn, t, own, role, CAST(round(score * 1000000000) AS BIGINT) AS e, CAST(round({D.STAY}::DOUBLE * near * 1000000000) AS BIGINT) AS stay, CAST(round({D.SWITCH}::DOUBLE * near * 1000000000) AS BIGINT) AS switch
+      FROM r WHERE CASE WHEN locked IS NOT NULL THEN role = locked WHEN strong OR (top = own AND best >= {D.ANCHOR[0]} AND round(best - second, 12) >= {D.ANCHOR[1]}) THEN role = own ELSE k <= 2 OR role = own END),
+    w AS (SELECT recording_id, t, [role] AS path, e AS total FROM c WHERE t = 1
+      UNION ALL SELECT c.recording_id, c.t, list_append(path, role), total + e + CASE WHEN path[-1] = role THEN stay ELSE -switch END FROM w JOIN c ON c.recording_id = w.recording_id AND c.t = w.t + 1),
+    best AS (SELECT recording_id, path FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t DESC, total DESC, list_reverse(path)) AS k FROM w) WHERE k = 1)
+    SELECT s.recording_id, s.turn, s.own AS speaker_id, path[s.t] AS decoded FROM s JOIN best USING (recording_id)"""))
+def e22_speaker_sequence(spark, sf):
+    """The best path under locks and anchors, two candidates a turn besides the own speaker."""
+    path = D.decode_turns(scored_turns(spark, sf), top=2, protect=None)
+    return path.select(F.col("key").alias("recording_id"), F.col("turn_id").alias("turn"), "speaker_id", "decoded")
 
 
 @query()
-def e22_speaker_sequence(spark, sf):
-    """Scores of three roles from segment arithmetic, decoded with a bonus for staying."""
-    s = segments(spark, sf)
-    gap = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy("recording_id").orderBy("turn")), F.lit(0))
-    roles = F.explode(F.array(*map(F.lit, ("assistant", "system", "user")))).alias("role")
-    score = F.when(F.col("role") == F.col("speaker_id"), F.col("confidence")).otherwise((1 - F.col("confidence")) / 2)
-    rows = s.withColumn("gap", gap).select("recording_id", "turn", "speaker_id", "confidence", "gap", roles)
-    return K.decode_speakers(rows.select("recording_id", "turn", F.col("role").alias("speaker_id"), score.alias("score"), "gap"))
+def e22_protected_sequence(spark, sf):
+    """As e22_speaker_sequence, and speakers that lost all their turns get one back; with reasons."""
+    path = D.decode_turns(scored_turns(spark, sf), top=2, protect="all")
+    return path.select(F.col("key").alias("recording_id"), F.col("turn_id").alias("turn"), "speaker_id", "decoded", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(with_tables("turns_by_system turns_ref", f"WITH {GRID}, {EMIT}, t AS (SELECT DISTINCT recording_id, speaker_id, unnest(range(f, l + 1)) AS frame FROM (SELECT *, CAST(ceil((start_ms - {HOP} / 2) / {HOP}) AS BIGINT) AS f, CAST(ceil((end_ms - {HOP} / 2) / {HOP}) AS BIGINT) - 1 AS l FROM turns_ref) WHERE f <= l), j AS (SELECT t.frame IS NOT NULL AS truth, coalesce(p.p >= 0.5, false) AS pred FROM t FULL JOIN p ON t.recording_id = p.recording_id AND t.speaker_id = p.speaker_id AND t.frame = p.frame), c AS (SELECT count(*) FILTER (truth AND pred) AS tp, count(*) FILTER (NOT truth AND pred) AS fp, count(*) FILTER (truth AND NOT pred) AS fn, count(*) FILTER (NOT truth AND NOT pred) AS tn FROM j) SELECT *, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c"))
@@ -150,15 +214,11 @@ def k10_best_system(spark, sf):
     return out.groupBy("recording_id").agg(F.max(F.struct("ms", "system")).alias("b")).select("recording_id", F.col("b.system").alias("system"), F.col("b.ms").alias("ms"))
 
 
-@query()
+@query(with_tables("turns_by_system", f"""WITH RECURSIVE {_labels_sql()}, lost AS (SELECT *, frame - row_number() OVER (PARTITION BY recording_id, speaker_id ORDER BY frame) AS run FROM p ANTI JOIN labels USING (recording_id, speaker_id)),
+    runs AS (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker_id ORDER BY n DESC, mean DESC, a) AS k FROM (SELECT recording_id, speaker_id, run, count(*) AS n, round(avg(p), 9) AS mean, min(frame) AS a FROM lost GROUP BY 1, 2, 3)),
+    back AS (SELECT recording_id, frame, speaker_id AS back FROM (SELECT l.*, row_number() OVER (PARTITION BY l.recording_id, l.frame ORDER BY l.p DESC, l.speaker_id) AS place FROM lost l JOIN runs r ON r.k = 1 AND l.recording_id = r.recording_id AND l.speaker_id = r.speaker_id AND l.run = r.run) WHERE place = 1)
+    SELECT recording_id, frame, coalesce(back, speaker_id) AS speaker_id, back IS NOT NULL AS restored FROM labels LEFT JOIN back USING (recording_id, frame)"""))
 def k11_restore_speakers(spark, sf):
-    """Speakers that fusion lost, put back at their longest strong run."""
-    p = K.emissions(grid(spark, sf), WEIGHTS)
-    kept = K.decode_frames(p).where("speaker_id <> '-'").select("recording_id", "speaker_id").distinct()
-    lost = p.join(kept, ["recording_id", "speaker_id"], "left_anti")
-    runs = K.frame_runs(lost, ["recording_id", "speaker_id"], HOP, "p")
-    best = F.max(F.struct((F.col("end_ms") - F.col("start_ms")).alias("d"), "mean", "start_ms", "end_ms")).alias("b")
-    found = runs.groupBy("recording_id", "speaker_id").agg(best).select("recording_id", "speaker_id", "b.start_ms", "b.end_ms")
-    return found.unionByName(kept.select("recording_id", "speaker_id", F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms")))
-
-
+    """The fused labels, with speakers that fusion lost put back at their longest run."""
+    p, labels = fused_labels(spark, sf)
+    return D.with_lost_speakers(labels, p)
