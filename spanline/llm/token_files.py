@@ -7,8 +7,8 @@ reads the row groups that may hold them. A row also has its file's number and th
 of a document in the whole sequence needs the files' totals only, one row a file.
 
 Encoding: white space never lies inside a token of such vocabularies (checked in the file itself), so a text is the ids of
-its words one after another; words' ids come from the library and are kept for the next time. Texts with characters
-outside PLAIN or with special strings, and all texts of other vocabularies, go through the library as a whole.
+its words one after another, and words' ids are kept for the next time. Texts with characters outside PLAIN or with special
+strings, and all texts of other vocabularies, go through the library as a whole.
 
 Defined cases: a null or empty text is its end id alone; null doc_ids come first; rows of one doc_id are ordered by a hash of
 their text and dealt to several tasks where they are many, each with its own row; a very long text is one row (its ids take
@@ -23,7 +23,8 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,11 +41,67 @@ STRIPE_BYTES = 32 << 20
 #: Rows that the reader of nested columns holds at a time.
 ROWS_READ = 256
 #: Words' ids that a task keeps at most; beyond that it starts anew. Longer words are not kept.
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+KEPT_WORDS, KEPT_CHARS = 600_000, 64
 #: Characters that every Unicode version lower-cases one by one, leaves composed and sorts alike into letters, digits, white space and the rest.
 PLAIN = re.compile("[\t\n\r -~\xa0-įı-ɏ‐-‧‰-⁞₠-₿]*")
 
 
+class Words(dict):
+    """Ids of lower-case words without white space, found when first asked for.
+
+    Letters alone, with marks before or behind them, are merged by rank over symbols of one byte: a word's last byte has a symbol of its
+    own, as its tokens differ from those inside words. Ranks do what the file's merges do where each token's own merges lead to it and come
+    in the order of ids (both hold for the files tested). All else, contractions and digits among it, the library encodes.
+    """
+
+    SHAPE = re.compile(r"([^\w']*)([^\W\d_²³¹¼½¾]+)([^\w']*)")
+    INSIDE, LAST = {*range(97, 123), *range(0x80, 0xE0)}, {**{b: b - 32 for b in range(97, 123)}, **{b: b - 128 for b in range(0x80, 0xC0)}}
+
+    def __init__(self, content: dict, library: Callable[[str], bytes]):
+        import tiktoken
+
+        from .bpe import byte_letters
+
+        super().__init__()
+        self.library = library
+        letters, vocabulary, end = byte_letters(), content["model"]["vocab"], content["model"]["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in content["model"]["merges"]]
+        ids = [vocabulary[a + b] for a, b in pairs]
+        self.by_ranks = bool(end) and ids == sorted(ids) and ids[0] >= 512
+        ranks = {}
+        for token, k in vocabulary.items() if self.by_ranks else ():
+            last = token.endswith(end)
+            symbols = [letters.get(c, 0) for c in token.removesuffix(end)]
+            if last and symbols:
+                symbols[-1], fits = self.LAST.get(symbols[-1], 0), symbols[-1] in self.LAST
+            else:
+                fits = bool(symbols) and symbols[-1] in self.INSIDE
+            if fits and self.INSIDE.issuperset(symbols[:-1]):
+                ranks[bytes(symbols)] = k
+        self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece if ranks else None
+
+    def __missing__(self, word: str) -> bytes:
+        shape = self.SHAPE.fullmatch(word) if self.by_ranks else None
+        if shape:
+            before, core, behind = shape.groups()
+            symbols = core.encode()
+            ids = array("I", self.merge(symbols[:-1] + bytes((self.LAST[symbols[-1]],)))).tobytes()
+            if before:
+                ids = (self[before] if before in self else self.keep(before, self.library(before))) + ids
+            if behind:
+                ids += self[behind] if behind in self else self.keep(behind, self.library(behind))
+        else:
+            ids = self.library(word)
+        return self.keep(word, ids)
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, as bytes of little-endian 32-bit integers, equal to the library's for the whole text."""
 
@@ -57,34 +114,21 @@ class Encoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        self.by_words = splits_at_spaces(content)
         self.special = re.compile("|".join(re.escape(x["content"]) for x in content["added_tokens"]) or "(?!)")
-        self.kept: dict[str, bytes] = {}
+        self.words = Words(content, self.library) if splits_at_spaces(content) else None
 
     @staticmethod
     @lru_cache(maxsize=2)
     def load(path: str) -> Encoder:
         return Encoder(path)
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.lower().split() if self.by_words and PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
-        new = list(set().union(*filter(None, words)).difference(self.kept))
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = list(set().union(*filter(None, words)))
-        ids = dict(zip(new, self.library(new), strict=True))
-        self.kept.update(ids)
-        out = [b"" if x is None else b"".join(map(self.kept.__getitem__, x)) for x in words]
-        for word in new:
-            if len(word) > KEPT_CHARS:
-                del self.kept[word]
-        whole = [k for k, x in enumerate(words) if x is None]
-        for k, got in zip(whole, self.library([texts[k] for k in whole]), strict=True):
-            out[k] = got
-        return out
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if self.words is not None and PLAIN.fullmatch(text) and not self.special.search(text):
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return self.library(text)
 
 
 def splits_at_spaces(content: dict) -> bool:
@@ -113,7 +157,7 @@ def ids_in_order(docs: DataFrame, path: str, end_id: int, files: int | None = No
         for batch in batches:
             start = 0
             for texts in slices(batch.column(1)):
-                ids = [x + end for x in encoder.encode([t or "" for t in texts.to_pylist()])]
+                ids = [encoder.encode(t or "") + end for t in texts.to_pylist()]
                 sizes = np.array([len(x) // 4 for x in ids], dtype="i8")
                 ends = sizes.cumsum()
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype("i4")), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))

@@ -93,8 +93,36 @@ def test_other_vocabularies_go_through_the_library(spark):
     from tokenizers import Tokenizer
 
     encoder, lib = token_files.Encoder(path), Tokenizer.from_file(path)
-    assert not encoder.by_words and token_files.Encoder(PATH).by_words
-    assert encoder.encode(["Two  words"]) == [np.array(lib.encode("Two  words", add_special_tokens=False).ids, dtype="<u4").tobytes()]
+    assert encoder.words is None and token_files.Encoder(PATH).words.by_ranks
+    assert encoder.encode("Two  words") == np.array(lib.encode("Two  words", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_ranks_do_what_the_merges_do():
+    """Each token's own merges, in the order of the file, lead to it: then a pair whose joint bytes are a token is that token's last merge."""
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order, end = {p: k for k, p in enumerate(pairs)}, model["end_of_word_suffix"]
+    for token in model["vocab"]:
+        body = token.removesuffix(end)
+        parts = [*body[:-1], body[-1] + end * token.endswith(end)] if body else []
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: order.get((parts[i], parts[i + 1]), len(order)))
+            if (parts[k], parts[k + 1]) not in order:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert parts == [token] or not body or token.startswith("<|")
+
+
+def test_words_equal_the_library():
+    rng, encoder, lib = random.Random(4), token_files.Encoder(PATH), library()
+    letters = "abcdefghijklmnopqrstuvwxyzéèñüßçøªµºāžƀɏ" * 3 + "'.,;:!?()«»-_0²½…"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(40_000)} | {w for t in texts() if t and token_files.PLAIN.fullmatch(t) for w in t.lower().split()}
+    for word in words:
+        if token_files.PLAIN.fullmatch(word) and not encoder.special.search(word):
+            assert encoder.words[word] == np.array(lib.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes(), word
 
 
 def test_query(spark):
