@@ -5,14 +5,17 @@ Loops run on the driver, but each round is a job over all vectors or frames; wha
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.functions.vectors import cosine, dot, unit
 from spanline.lineage import cut
+from spanline.operators.diarization import best_assignment
+from spanline.operators.graphs import components, connectivity_profile, cosine_tree
 
 
 def unit_vectors(df: DataFrame) -> DataFrame:
@@ -25,9 +28,12 @@ def literal(vectors: list[list[float]]) -> Column:
 
 
 def assigned(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """points with the nearest centroid by cosine (ties: the lowest number) and its similarity."""
+    """points with the nearest centroid by cosine (ties: the lowest number), or the one of its lock where it has one, and its similarity."""
     ways = F.transform(literal(centroids), lambda c, k: F.struct(F.round(dot(F.col("v"), c), 12).alias("s"), (-k).alias("k")))
-    return points.withColumn("b", F.array_max(ways)).select("vec_id", "v", (-F.col("b.k")).alias("cluster"), F.col("b.s").alias("similarity"))
+    if "lock" not in points.columns:
+        return points.withColumn("b", F.array_max(ways)).select("vec_id", "v", (-F.col("b.k")).alias("cluster"), F.col("b.s").alias("similarity"))
+    best = F.when(F.col("lock").isNull(), F.array_max("ways")).otherwise(F.get("ways", F.col("lock")))
+    return points.withColumn("ways", ways).withColumn("b", best).select("vec_id", "v", (-F.col("b.k")).alias("cluster"), F.col("b.s").alias("similarity"), "lock")
 
 
 def mean_vectors(points: DataFrame) -> dict[int, list[float]]:
@@ -42,16 +48,29 @@ def centroids_of(points: DataFrame) -> dict[int, list[float]]:
 
 
 def spherical_kmeans(points: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, list[list[float]]]:
-    """Farthest-first start from the smallest id, then assignment and mean until nothing moves; an empty cluster takes the point farthest from its own."""
+    """Farthest-first start from the smallest id, then assignment and mean until nothing moves; an empty cluster takes the free point farthest from its own.
+
+    With a column `lock` (int, null for a free point) a point's cluster is fixed: locks 0, 1, ... start from the mean of their points, the other clusters farthest-first.
+    """
     points = cut(points)
-    centres = [points.orderBy("vec_id").first().v]
+    free, centres = points, []
+    if "lock" in points.columns:
+        free = points.where(F.col("lock").isNull())
+        fixed = centroids_of(points.where(F.col("lock").isNotNull()).withColumn("cluster", F.col("lock")))
+        if set(fixed) != set(range(len(fixed))) or len(fixed) > k:
+            raise ValueError(f"locks must be 0, 1, ... and fewer than {k} or as many: {sorted(fixed)}")
+        centres = [fixed[c] for c in sorted(fixed)]
+    if not centres:
+        centres.append(points.orderBy("vec_id").first().v)
     while len(centres) < k:
-        nearest = assigned(points, centres).orderBy("similarity", "vec_id").first()
+        nearest = assigned(free, centres).orderBy("similarity", "vec_id").first()
+        if nearest is None:
+            raise ValueError(f"fewer points than {k} clusters")
         centres.append(nearest.v)
     for _ in range(rounds):
         own = assigned(points, centres)
         new = centroids_of(own)
-        worst = own.orderBy("similarity", "vec_id").limit(k).collect() if len(new) < k else []
+        worst = (own.where(F.col("lock").isNull()) if "lock" in points.columns else own).orderBy("similarity", "vec_id").limit(k).collect() if len(new) < k else []
         after = [new.get(c) or worst.pop(0).v for c in range(k)]
         if np.allclose(after, centres, atol=1e-9):
             break
@@ -90,16 +109,125 @@ def cluster_quality(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     return points.sparkSession.createDataFrame([tuple(round(x, 6) if isinstance(x, float) else x for x in out.values())], kinds)
 
 
-def choose_count(points: DataFrame, counts: range) -> DataFrame:
-    """The quality of each count, normalised over all of them, and the chosen one."""
-    out = None
+#: Weights of a run's stability: adjusted Rand, Jaccard, co-association, aligned accuracy.
+STABILITY = {"adjusted_rand": 0.35, "jaccard": 0.25, "coassociation": 0.2, "aligned_accuracy": 0.2}
+
+
+def agreement(cells: dict[tuple[int, int], int], mapped: dict[int, int] | None = None) -> dict[str, float]:
+    """Measures of two labelings from their table of counts; `mapped` takes labels of the second to those of the first, by default with the most common points."""
+    two = lambda n: n * (n - 1) // 2
+    left, right = Counter(), Counter()
+    for (a, b), n in cells.items():
+        left[a] += n
+        right[b] += n
+    both, one, other, total = (sum(map(two, x)) for x in (cells.values(), left.values(), right.values(), [sum(cells.values())]))
+    if mapped is None:
+        rows, columns = sorted(left), sorted(right)
+        mapped = {columns[j]: rows[i] for i, j in best_assignment([[cells.get((a, b), 0) for b in columns] for a in rows])}
+    spread = (one + other) / 2 - one * other / max(total, 1)
+    rand = (both - one * other / max(total, 1)) / spread if abs(spread) > 1e-12 else float(both == one == other)
+    clear = lambda x: round(min(1.0, max(0.0, x)), 9)
+    return {
+        "adjusted_rand": clear(rand), "jaccard": clear(both / (one + other - both) if one + other > both else 1), "coassociation": clear(1 - (one + other - 2 * both) / total if total else 1),
+        "aligned_accuracy": clear(sum(n for (a, b), n in cells.items() if mapped.get(b) == a) / max(sum(cells.values()), 1)),
+    }
+
+
+def stability(points: DataFrame, own: DataFrame, centres: list[list[float]], runs: int = 5, seed: str = "stability", keep: float = 0.8) -> list[dict]:
+    """For each run: a seeded hash keeps a share of the points (locked ones in any case), these are clustered anew, all points go to the new centroids, and the labels are compared with `own`.
+
+    Labels are matched by the centroids' cosines. Only tables of k by k counts come to the driver.
+    """
+    out, k = [], len(centres)
+    locked = F.col("lock").isNotNull() if "lock" in points.columns else F.lit(False)
+    for run in range(runs):
+        chance = F.pmod(F.xxhash64(F.lit(f"{seed}:{run}"), F.col("vec_id")), F.lit(1_000_000)) / 1_000_000
+        kept = points.where(locked | (chance < keep))
+        represented = own.join(kept.select("vec_id"), "vec_id", "left_semi").select("cluster").distinct().count()
+        _, new = spherical_kmeans(kept, k)
+        both = own.select("vec_id", F.col("cluster").alias("a")).join(assigned(points, new).select("vec_id", F.col("cluster").alias("b"), "similarity"), "vec_id")
+        rows = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(0.0), "similarity")).alias("s")).collect()
+        near = np.array(centres) @ np.array(new).T + 1  # above 0, so that all are matched
+        mapped = {b: a for a, b in best_assignment(near.tolist())}
+        found = agreement({(r.a, r.b): r.n for r in rows}, mapped)
+        total = sum(r.n for r in rows)
+        out.append({"run": run, **found, "coverage": round(represented / k, 9), "compactness": round(sum(r.s for r in rows) / max(total, 1), 6), "stability": round(sum(w * found[m] for m, w in STABILITY.items()), 9)})
+    return out
+
+
+#: Weights of the measures in the consensus of a count, and how near to the best value a measure votes for it.
+MEASURES = {
+    "compactness": (0.18, 0.015), "silhouette": (0.16, 0.05), "calinski_harabasz": (0.11, 0.05), "davies_bouldin": (0.09, 0.05), "eigengap": (0.16, 0.05), "stability": (0.18, 0.03), "separation": (0.12, 0.04),
+}
+
+
+def count_bounds(available: int, mode: str = "auto", least: int | None = None, most: int | None = None, locks: int = 0, most_auto: int | None = None) -> range:
+    """The counts that a policy allows: `manual` (least = most, exactly that), `hybrid` (least to most, hard) or `auto`; locks are a lower bound, points and most_auto upper ones. Contradictions are errors."""
+    if mode == "manual":
+        low = high = least or 0
+    else:
+        low, high = max(1, locks), min(available, most_auto or available)
+        if mode == "hybrid":
+            low, high = max(low, least or 1), min(high, most or high)
+    if not max(1, locks) <= low <= high <= available:
+        raise ValueError(f"no count is allowed: {low} to {high} of {available} points with {locks} locked speakers")
+    return range(low, high + 1)
+
+
+def sizes_of(own: DataFrame) -> dict[str, float]:
+    """Cluster sizes: singletons, clusters of at most two points and under a twentieth of the mean size, the least; and 1 - mean similarity."""
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("similarity").alias("s")).collect()
+    total, least = sum(r.n for r in sizes), min(r.n for r in sizes)
+    return {"singletons": sum(r.n == 1 for r in sizes), "tiny": sum(r.n == 1 or (r.n <= 2 and 20 * r.n * len(sizes) <= total) for r in sizes), "least_size": least, "residual": round(1 - sum(r.s for r in sizes) / total, 6)}
+
+
+def lone_outlier(fewer: dict, more: dict) -> bool:
+    """Whether the step from one count to the next only parts a single point from clusters that hold together without: such a point makes no speaker."""
+    return (
+        more["k"] == fewer["k"] + 1 and more["singletons"] == more["tiny"] == more["least_size"] == 1 and fewer["singletons"] == fewer["tiny"] == 0 and fewer["least_size"] >= 2
+        and fewer["compactness"] >= 0.75 and fewer["residual"] <= 0.25 and fewer["stability"] >= 0.9 and more["stability"] >= fewer["stability"] - 0.1
+    )
+
+
+def close_voices(fewer: dict, more: dict) -> bool:
+    """Whether the step to the next count takes four fifths of the residual away with stable clusters of two points or more: two voices near each other."""
+    return (
+        more["k"] == fewer["k"] + 1 and fewer["singletons"] == fewer["tiny"] == more["singletons"] == more["tiny"] == 0 and more["least_size"] >= 2 and fewer["residual"] >= 1e-5
+        and more["residual"] <= 0.2 * fewer["residual"] and more["compactness"] > fewer["compactness"] and more["silhouette"] >= fewer["silhouette"]
+        and more["stability"] >= 0.9 and more["stability"] >= fewer["stability"] - 0.08
+    )
+
+
+def choose_count(points: DataFrame, counts: range, runs: int = 3) -> DataFrame:
+    """(k, each measure, votes, consensus, score, chosen, reason): the number of clusters by the votes of seven measures, then their weighted consensus.
+
+    A measure votes for the counts near its best value. Then the choice moves down while the last cluster is a lone outlier, and up where the next count parts close voices;
+    with one allowed count there is nothing to choose. Only tables with a row a count or a cluster come to the driver.
+    """
+    points = cut(points)
+    profile = connectivity_profile(cosine_tree(points)).where(F.col("n_groups").between(counts[0], counts[-1])).collect()
+    gaps, rows = {r.n_groups: r.score for r in profile}, []
     for k in counts:
         own, centres = spherical_kmeans(points, k)
-        q = cluster_quality(own, centres)
-        out = q if out is None else out.unionByName(q)
-    top = Window.partitionBy(F.lit(1))  # one row a count
-    scored = out.withColumn("score", F.round(F.col("silhouette") / F.greatest(F.max(F.abs("silhouette")).over(top), F.lit(1e-12)), 6))
-    return scored.withColumn("chosen", F.row_number().over(top.orderBy(F.desc("score"), "k")) == 1)
+        own = cut(own)
+        q = cluster_quality(own.drop("lock"), centres).first()
+        row = {"k": k, "compactness": q.compactness, "silhouette": q.silhouette if k > 1 else 0.0, "separation": q.separation or 0.0, "eigengap": gaps.get(k, 0.0)}
+        row |= {"calinski_harabasz": (q.calinski_harabasz or 0) / (1 + (q.calinski_harabasz or 0)), "davies_bouldin": 1 / (1 + q.davies_bouldin) if q.davies_bouldin is not None else 0.0}
+        again = stability(points, own, centres, runs)
+        rows.append(row | sizes_of(own) | {"stability": sum(x["stability"] for x in again) / len(again)})
+    best = {m: max(r[m] for r in rows) for m in MEASURES}
+    for r in rows:
+        r["votes"] = sum(best[m] - r[m] <= near for m, (_, near) in MEASURES.items())
+        r["consensus"] = sum(w * (1.0 if best[m] <= 1e-12 else min(1.0, max(0.0, r[m] / best[m]))) for m, (w, _) in MEASURES.items())
+    at, reason = max(range(len(rows)), key=lambda i: (rows[i]["votes"], rows[i]["consensus"], -i)), "votes"
+    while at + 1 < len(rows) and close_voices(rows[at], rows[at + 1]):
+        at, reason = at + 1, "close voices"
+    while at and lone_outlier(rows[at - 1], rows[at]):
+        at, reason = at - 1, "lone outlier"
+    fields = ["k", *MEASURES, "residual", "singletons", "least_size", "votes", "consensus"]
+    kinds = {"k": "int", "singletons": "int", "least_size": "long", "votes": "int"}
+    data = [tuple(round(r[f], 6) if isinstance(r[f], float) else r[f] for f in fields) + (i == at, reason if i == at else None) for i, r in enumerate(rows)]
+    return points.sparkSession.createDataFrame(data, ", ".join(f"{f} {kinds.get(f, 'double')}" for f in fields) + ", chosen boolean, reason string")
 
 
 #: Vectors of a query block, and of the points that a task compares with it at once.
@@ -126,7 +254,7 @@ def links_to(ids: np.ndarray, block: np.ndarray, batches, threshold: float):
 
 
 def leader_groups(points: DataFrame, threshold: float, block_rows: int = BLOCK) -> DataFrame:
-    """Groups of vectors linked by a cosine of at least the threshold (above 0), from repeated minima over links.
+    """Groups of vectors linked by a cosine of at least the threshold (above 0), as components of the links.
 
     Equal vectors count once. The others are dealt into blocks of about `block_rows`; each block in turn is a broadcast that all
     vectors of this and later blocks are compared with, so every pair is looked at. A zero vector is a group of its own.
@@ -146,14 +274,8 @@ def leader_groups(points: DataFrame, threshold: float, block_rows: int = BLOCK)
         own = one.where(F.col("block") >= k).select("vec_id", "v").mapInArrow(lambda batches, query=query: links_to(*query.value, batches, threshold), "a long, b long")
         links = links.unionByName(cut(own.where("a <> b")))
         query.unpersist()
-    label = points.select("vec_id", F.col("vec_id").alias("label"))
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    while True:
-        least = both.join(label.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        new = cut(label.join(least.withColumnRenamed("a", "vec_id"), "vec_id", "left").select("vec_id", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce("m", "label") < F.col("label")).alias("moved")))
-        label = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return label
+    found = components(links)
+    return points.select("vec_id").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("label", "vec_id").alias("label"))
 
 
 def frame_grid(turns: DataFrame, hop_ms: int) -> DataFrame:
@@ -181,20 +303,6 @@ def viterbi(scores: np.ndarray, switch: float) -> list[int]:
     return path[::-1]
 
 
-def decode_frames(p: DataFrame, switch: float = 0.5) -> DataFrame:
-    """One speaker (or none, `-`) for each frame of a recording: Viterbi over emissions; one recording's frames go to the solver."""
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        table = part.pivot_table(index="frame", columns="speaker_id", values="p", fill_value=0.0)
-        table = table.reindex(range(int(table.index.min()), int(table.index.max()) + 1), fill_value=0.0).sort_index(axis=1)
-        names = ["-", *table.columns]
-        scores = np.column_stack([np.full(len(table), 0.34), table.to_numpy()])
-        path = viterbi(scores, switch)
-        return pd.DataFrame({"recording_id": part["recording_id"].iloc[0], "frame": table.index, "speaker_id": [names[k] for k in path]})
-
-    return p.groupBy("recording_id").applyInPandas(solve, "recording_id string, frame long, speaker_id string")
-
-
 def frame_runs(frames: DataFrame, keys: list[str], hop_ms: int, value: str | None = None) -> DataFrame:
     """Runs of frames in a row with equal keys, as spans, with the mean of a value."""
     w = Window.partitionBy(*keys).orderBy("frame")
@@ -203,29 +311,6 @@ def frame_runs(frames: DataFrame, keys: list[str], hop_ms: int, value: str | Non
     return runs.groupBy(*keys, "run").agg(*out).select(*keys, (F.col("a") * hop_ms).cast("long").alias("start_ms"), ((F.col("b") + 1) * hop_ms).cast("long").alias("end_ms"), *(["mean"] if value else []))
 
 
-def decode_speakers(scores: DataFrame, stay: float = 0.2) -> DataFrame:
-    """The best speaker sequence of each recording from candidate scores (recording_id, turn, speaker_id, score, gap): staying pays more the shorter the gap."""
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["turn", "speaker_id"])
-        names = sorted(part["speaker_id"].unique())
-        table = part.pivot_table(index="turn", columns="speaker_id", values="score", fill_value=-1.0)[names]
-        gap = part.groupby("turn")["gap"].first().to_numpy()
-        best, back = table.to_numpy()[0].copy(), []
-        for row, g in zip(table.to_numpy()[1:], gap[1:], strict=True):
-            bonus = stay * np.exp(-max(g, 0) / 1800)
-            ways = best[:, None] + bonus * np.eye(len(names))
-            back.append(ways.argmax(axis=0))
-            best = ways.max(axis=0) + row
-        path = [int(best.argmax())]
-        for step in reversed(back):
-            path.append(int(step[path[-1]]))
-        return pd.DataFrame({"recording_id": part["recording_id"].iloc[0], "turn": table.index, "speaker_id": [names[k] for k in path[::-1]]})
-
-    kind = dict(scores.dtypes)["recording_id"]
-    return scores.groupBy("recording_id").applyInPandas(solve, f"recording_id {kind}, turn long, speaker_id string")
-
-
 def consensus_labels(grid: DataFrame, least: int = 2) -> DataFrame:
     """The speaker on which most systems agree in a frame, if at least `least` do and no other has as many."""
     votes = grid.groupBy("recording_id", "frame", "speaker_id").agg(F.count_distinct("system").alias("n"))
@@ -234,21 +319,37 @@ def consensus_labels(grid: DataFrame, least: int = 2) -> DataFrame:
     return best.where(clear).select("recording_id", "frame", F.col("b.speaker_id").alias("speaker_id"), F.col("b.n").alias("n_systems"))
 
 
-def merge_runs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+def merge_runs(pairs: DataFrame, least: float = 0.5, conflicts: DataFrame | None = None) -> DataFrame:
     """Greedy merging by rounds until none merges: in each, every group takes its best partner if they choose each other and score enough; all recordings go on at once.
 
-    pairs: (key, a, b, score). Gives (key, member, label).
+    pairs: (key, a, b, score); the score of two groups is the mean over the pairs between them. conflicts: (key, a, b) that must stay apart, such as runs that overlap in time;
+    a merged group has the conflicts of both its parts, so none ever holds two runs in conflict. Gives (key, member, label), the label being the least member.
+    Pairs and conflicts are carried on as sums between groups, so a round costs what is left of them.
     """
-    nodes = pairs.select("key", F.col("a").alias("member")).unionByName(pairs.select("key", F.col("b").alias("member"))).distinct()
-    label, pairs = cut(nodes.withColumn("label", F.col("member"))), cut(pairs)
+    ends = [pairs.select("key", F.col(c).alias("member")) for c in "ab"] + ([conflicts.select("key", F.col(c).alias("member")) for c in "ab"] if conflicts is not None else [])
+    nodes = ends[0]
+    for x in ends[1:]:
+        nodes = nodes.union(x)
+    label = cut(nodes.distinct().withColumn("label", F.col("member")))
+    between = lambda df, *sums: df.where("a <> b").groupBy("key", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(*sums)
+    ways = cut(between(pairs, F.sum("score").alias("s"), F.count("*").alias("n")))
+    apart = cut(between(conflicts, F.lit(True).alias("apart"))) if conflicts is not None else None
     while True:
-        l, r = label.select("key", F.col("member").alias("a"), F.col("label").alias("la")), label.select("key", F.col("member").alias("b"), F.col("label").alias("lb"))
-        groups = pairs.join(l, ["key", "a"]).join(r, ["key", "b"]).where("la <> lb").groupBy("key", F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.round(F.avg("score"), 9).alias("s")).where(F.col("s") >= least)
-        groups = groups.withColumn("tie", F.xxhash64("key", "x", "y"))  # ties by a hash of the pair, so that long rows of equal scores merge at many places at once
-        ways = groups.select("key", F.col("x").alias("g"), F.col("y").alias("o"), "s", "tie").unionByName(groups.select("key", F.col("y").alias("g"), F.col("x").alias("o"), "s", "tie"))
-        best = ways.groupBy("key", "g").agg(F.max(F.struct("s", "tie", "o")).alias("b")).select("key", "g", "b.o")
-        mutual = best.alias("p").join(best.alias("q"), F.expr("p.key = q.key AND p.g = q.o AND p.o = q.g AND p.g > p.o")).select("p.key", F.col("p.g").alias("label"), F.col("p.o").alias("to"))
-        mutual = cut(mutual)
+        open_ways = ways.withColumn("score", F.round(F.col("s") / F.col("n"), 9)).where(F.col("score") >= least)
+        if apart is not None:
+            open_ways = open_ways.join(apart, ["key", "x", "y"], "left_anti")
+        open_ways = open_ways.withColumn("tie", F.xxhash64("key", "x", "y"))  # ties by a hash of the pair, so that long rows of equal scores merge at many places at once
+        both = open_ways.select("key", F.col("x").alias("g"), F.col("y").alias("o"), "score", "tie").unionByName(open_ways.select("key", F.col("y").alias("g"), F.col("x").alias("o"), "score", "tie"))
+        best = both.groupBy("key", "g").agg(F.max(F.struct("score", "tie", "o")).alias("b")).select("key", "g", "b.o")
+        mutual = cut(best.alias("p").join(best.alias("q"), F.expr("p.key = q.key AND p.g = q.o AND p.o = q.g AND p.g > p.o")).select("p.key", F.col("p.g").alias("label"), F.col("p.o").alias("to")))
         if not mutual.limit(1).count():
             return label
         label = cut(label.join(mutual, ["key", "label"], "left").select("key", "member", F.coalesce("to", "label").alias("label")))
+
+        def moved(df: DataFrame, mutual: DataFrame = mutual) -> DataFrame:
+            for side in "xy":
+                df = df.join(mutual.select("key", F.col("label").alias(side), F.col("to").alias(f"to_{side}")), ["key", side], "left")
+            return df.withColumns({"a": F.coalesce("to_x", "x"), "b": F.coalesce("to_y", "y")})
+
+        ways = cut(between(moved(ways), F.sum("s").alias("s"), F.sum("n").alias("n")))
+        apart = cut(between(moved(apart), F.lit(True).alias("apart"))) if apart is not None else None

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .diarization import best_assignment
 from .scoring import seeded_order
 
 
@@ -142,14 +144,25 @@ def language_vote(rows: DataFrame, keys: list[str], weight: str, ratio: float =
 
 
 def partition_agreement(pairs: DataFrame) -> DataFrame:
-    """Adjusted Rand index and pairwise Jaccard of two labelings (columns a and b), from the contingency table."""
+    """Adjusted Rand index, pairwise Jaccard, share of point pairs treated alike (co-association) and accuracy under the best one-to-one map of labels, of two labelings (columns a and b), from their table of counts."""
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
     cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     both = cells.agg(F.sum(two("n")).alias("both"), F.sum("n").alias("total"))
     side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(two("n")).alias(f"s{c}"))
-    x = both.crossJoin(side("a")).crossJoin(side("b"))
+    matched = cells.groupBy(F.lit(0).alias("all")).applyInPandas(most_matched, "matched long")
+    x = both.crossJoin(side("a")).crossJoin(side("b")).crossJoin(matched)  # one row each
     expected = F.col("sa") * F.col("sb") / two("total")
-    return x.select(F.round((F.col("both") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected), 9).alias("adjusted_rand"), F.round(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")), 9).alias("jaccard"))
+    apart = F.col("sa") + F.col("sb") - 2 * F.col("both")
+    return x.select(
+        F.round((F.col("both") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected), 9).alias("adjusted_rand"), F.round(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")), 9).alias("jaccard"),
+        F.round(1 - apart / two("total"), 9).alias("coassociation"), F.round(F.col("matched") / F.col("total"), 9).alias("aligned_accuracy"),
+    )
+
+
+def most_matched(cells: pd.DataFrame) -> pd.DataFrame:
+    """The most points that a one-to-one map of the labels brings together, from a table with a row a pair of labels."""
+    table = cells.pivot_table(index="a", columns="b", values="n", fill_value=0)
+    return pd.DataFrame({"matched": [int(sum(table.iat[i, j] for i, j in best_assignment(table.to_numpy().tolist())))]})
 
 
 def bare(text: Column) -> Column:

@@ -52,20 +52,32 @@ def k2_leader_groups(spark, sf):
     return K.leader_groups(vectors(spark, sf), 0.4)
 
 
+def locked_vectors(spark, sf):
+    """Vectors with two locked speakers: labels 3 and 8, every tenth vector of each."""
+    lock = F.when(F.col("vec_id") % 10 == 0, F.when(F.col("label") == 3, 0).when(F.col("label") == 8, 1)).cast("int")
+    return vectors(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", lock.alias("lock")), "vec_id")
+
+
+@query()
+def k1_locked_kmeans(spark, sf):
+    own, _ = K.spherical_kmeans(locked_vectors(spark, sf), 5)
+    return own.select("vec_id", "cluster", F.round("similarity", 6).alias("similarity"), "lock")
+
+
 @query()
 def k3_choose_count(spark, sf):
-    return K.choose_count(vectors(spark, sf), range(2, 5))
+    """Votes of seven measures for two to four speakers, an allowed range that two locked ones bound from below."""
+    points = locked_vectors(spark, sf)
+    return K.choose_count(points, K.count_bounds(points.count(), "hybrid", 1, 4, locks=2), runs=2)
 
 
 @query()
 def k4_stability(spark, sf):
-    """Agreement of a clustering of all vectors with that of those a seeded hash keeps, four of five."""
-    from spanline.operators.sampling import partition_agreement
-
-    v = vectors(spark, sf)
-    whole, _ = K.spherical_kmeans(v, 4)
-    part, _ = K.spherical_kmeans(v.where(F.pmod(F.xxhash64(S.seeded_order("run-1", "vec_id")), F.lit(5)) < 4), 4)
-    return partition_agreement(whole.select("vec_id", F.col("cluster").alias("a")).join(part.select("vec_id", F.col("cluster").alias("b")), "vec_id"))
+    """Agreement of a clustering of all vectors with those of seeded resamples of four of five."""
+    v = locked_vectors(spark, sf)
+    whole, centres = K.spherical_kmeans(v, 4)
+    rows = K.stability(v, whole, centres, runs=3, seed="run")
+    return spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {'int' if k == 'run' else 'double'}" for k in rows[0]))
 
 
 @query()
@@ -76,11 +88,16 @@ def d26_cluster_quality(spark, sf):
 
 @query()
 def k5_merge_runs(spark, sf):
-    """Runs are vectors, a recording fifty of them in a row; scores are cosines of vectors next to each other by id."""
-    v = vectors(spark, sf).withColumn("key", F.expr("vec_id div 50"))
+    """Runs are vectors, a recording fifty of them in a row; scores are cosines of vectors next to each other by id. Runs that overlap in time stay apart."""
+    from spanline.operators import intervals as I
+
+    start = (F.col("vec_id") * 7919 % 600_000).cast("long")
+    v = vectors(spark, sf).withColumn("key", F.expr("vec_id div 50")).withColumns({"start_ms": start, "end_ms": start + 4_000})
     l = v.select("key", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 5)).alias("b"))
     pairs = l.join(v.select("key", F.col("vec_id").alias("b"), F.col("v").alias("vb")), ["key", "b"]).select("key", "a", "b", F.round(cosine("va", "vb"), 9).alias("score"))
-    return K.merge_runs(pairs, 0.3)
+    runs = v.select(F.col("key").alias("recording_id"), F.col("vec_id").alias("run"), "start_ms", "end_ms")
+    conflicts = I.overlap_join(runs, runs).where("run < r_run").select(F.col("recording_id").alias("key"), F.col("run").alias("a"), F.col("r_run").alias("b"))
+    return K.merge_runs(pairs, 0.3, conflicts)
 
 
 GRID = f"g AS (SELECT DISTINCT recording_id, system, speaker_id, unnest(range(f, l + 1)) AS frame FROM (SELECT *, CAST(ceil((start_ms - {HOP} / 2) / {HOP}) AS BIGINT) AS f, CAST(ceil((end_ms - {HOP} / 2) / {HOP}) AS BIGINT) - 1 AS l FROM turns_by_system) WHERE f <= l)"

@@ -162,7 +162,16 @@ def d21_language_vote(spark, sf):
     return P.language_vote(d, ["source"], "n_chars")
 
 
-AGREE = "WITH p AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS same, (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS pairs, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS sa, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS sb) SELECT round((same - sa * sb / pairs) / ((sa + sb) / 2 - sa * sb / pairs), 9) AS adjusted_rand, round(same / (sa + sb - same), 9) AS jaccard FROM x"
+#: The best map of labels by a walk over the labels of one side with the set of taken labels of the other as bits.
+AGREE = """WITH RECURSIVE p AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2),
+    x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS same, (SELECT sum(n) FROM c) AS total, (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS pairs, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS sa, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS sb),
+    l AS (SELECT a, row_number() OVER (ORDER BY a) AS i FROM (SELECT DISTINCT a FROM c)),
+    m AS (SELECT 0::BIGINT AS i, 0::BIGINT AS taken, 0::BIGINT AS n
+      UNION ALL SELECT i, taken, max(n) AS n FROM (
+        SELECT m.i + 1 AS i, m.taken, m.n FROM m WHERE m.i < (SELECT count(*) FROM l)
+        UNION ALL SELECT l.i, m.taken | (1 << c.b), m.n + c.n FROM m JOIN l ON l.i = m.i + 1 JOIN c ON c.a = l.a WHERE m.taken & (1 << c.b) = 0) GROUP BY 1, 2)
+    SELECT round((same - sa * sb / pairs) / ((sa + sb) / 2 - sa * sb / pairs), 9) AS adjusted_rand, round(same / (sa + sb - same), 9) AS jaccard,
+      round(1 - (sa + sb - 2 * same) / pairs, 9) AS coassociation, round((SELECT max(n) FROM m) / total, 9) AS aligned_accuracy FROM x"""
 
 
 @query(AGREE)
