@@ -91,25 +91,6 @@ def case_features(cases: DataFrame) -> Column:
     return F.array_union(tags, F.transform("scenarios", lambda s: F.concat(F.lit("scenario:"), s)))
 
 
-def diverse_cases(cases: DataFrame, most: int) -> list:
-    """Greedy pick of at most `most` cases: each round takes the case whose features not yet covered weigh most (1 / how often a feature occurs). One aggregation a round; only picks come to the driver."""
-    tagged = cases.select("case_id", F.explode(case_features(cases)).alias("feature")).cache()
-    weight = tagged.groupBy("feature").agg((1 / F.count("*")).alias("w"))
-    weighed = tagged.join(weight, "feature").cache()
-    picked, covered = [], []
-    for _ in range(most):
-        open_ = weighed.where(~F.col("feature").isin(covered)) if covered else weighed
-        best = open_.where(~F.col("case_id").isin(picked)) if picked else open_
-        top = best.groupBy("case_id").agg(F.round(F.sum("w"), 12).alias("gain")).orderBy(F.desc("gain"), "case_id").first()
-        if not top:
-            break
-        picked.append(top.case_id)
-        covered += [r.feature for r in weighed.where(F.col("case_id") == top.case_id).select("feature").collect()]
-    tagged.unpersist()
-    weighed.unpersist()
-    return picked
-
-
 def acceptance(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Long metrics (case_id, metric, value) against rules (metric, op, threshold): a missing metric fails."""
     cases = metrics.select("case_id").distinct()

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from spanline.operators import intervals as I
 from spanline.operators import sampling as P
+from spanline.operators import selection as D
 from spanline.operators.scoring import seeded_order
 
 from .registry import query
-from .tables import candidates, eval_cases, segments, table, turns_by_system, turns_hyp, turns_ref, with_tables
+from .tables import candidates, eval_cases, segments, table, trials, turns_by_system, turns_hyp, turns_ref, with_tables
 
 
 @query(with_tables("candidates", "SELECT domain, group_id, candidate_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY domain, group_id ORDER BY score DESC, candidate_id) AS rank FROM candidates) WHERE rank <= 1 OR current"))
@@ -39,10 +40,77 @@ def f6_stratified(spark, sf):
     return P.stratified_allocation(table(spark, sf, "documents"), "lang", 40)
 
 
-@query()
+CASE_FEATURES = """list_distinct(['source:' || source, 'language:' || language, 'speakers:' || CASE WHEN speaker_count <= 1 THEN 'one' WHEN speaker_count <= 3 THEN 'few' ELSE 'many' END,
+    'size:' || CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END, CASE WHEN truth_eligible THEN 'truth:yes' ELSE 'truth:no' END] || list_transform(scenarios, lambda s: 'scenario:' || s))"""
+
+
+@query(with_tables("eval_cases", f"""WITH RECURSIVE t AS (SELECT case_id, unnest({CASE_FEATURES}) AS f FROM eval_cases), w AS (SELECT f, 1 / count(*) AS w FROM t GROUP BY 1),
+    s AS (SELECT 0 AS place, NULL::BIGINT AS case_id, []::BIGINT[] AS picked, []::VARCHAR[] AS covered
+      UNION ALL SELECT place + 1, case_id, list_append(picked, case_id), covered || fs FROM (
+        SELECT s.place, t.case_id, s.picked, s.covered, list(t.f) AS fs, row_number() OVER (ORDER BY round(sum(CASE WHEN list_contains(s.covered, t.f) THEN 0 ELSE w.w END), 12) DESC, t.case_id) AS k
+        FROM s, t JOIN w USING (f) WHERE NOT list_contains(s.picked, t.case_id) AND s.place < 30 GROUP BY 1, 2, 3, 4) WHERE k = 1)
+    SELECT place - 1 AS place, case_id FROM s WHERE place > 0"""))
 def f7_diverse_cases(spark, sf):
-    picked = P.diverse_cases(eval_cases(spark, sf), 6)
-    return spark.createDataFrame([(k, c) for k, c in enumerate(picked)], "place int, case_id long")
+    return D.diverse_cases(eval_cases(spark, sf), 30)
+
+
+def disputed_trials(spark, sf):
+    """Trials on which two thresholds of one score may differ; a genre is the remainder of a label."""
+    genre = lambda f: f(F.col("l_label") % 3, F.col("r_label") % 3).cast("string")
+    return trials(spark, sf).select(
+        F.concat_ws(":", "l", "r").alias("case_id"), "same", ((F.col("score") >= 0.05) != (F.col("score") >= 0.25)).alias("disagreement"), F.round(F.abs(F.col("score") - 0.05), 9).alias("conflict"),
+        F.round(F.abs(F.col("score") - 0.25), 9).alias("nearness"), F.concat_ws("-", genre(F.least), genre(F.greatest)).alias("genre"), F.array(F.col("l_label").cast("string"), F.col("r_label").cast("string")).alias("speakers"),
+    )
+
+
+@query(with_tables("trials", """WITH d AS (SELECT l || ':' || r AS case_id, same, (score >= 0.05) <> (score >= 0.25) AS disagreement, round(abs(score - 0.05), 9) AS conflict, round(abs(score - 0.25), 9) AS nearness FROM trials),
+    p AS (SELECT bucket, case_id, same, row_number() OVER (PARTITION BY bucket, same ORDER BY CASE WHEN k < 2 THEN -conflict ELSE nearness END, sha256(concat_ws(':', 'd', case_id))) AS rank, size
+      FROM d, (VALUES ('high-conflict', 0, 6), ('disagreement', 1, 12), ('near-threshold', 2, 15)) b(bucket, k, size) WHERE k = 2 OR disagreement)
+    SELECT bucket, case_id, same, rank FROM p WHERE rank <= size"""))
+def f8_dispute_pools(spark, sf):
+    return D.dispute_pools(disputed_trials(spark, sf), 18, "d").select("bucket", "case_id", "same", "rank")
+
+
+@query()
+def f8_balanced_disputes(spark, sf):
+    """Eighteen disputed trials under quotas of bucket and truth, spread over genres and speakers."""
+    return D.balanced_disputes(disputed_trials(spark, sf), 18, "d")
+
+
+WINDOW_MS = 3_600_000
+
+
+def activity_frames(spark, sf):
+    """A frame is an event, two seconds long at most; active from a value of 150, its change the difference to the value before."""
+    from pyspark.sql import Window
+
+    before = F.lag("value").over(Window.partitionBy("recording_id").orderBy("start_ms", "event_id"))
+    start = F.expr("CAST(timestampdiff(MILLISECOND, date_trunc('DAY', ts), ts) AS BIGINT)")
+    rows = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("recording_id"), start.alias("start_ms"), "value")
+    return rows.select("recording_id", "start_ms", F.least(F.col("start_ms") + 2000, F.lit(86_400_000)).cast("long").alias("end_ms"), (F.col("value") >= 150).alias("active"), F.round(F.abs(F.col("value") - F.coalesce(before, "value")) / 500, 9).alias("change"))
+
+
+def _picks(order: str, reason: str, number: int, source: str) -> str:
+    """One pick of each recording: the first active frame by `order` whose window is far enough from those of `source`."""
+    return f"""SELECT recording_id, chosen || coalesce(list_filter([new], lambda x: x IS NOT NULL), []) AS chosen FROM (SELECT c.recording_id, c.chosen, (SELECT {{'reason': '{reason}-{number}', 'pos': f.pos}} FROM a f
+        WHERE f.recording_id = c.recording_id AND len(list_filter(c.chosen, lambda x: abs(x.pos - f.pos) < {WINDOW_MS // 2})) = 0 ORDER BY {order} LIMIT 1) AS new FROM {source} c)"""
+
+
+@query(with_tables("turns_ref", f"""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS recording_id, date_diff('millisecond', date_trunc('day', ts), ts) AS start_ms FROM events),
+    f AS (SELECT recording_id, start_ms, least(start_ms + 2000, 86400000) AS end_ms, value >= 150 AS active, round(abs(value - coalesce(lag(value) OVER (PARTITION BY recording_id ORDER BY start_ms, event_id), value)) / 500, 9) AS change, (start_ms + least(start_ms + 2000, 86400000)) // 2 AS middle FROM e),
+    a AS (SELECT *, greatest(0, least(86400000 - {WINDOW_MS}, middle - {WINDOW_MS // 2})) AS pos, sha256(concat_ws(':', 'w', recording_id, start_ms, end_ms)) AS chance FROM f WHERE active),
+    s AS (SELECT recording_id, [{{'reason': 'start', 'pos': greatest(0, least(86400000 - {WINDOW_MS}, min(start_ms) - {WINDOW_MS // 10}))}}, {{'reason': 'middle', 'pos': arg_min(pos, (abs(middle - 43200000) * 100000000 + start_ms)::HUGEINT)}},
+      {{'reason': 'end', 'pos': greatest(0, least(86400000 - {WINDOW_MS}, max(end_ms) - {WINDOW_MS * 9 // 10}))}}] AS three FROM a GROUP BY 1),
+    c0 AS (SELECT recording_id, list_filter(three, lambda x, i: len(list_filter(three[:i - 1], lambda y: y.pos = x.pos)) = 0) AS chosen FROM s),
+    c1 AS ({_picks('chance, start_ms', 'random', 1, 'c0')}), c2 AS ({_picks('chance, start_ms', 'random', 2, 'c1')}),
+    c3 AS ({_picks('change DESC, start_ms', 'change', 1, 'c2')}), c4 AS ({_picks('change DESC, start_ms', 'change', 2, 'c3')}), c5 AS ({_picks('change DESC, start_ms', 'change', 3, 'c4')}),
+    w AS (SELECT recording_id, unnest(chosen, recursive := true) FROM c5)
+    SELECT w.recording_id, reason, w.pos AS start_ms, w.pos + {WINDOW_MS} AS end_ms, round(coalesce(avg(active::INTEGER), 0), 9) AS active_ratio, round(coalesce(avg(change), 0), 9) AS mean_change, round(coalesce(max(change), 0), 9) AS max_change
+    FROM w LEFT JOIN f ON f.recording_id = w.recording_id AND f.middle >= w.pos AND f.middle < w.pos + {WINDOW_MS} GROUP BY 1, 2, 3, 4"""))
+def f9_stratified_windows(spark, sf):
+    frames = activity_frames(spark, sf)
+    spans = frames.select("recording_id").distinct().withColumn("duration_ms", F.lit(86_400_000).cast("long"))
+    return D.stratified_windows(frames, spans, WINDOW_MS, "w")
 
 
 @query(with_tables("turns_ref", "WITH w AS (SELECT DISTINCT recording_id, unnest(range(0, 86400001 - 3600000, 1800000)) AS s FROM turns_ref) SELECT recording_id, k, s AS start_ms FROM (SELECT recording_id, s, row_number() OVER (PARTITION BY recording_id ORDER BY sha256(concat_ws(':', 'w', recording_id, s))) AS k FROM w) WHERE k <= 3"))
