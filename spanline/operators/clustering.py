@@ -303,6 +303,29 @@ def viterbi(scores: np.ndarray, switch: float) -> list[int]:
     return path[::-1]
 
 
+def system_quality(grid: DataFrame, turns: DataFrame, n_frames: int, short_ms: int = 600, per_minute: float = 28.0, hop_ms: int = 1000) -> DataFrame:
+    """(recording_id, system, agreement, coverage, quality) of each system in each recording, from 0.12 to 1.
+
+    Weights: agreement with any other system over its frames (0.48), what it alone has (0.16), short turns (0.14), turns a minute (0.10) and distance from the middle
+    number of speakers of all systems (0.12); a coverage unlike the others' mean takes up to 0.55 off. Without another system agreement counts one half.
+    """
+    ids = ["recording_id", "system"]
+    shared = grid.groupBy("recording_id", "frame", "speaker_id").agg(F.count("*").alias("systems"))
+    mass = grid.join(shared, ["recording_id", "frame", "speaker_id"]).groupBy(*ids).agg(F.avg((F.col("systems") > 1).cast("double")).alias("agreement"), (F.count_distinct("frame") / n_frames).alias("coverage"))
+    length = F.col("end_ms") - F.col("start_ms")
+    own = turns.where(length > 0).groupBy(*ids).agg(F.count("*").alias("turns"), F.count_distinct("speaker_id").alias("n"), F.avg((length <= short_ms).cast("double")).alias("short"))
+    peers = mass.join(own, ids).groupBy("recording_id").agg(F.count("*").alias("m"), F.sum("coverage").alias("covered"), F.sort_array(F.collect_list("n")).alias("counts"))  # one row a system
+    middle = F.get("counts", F.expr("cast((m - 1) div 2 AS int)"))
+    x = mass.join(own, ids).join(peers, "recording_id").withColumns({"alone": F.col("m") < 2, "peer": (F.col("covered") - F.col("coverage")) / F.greatest(F.lit(1), F.col("m") - 1), "middle": middle})
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    agreement = F.when(F.col("alone"), 0.5).otherwise(F.col("agreement"))
+    lonely = F.when(F.col("alone"), 0.0).otherwise(1 - F.col("agreement"))
+    density = F.col("turns") / F.greatest(F.lit(0.001), F.lit(n_frames * hop_ms / 60_000)) / per_minute
+    quality = 0.48 * clip(agreement) + 0.16 * (1 - clip(lonely)) + 0.14 * (1 - F.col("short")) + 0.10 * (1 - clip(density)) + 0.12 * (1 - clip(F.abs(F.col("n") - F.col("middle")) / F.greatest(F.lit(1), F.col("middle"))))
+    unlike = F.when(~F.col("alone") & (F.col("peer") > 0), clip(F.abs(F.col("coverage") - F.col("peer")) / F.greatest(F.lit(0.1), F.col("peer") + 0.05))).otherwise(0.0)
+    return x.select(*ids, F.round("agreement", 9).alias("agreement"), F.round("coverage", 9).alias("coverage"), F.round(F.greatest(F.lit(0.12), F.least(F.lit(1.0), quality * F.greatest(F.lit(0.45), 1 - 0.5 * unlike))), 6).alias("quality"))
+
+
 def frame_runs(frames: DataFrame, keys: list[str], hop_ms: int, value: str | None = None) -> DataFrame:
     """Runs of frames in a row with equal keys, as spans, with the mean of a value."""
     w = Window.partitionBy(*keys).orderBy("frame")

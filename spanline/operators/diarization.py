@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import boundaries, edges, merge_turns, nearest, overlap_join
+from .scoring import percentiles
 
 
 def speaking_time(turns: DataFrame) -> DataFrame:
@@ -153,14 +154,15 @@ def boundary_distances(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 
 
 def boundary_quality(ref: DataFrame, hyp: DataFrame, tolerance: int = 500) -> DataFrame:
-    """Recall and precision within a tolerance, and mean, linear p50 and p95, nearest-rank p95 and greatest error of the reference boundaries."""
+    """Recall and precision within a tolerance, and mean, linear p50 and p95 and greatest error of the reference boundaries."""
     d = boundary_distances(ref, hyp)
     side = lambda s: F.when(F.col("side") == s, F.col("distance"))
     near = lambda s: F.count_if((F.col("side") == s) & (F.col("distance") <= tolerance))
     out = d.groupBy("recording_id").agg(
-        F.count(side("ref")).alias("n_ref"), F.count(side("hyp")).alias("n_hyp"), near("ref").alias("ref_hits"), near("hyp").alias("hyp_hits"), F.round(F.avg(side("ref")), 6).alias("mean_ms"),
-        F.round(F.percentile(side("ref"), F.lit(0.5)), 6).alias("p50_ms"), F.round(F.percentile(side("ref"), F.lit(0.95)), 6).alias("p95_ms"), F.max(side("ref")).alias("max_ms"),
+        F.count(side("ref")).alias("n_ref"), F.count(side("hyp")).alias("n_hyp"), near("ref").alias("ref_hits"), near("hyp").alias("hyp_hits"), F.round(F.avg(side("ref")), 6).alias("mean_ms"), F.max(side("ref")).alias("max_ms"),
     )
+    middle = percentiles(d.where("side = 'ref'"), ["recording_id"], "distance", {"p50_ms": 0.5, "p95_ms": 0.95})
+    out = out.join(middle.select("recording_id", *[F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms")]), "recording_id", "left").select("recording_id", "n_ref", "n_hyp", "ref_hits", "hyp_hits", "mean_ms", "p50_ms", "p95_ms", "max_ms")
     return out.select("*", rate("ref_hits", "n_ref").alias("recall"), rate("hyp_hits", "n_hyp").alias("precision"), (F.col("n_ref") - F.col("ref_hits")).alias("missed"), (F.col("n_hyp") - F.col("hyp_hits")).alias("spurious"))
 
 

@@ -88,11 +88,18 @@ def bounded_batches(segments: DataFrame, most_items: int, most_chars: int) -> Da
     return by_group(sized, ["recording_id"], ["start_ms", "segment_id", "n"], fill, "segment_id string, batch long, items long, chars long")
 
 
-def text_chunks(docs: DataFrame, target: int) -> DataFrame:
-    """Lines of a text gathered into chunks of about `target` characters, cut at line ends; each line has its chunk."""
+def text_chunks(docs: DataFrame, target: int, overlap: int = 0) -> DataFrame:
+    """Lines of a text gathered into chunks of about `target` characters, cut at line ends; each line has its chunk. The last lines of a chunk, up to `overlap` characters with their line ends, come again before the next chunk (repeated)."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - F.length("text") - 1
-    return lines.select("doc_id", "line", F.floor(before / target).alias("chunk"), F.length("text").alias("n"))
+    size = F.length("text") + 1
+    before = F.sum(size).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - size
+    own = lines.select("doc_id", "line", F.floor(before / target).alias("chunk"), F.length("text").alias("n"))
+    if not overlap:
+        return own.withColumn("repeated", F.lit(False))
+    to_end = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id", "chunk").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0))
+    chunks = own.groupBy("doc_id", "chunk").agg(F.count("*").alias("lines")).select("doc_id", "chunk", F.lead("chunk").over(Window.partitionBy("doc_id").orderBy("chunk")).alias("next")).where("next IS NOT NULL")
+    again = own.withColumn("to_end", to_end).where(F.col("to_end") <= overlap).join(chunks, ["doc_id", "chunk"])
+    return own.withColumn("repeated", F.lit(False)).unionByName(again.select("doc_id", "line", F.col("next").alias("chunk"), "n", F.lit(True).alias("repeated")))
 
 
 def completeness(segments: DataFrame, done: DataFrame) -> DataFrame:

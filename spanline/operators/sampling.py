@@ -101,11 +101,15 @@ def acceptance(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def coverage(cases: DataFrame, required: int) -> DataFrame:
-    """Counts of each scenario by split, and the splits below the required count."""
-    one = cases.select(F.explode("scenarios").alias("bucket"), "split")
-    wide = one.groupBy("bucket").pivot("split", ["development", "held-out"]).count().fillna(0)
-    gaps = F.array_compact(F.array(*[F.when(F.col(f"`{s}`") < required, s) for s in ("development", "held-out")]))
-    return wide.select("bucket", F.col("development").alias("n_development"), F.col("`held-out`").alias("n_held_out"), F.array_join(gaps, ",").alias("gaps"))
+    """Counts by dimension (scenario, language, source, number of speakers), bucket and split, the splits below the required count, and why: MISSING without any case, else SHORT_OF and how many are lacking in all."""
+    buckets = F.array_union(F.transform("scenarios", lambda x: F.struct(F.lit("scenario").alias("dimension"), x.alias("bucket"))), F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("bucket")) for d, c in (("language", "language"), ("source", "source"), ("speakers", "speaker_count"))]))
+    one = cases.select(F.explode(buckets).alias("b"), "split").select("b.dimension", "b.bucket", "split")
+    splits = ("development", "held-out")
+    wide = one.groupBy("dimension", "bucket").agg(*[F.count_if(F.col("split") == s).alias(s) for s in splits])
+    gaps = F.array_compact(F.array(*[F.when(F.col(f"`{s}`") < required, s) for s in splits]))
+    lacking = sum(F.greatest(F.lit(0), required - F.col(f"`{s}`")) for s in splits)
+    reason = F.when(F.size(gaps) == 0, "").when(F.least(*[F.col(f"`{s}`") for s in splits]) == 0, "MISSING").otherwise(F.concat(F.lit("SHORT_OF:"), lacking.cast("string")))
+    return wide.select("dimension", "bucket", F.col("development").alias("n_development"), F.col("`held-out`").alias("n_held_out"), F.array_join(gaps, ",").alias("gaps"), reason.alias("reason"))
 
 
 def leaked(cases: DataFrame) -> DataFrame:

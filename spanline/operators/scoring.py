@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanline.lineage import cut
+
 
 def value_counts(df: DataFrame, field: str, unknown: str = "unknown") -> DataFrame:
     """Rows by value; a row with a list counts once for each value."""
@@ -36,10 +38,40 @@ def binary_metrics(df: DataFrame, truth: Column, predicted: Column, keys: list[s
     return counts.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = 1024) -> DataFrame:
+    """keys (one at least) and a column for each of `points`: the exact percentile with linear interpolation at (n - 1) * p, null values aside.
+
+    Counts by distinct value come first. Each key's range is cut to `cells` equal cells; running counts over cells (a row a cell) show which cells hold the
+    ranks that are sought, and running counts inside these alone find the values. So no task or buffer holds a key's values.
+    """
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    span = counts.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+    placed = counts.alias("l").join(span.alias("r"), same).select("l.*", "r.__lo", "r.__hi", "r.__all")
+    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
+    placed = placed.withColumn("__cell", F.least(F.lit(cells - 1), F.floor((F.col("__v") - F.col("__lo")) / width * cells)).cast("int"))
+    below = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "__cell", "__all").agg(F.sum("__n").alias("__in")).withColumn("__before", F.coalesce(F.sum("__in").over(below), F.lit(0)))
+    ranks = F.array(*[f((F.col("__all") - 1) * F.lit(p)) for p in points.values() for f in (F.floor, F.ceil)])
+    sums = sums.where(F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__in"))))
+    near = placed.alias("l").join(sums.alias("r"), [*same, F.col("l.__cell") == F.col("r.__cell")]).select("l.*", "r.__before")
+    inside = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
+    at = lambda rank: F.max(F.when((rank >= F.col("__end") - F.col("__n")) & (rank < F.col("__end")), F.col("__v")))
+    out = near.groupBy(*keys, "__all").agg(*[at(f((F.col("__all") - 1) * F.lit(p))).alias(f"__{side}{k}") for k, p in enumerate(points.values()) for side, f in (("l", F.floor), ("h", F.ceil))])
+    part = lambda p: (F.col("__all") - 1) * F.lit(p) - F.floor((F.col("__all") - 1) * F.lit(p))
+    return out.select(*keys, *[(F.col(f"__l{k}") + part(p) * (F.col(f"__h{k}") - F.col(f"__l{k}"))).alias(name) for k, (name, p) in enumerate(points.items())])
+
+
 def rate_cube(df: DataFrame, keys: list[str], flag: str, value: str) -> DataFrame:
-    """Rate of a flag, and mean and percentiles of a value, over the cube of the keys; `all` stands for any."""
-    out = df.cube(*keys).agg(F.count("*").alias("n"), F.round(F.avg(F.col(flag).cast("int")), 9).alias("rate"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
-    return out.select(*[F.coalesce(k, F.lit("all")).alias(k) for k in keys], "n", "rate", "mean", "p50", "p95")
+    """Rate of a flag, and mean and percentiles of a value, over the cube of the keys; `all` stands for any, and for a null key."""
+    sets = F.array(*[F.struct(*[(F.col(k).cast("string") if kept >> i & 1 else F.lit(None).cast("string")).alias(k) for i, k in enumerate(keys)], F.lit(kept).alias("__set")) for kept in range(1 << len(keys))])
+    rows = df.select(F.explode(sets).alias("k"), F.col(flag).cast("int").alias("__f"), F.col(value).alias("__value")).select("k.*", "__f", "__value")
+    ids = [*keys, "__set"]
+    base = rows.groupBy(*ids).agg(F.count("*").alias("n"), F.round(F.avg("__f"), 9).alias("rate"), F.round(F.avg("__value"), 6).alias("mean"))
+    found = percentiles(rows, ids, "__value", {"p50": 0.5, "p95": 0.95})
+    both = base.alias("l").join(found.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ids], "left")
+    return both.select(*[F.coalesce(f"l.{k}", F.lit("all")).alias(k) for k in keys], "n", "rate", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def failure_modes(df: DataFrame, codes: str) -> DataFrame:
@@ -153,8 +185,9 @@ def seeded_order(seed: str, *columns: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns]).cast("binary"), 256)
 
 
-def balanced_pairs(pairs: DataFrame, seed: str, per_class: int) -> DataFrame:
-    """As many same as different pairs, the first by seeded order, at most `per_class` each: two top-k, so no task sees a whole class."""
+def balanced_pairs(pairs: DataFrame, seed: str, per_class: int, apart: str | None = None, least: int = 0) -> DataFrame:
+    """As many same as different pairs, the first by seeded order, at most `per_class` each: two top-k, so no task sees a whole class. Same pairs count only if their clips are `least` or more apart in the column `apart`."""
+    pairs = pairs.where(~F.col("same") | (F.col(apart) >= least)) if apart else pairs
     counts = {r.same: r.n for r in pairs.groupBy("same").agg(F.count("*").alias("n")).collect()}
     n = min(per_class, counts.get(True, 0), counts.get(False, 0))
     one = lambda same: pairs.where(F.col("same") == same).orderBy(seeded_order(seed, "l", "r")).limit(n)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanline.functions.text import suffix_prefix
 
 from .intervals import islands
+from .scoring import percentiles
 
 
 def speaker_runs(segments: DataFrame, gap: int) -> DataFrame:
@@ -39,9 +40,10 @@ def switch_points(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 
 def activity_gate(frames: DataFrame) -> DataFrame:
-    """Frames at or above min(p50, p05 + 12 dB) of their recording, and the change from the frame before."""
-    gate = frames.groupBy("recording_id").agg(F.least(F.percentile("rms_db", F.lit(0.5)), F.percentile("rms_db", F.lit(0.05)) + 12).alias("threshold"))
-    change = F.abs(F.col("rms_db") - F.lag("rms_db").over(Window.partitionBy("recording_id").orderBy("frame_no")))
+    """Frames at or above min(p50, p05 + 12 dB) of their recording, and the change of level, centroid and zero crossings from the frame before."""
+    gate = percentiles(frames, ["recording_id"], "rms_db", {"middle": 0.5, "floor": 0.05}).select("recording_id", F.least("middle", F.col("floor") + 12).alias("threshold"))
+    w = Window.partitionBy("recording_id").orderBy("frame_no")
+    change = sum(F.abs(F.col(c) - F.lag(c).over(w)) / size for c, size in (("rms_db", 12.0), ("centroid", 4000.0), ("zcr", 0.2)))
     return frames.join(gate, "recording_id").select("recording_id", "frame_no", (F.col("rms_db") >= F.col("threshold")).alias("active"), F.round(F.coalesce(change, F.lit(0.0)), 6).alias("change"))
 
 
@@ -100,14 +102,57 @@ def expand_window(turns: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def stage_stats(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("latency_ms"), 4).alias("total_ms"), F.round(F.percentile("latency_ms", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("latency_ms", F.lit(0.95)), 6).alias("p95"), F.max("latency_ms").alias("peak"), F.round(F.avg(F.col("cache_hit").cast("int")), 9).alias("hit_rate"))
-
-
-def repair_islands(segments: DataFrame, most: int) -> DataFrame:
-    """A short segment between two of one other speaker takes that speaker; neighbours are read as they came."""
-    w = Window.partitionBy("recording_id").orderBy("turn")
-    before, after = F.lag("speaker_id").over(w), F.lead("speaker_id").over(w)
-    return segments.withColumn("fixed", F.when((before == after) & (F.col("speaker_id") != before) & (F.col("end_ms") - F.col("start_ms") < most), before).otherwise(F.col("speaker_id")))
+    sums = samples.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("latency_ms"), 4).alias("total_ms"), F.max("latency_ms").alias("peak"), F.round(F.avg(F.col("cache_hit").cast("int")), 9).alias("hit_rate"))
+    middle = percentiles(samples, ["stage"], "latency_ms", {"p50": 0.5, "p95": 0.95})
+    return sums.join(middle, "stage", "left").select("stage", "n", "total_ms", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "peak", "hit_rate")
+
+
+def repair_islands(segments: DataFrame, most: int, gap: int, strong: float) -> DataFrame:
+    """segments with `fixed`, `verdict` and `blockers`: a short segment between two of one other speaker takes that speaker, where nothing speaks against it.
+
+    segments: (recording_id, segment_id, start_ms, end_ms, speaker_id, margin, locked, overlapping, boundary_conflict, top: the two best speakers). Neighbours are read as they came. A margin of
+    `strong` or more keeps its speaker (STRONG); any blocker leaves it for review (REVIEW). A speaker's last segment is never given away: that is counted through a recording's open
+    islands in order of time, as each change takes from one speaker and gives to another. Only islands without another blocker go through that count.
+    """
+    w = Window.partitionBy("recording_id").orderBy("start_ms", "end_ms", "segment_id")
+    before = lambda c: F.lag(c).over(w)
+    after = lambda c: F.lead(c).over(w)
+    speaker = F.col("speaker_id")
+    rows = segments.select("*", before("speaker_id").alias("target"), F.coalesce((before("speaker_id") == after("speaker_id")) & (speaker != before("speaker_id")), F.lit(False)).alias("island"), F.row_number().over(w).alias("place"), *[
+        f(c).alias(f"{name}_{c}") for name, f in (("left", before), ("right", after)) for c in ("start_ms", "end_ms", "overlapping")
+    ])
+    next_to = F.coalesce(F.lag("island").over(w), F.lit(False)) | F.coalesce(F.lead("island").over(w), F.lit(False))
+    apart = lambda a, b: F.greatest(F.lit(0), F.col(b) - F.col(a))
+    checks = {
+        "DURATION": F.col("end_ms") - F.col("start_ms") > most, "OVERLAP": (F.col("left_end_ms") > F.col("start_ms")) | (F.col("end_ms") > F.col("right_start_ms")),
+        "GAP": F.greatest(apart("left_end_ms", "start_ms"), apart("end_ms", "right_start_ms")) > gap, "ADJACENT": next_to, "LOCKED": F.col("locked"), "OVERLAPPING": F.col("overlapping"),
+        "NEIGHBOUR_OVERLAPPING": F.col("left_overlapping") | F.col("right_overlapping"), "BOUNDARY": F.col("boundary_conflict"), "NOT_IN_TOP": ~F.array_contains("top", F.col("target")),
+    }
+    blockers = F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))
+    rows = rows.withColumn("blockers", blockers).withColumn("verdict", F.when(~F.col("island"), "NONE").when(F.col("margin") >= strong, "STRONG").when(F.size("blockers") > 0, "REVIEW").otherwise("OPEN"))
+    support = segments.groupBy("recording_id", "speaker_id").agg(F.count("*").alias("n"))
+    of = lambda c, name: support.select("recording_id", F.col("speaker_id").alias(c), F.col("n").alias(name))
+    islands = rows.where("verdict = 'OPEN'").join(of("speaker_id", "n_own"), ["recording_id", "speaker_id"]).join(of("target", "n_target"), ["recording_id", "target"])
+
+    def give(isles):
+        left = {}
+        for place, own, target, n_own, n_target in isles:
+            left.setdefault(own, n_own)
+            left.setdefault(target, n_target)
+            if left[own] > 1:
+                left[own] -= 1
+                left[target] += 1
+                yield place, True
+            else:
+                yield place, False
+
+    given = by_group(islands, ["recording_id"], ["place", "speaker_id", "target", "n_own", "n_target"], give, "place int, applied boolean")
+    done = rows.join(given, ["recording_id", "place"], "left")
+    last = (F.col("verdict") == "OPEN") & ~F.col("applied")
+    return done.select(
+        *[f"`{c}`" for c in segments.columns], F.when(F.col("applied"), F.col("target")).otherwise(F.col("speaker_id")).alias("fixed"), F.when(F.col("applied"), "APPLIED").when(last, "REVIEW").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(~F.col("verdict").isin("REVIEW", "OPEN"), F.array().cast("array<string>")).when(last, F.array(F.lit("LAST_SUPPORT"))).otherwise(F.col("blockers")).alias("blockers"),
+    )
 
 
 def by_group(rows: DataFrame, keys: list[str], fields: list[str], step: Callable, out: str) -> DataFrame:

@@ -114,6 +114,30 @@ def e24_overlap_tracks(spark, sf):
     return K.frame_runs(K.emissions(grid(spark, sf), WEIGHTS).where("p >= 0.5"), ["recording_id", "speaker_id"], HOP, "p")
 
 
+QUALITY = f"""{GRID}, k AS (SELECT recording_id, frame, speaker_id, count(*) AS systems FROM g GROUP BY 1, 2, 3),
+    m AS (SELECT recording_id, system, avg((systems > 1)::INTEGER) AS agreement, count(DISTINCT frame) / 1440.0::DOUBLE AS coverage FROM g JOIN k USING (recording_id, frame, speaker_id) GROUP BY 1, 2),
+    o AS (SELECT recording_id, system, count(*) AS turns, count(DISTINCT speaker_id) AS n, avg((end_ms - start_ms <= 60000)::INTEGER) AS short FROM turns_by_system GROUP BY 1, 2),
+    r AS (SELECT recording_id, count(*) AS m, sum(coverage) AS covered, list_sort(list(n)) AS counts FROM m JOIN o USING (recording_id, system) GROUP BY 1),
+    x AS (SELECT *, (covered - coverage) / greatest(1, m - 1) AS peer, counts[(m - 1) // 2 + 1] AS middle FROM m JOIN o USING (recording_id, system) JOIN r USING (recording_id)),
+    quality AS (SELECT recording_id, system, round(agreement, 9) AS agreement, round(coverage, 9) AS coverage, round(greatest(0.12, least(1, (0.48 * CASE WHEN m < 2 THEN 0.5 ELSE agreement END + 0.16 * (1 - CASE WHEN m < 2 THEN 0 ELSE 1 - agreement END) + 0.14 * (1 - short)
+      + 0.10 * (1 - least(1, turns / 1440.0::DOUBLE / 28)) + 0.12 * (1 - least(1, abs(n - middle) / greatest(1, middle)::DOUBLE))) * greatest(0.45, 1 - 0.5 * CASE WHEN m > 1 AND peer > 0 THEN least(1, abs(coverage - peer) / greatest(0.1, peer + 0.05)) ELSE 0 END))), 6) AS quality FROM x)"""
+
+
+@query(with_tables("turns_by_system", f"WITH {QUALITY} SELECT * FROM quality"))
+def d34_system_quality(spark, sf):
+    """Five weighted terms and the coverage penalty of each system in each recording; turns of a minute or less are short."""
+    turns = turns_by_system(spark, sf)
+    return K.system_quality(K.frame_grid(turns, HOP), turns, 1440, 60_000, hop_ms=HOP)
+
+
+@query(with_tables("turns_by_system", f"WITH {QUALITY} SELECT recording_id, system, quality FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY quality DESC, system) AS k FROM quality) WHERE k = 1"))
+def f14_best_system(spark, sf):
+    """The system of best quality in each recording."""
+    turns = turns_by_system(spark, sf)
+    scored = K.system_quality(K.frame_grid(turns, HOP), turns, 1440, 60_000, hop_ms=HOP)
+    return scored.groupBy("recording_id").agg(F.min(F.struct((-F.col("quality")).alias("q"), "system")).alias("b")).select("recording_id", "b.system", (-F.col("b.q")).alias("quality"))
+
+
 #: Staying, switching, relief of switching at bounds, and the distance at which a bound fades.
 STAY, SWITCH, RELIEF, SNAP_MS = 0.16, 0.42, 0.28, 120_000
 

@@ -111,9 +111,13 @@ def l11_bounded_batches(spark, sf):
     return R.bounded_batches(segments(spark, sf), 3, 1500)
 
 
-@query("SELECT doc_id, i - 1 AS line, CAST(floor(before / 800) AS BIGINT) AS chunk, n FROM (SELECT doc_id, i, length(l) AS n, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+    c AS (SELECT doc_id, i - 1 AS line, length(l) AS n, CAST(floor(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 800) AS BIGINT) AS chunk FROM l),
+    e AS (SELECT *, sum(n + 1) OVER (PARTITION BY doc_id, chunk ORDER BY line DESC) AS to_end FROM c),
+    k AS (SELECT doc_id, chunk, lead(chunk) OVER (PARTITION BY doc_id ORDER BY chunk) AS next FROM (SELECT DISTINCT doc_id, chunk FROM c))
+    SELECT doc_id, line, chunk, n, false AS repeated FROM c UNION ALL SELECT doc_id, line, next, n, true FROM e JOIN k USING (doc_id, chunk) WHERE to_end <= 200 AND next IS NOT NULL""")
 def l13_text_chunks(spark, sf):
-    return R.text_chunks(table(spark, sf, "documents"), 800)
+    return R.text_chunks(table(spark, sf, "documents"), 800, 200)
 
 
 @query(with_tables("segments", "SELECT recording_id, count(*) AS n, count(*) FILTER (turn % 4 = 3) AS n_missing, round(avg(CASE WHEN turn % 4 = 3 THEN 0 ELSE 1 END), 9) AS share FROM segments GROUP BY 1"))

@@ -142,13 +142,6 @@ def f11_windows_with_n_speakers(spark, sf):
     return per.groupBy("recording_id").agg(F.count("*").alias("n_windows"), F.min("start_ms").alias("first_ms"))
 
 
-@query(with_tables("turns_by_system turns_ref", "SELECT recording_id, arg_max(system, struct_pack(a := ms, b := -ascii(system))) AS system FROM (SELECT recording_id, system, sum(least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)) AS ms FROM turns_ref r JOIN turns_by_system h USING (recording_id, speaker_id) WHERE r.start_ms < h.end_ms AND h.start_ms < r.end_ms GROUP BY 1, 2) GROUP BY 1"))
-def f14_best_system(spark, sf):
-    pairs = I.overlap_join(turns_ref(spark, sf), turns_by_system(spark, sf), keys=("recording_id", "speaker_id"))
-    score = pairs.groupBy("recording_id", F.col("r_system").alias("system")).agg(F.sum("overlap_ms").alias("ms"))
-    return score.groupBy("recording_id").agg(F.max_by("system", F.struct("ms", (-F.ascii("system")).alias("b"))).alias("system"))
-
-
 @query(with_tables("segments", "SELECT segment_id, CASE WHEN (start_ms + end_ms) / 2 < max(end_ms) OVER (PARTITION BY recording_id) * 0.7 THEN 'development' ELSE 'held-out' END AS split FROM segments"))
 def f16_time_split(spark, sf):
     return P.time_split(segments(spark, sf), 0.7).select("segment_id", "split")
@@ -197,7 +190,10 @@ def b11_acceptance(spark, sf):
     return P.acceptance(m, rules)
 
 
-@query(with_tables("eval_cases", "SELECT bucket, n_development, n_held_out, array_to_string(list_filter([CASE WHEN n_development < 20 THEN 'development' END, CASE WHEN n_held_out < 20 THEN 'held-out' END], lambda x: x IS NOT NULL), ',') AS gaps FROM (SELECT bucket, count(*) FILTER (split = 'development') AS n_development, count(*) FILTER (split = 'held-out') AS n_held_out FROM (SELECT unnest(scenarios) AS bucket, split FROM eval_cases) GROUP BY 1)"))
+@query(with_tables("eval_cases", """WITH b AS (SELECT 'scenario' AS dimension, unnest(list_distinct(scenarios)) AS bucket, split FROM eval_cases UNION ALL SELECT 'language', language, split FROM eval_cases UNION ALL SELECT 'source', source, split FROM eval_cases UNION ALL SELECT 'speakers', speaker_count::VARCHAR, split FROM eval_cases),
+    n AS (SELECT dimension, bucket, count(*) FILTER (split = 'development') AS n_development, count(*) FILTER (split = 'held-out') AS n_held_out FROM b GROUP BY 1, 2)
+    SELECT *, array_to_string(list_filter([CASE WHEN n_development < 20 THEN 'development' END, CASE WHEN n_held_out < 20 THEN 'held-out' END], lambda x: x IS NOT NULL), ',') AS gaps,
+      CASE WHEN least(n_development, n_held_out) >= 20 THEN '' WHEN least(n_development, n_held_out) = 0 THEN 'MISSING' ELSE 'SHORT_OF:' || (greatest(0, 20 - n_development) + greatest(0, 20 - n_held_out)) END AS reason FROM n"""))
 def d31_coverage(spark, sf):
     return P.coverage(eval_cases(spark, sf), 20)
 

@@ -95,9 +95,11 @@ def d20_promotion_gates(spark, sf):
     return S.gates(stage_samples(spark, sf).groupBy(F.col("stage").alias("metric")).agg(F.lit("min").alias("direction"), side(0).alias("baseline"), side(1).alias("challenger")))
 
 
-@query(with_tables("trials", "SELECT l, r, same, score FROM (SELECT *, row_number() OVER (PARTITION BY same ORDER BY sha256(concat_ws(':', '7', l, r))) AS k FROM trials) WHERE k <= least(200, (SELECT min(n) FROM (SELECT count(*) AS n FROM trials GROUP BY same)))"))
+@query(with_tables("trials", "WITH t AS (SELECT * FROM trials WHERE NOT same OR r - l >= 5) SELECT l, r, same, score FROM (SELECT *, row_number() OVER (PARTITION BY same ORDER BY sha256(concat_ws(':', '7', l, r))) AS k FROM t) WHERE k <= least(200, (SELECT min(n) FROM (SELECT count(*) AS n FROM t GROUP BY same)))"))
 def c7_balanced_pairs(spark, sf):
-    return S.balanced_pairs(trials(spark, sf).select("l", "r", "same", "score"), "7", 200)
+    """Clips follow one another by id; pairs of one speaker are at least five places apart."""
+    own = trials(spark, sf).select("l", "r", "same", "score", (F.col("r") - F.col("l")).alias("apart"))
+    return S.balanced_pairs(own, "7", 200, "apart", 5).drop("apart")
 
 
 @query(with_tables("trials", "SELECT l, r, score FROM trials"))

@@ -162,14 +162,6 @@ def d30_run_audit(spark, sf):
 SYS = "c AS (SELECT recording_id, system, count(DISTINCT speaker_id) AS n, count(*) AS turns, avg(end_ms - start_ms) AS mean_ms, count(*) FILTER (end_ms - start_ms < 60000) AS short FROM turns_by_system GROUP BY 1, 2)"
 
 
-@query(with_tables("turns_by_system", f"WITH {SYS} SELECT recording_id, system, round(0.5 * n / 5.0::DOUBLE + 0.3 * (1 - short / turns) + 0.2 * least(1, mean_ms / 3000000), 6) AS quality FROM c"))
-def d34_system_quality(spark, sf):
-    """A weighted score of each system in each recording: speakers found, few short turns, long turns."""
-    d = F.col("end_ms") - F.col("start_ms")
-    c = turns_by_system(spark, sf).groupBy("recording_id", "system").agg(F.count_distinct("speaker_id").alias("n"), F.count("*").alias("turns"), F.avg(d).alias("mean_ms"), F.count_if(d < 60000).alias("short"))
-    return c.select("recording_id", "system", F.round(0.5 * F.col("n") / 5.0 + 0.3 * (1 - F.col("short") / F.col("turns")) + 0.2 * F.least(F.lit(1.0), F.col("mean_ms") / 3000000), 6).alias("quality"))
-
-
 @query(with_tables("turns_by_system", f"WITH {SYS}, v AS (SELECT c.recording_id, k, sum(exp(-abs(c.n - k))) + 0.1 * count(*) FILTER (c.n = k) AS w FROM c CROSS JOIN (SELECT unnest(range(1, 9)) AS k) GROUP BY 1, 2) SELECT recording_id, k AS speakers, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY round(w, 9) DESC, k) AS r FROM v) WHERE r = 1"))
 def d35_count_vote(spark, sf):
     n = turns_by_system(spark, sf).groupBy("recording_id", "system").agg(F.count_distinct("speaker_id").alias("n"))

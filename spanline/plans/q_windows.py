@@ -36,7 +36,7 @@ def e8_switch_points(spark, sf):
 
 
 @query(with_tables("frames", """WITH g AS (SELECT recording_id, least(quantile_cont(rms_db, 0.5), quantile_cont(rms_db, 0.05) + 12) AS threshold FROM frames GROUP BY 1)
-    SELECT f.recording_id, f.frame_no, rms_db >= threshold AS active, round(coalesce(abs(rms_db - lag(rms_db) OVER w), 0), 6) AS change FROM frames f JOIN g USING (recording_id) WINDOW w AS (PARTITION BY f.recording_id ORDER BY frame_no)"""))
+    SELECT f.recording_id, f.frame_no, rms_db >= threshold AS active, round(coalesce(abs(rms_db - lag(rms_db) OVER w) / 12 + abs(centroid - lag(centroid) OVER w) / 4000 + abs(zcr - lag(zcr) OVER w) / 0.2::DOUBLE, 0), 6) AS change FROM frames f JOIN g USING (recording_id) WINDOW w AS (PARTITION BY f.recording_id ORDER BY frame_no)"""))
 def e13_activity_gate(spark, sf):
     return W.activity_gate(frames(spark, sf))
 
@@ -102,9 +102,27 @@ def d29_stage_stats(spark, sf):
     return W.stage_stats(stage_samples(spark, sf))
 
 
-@query(with_tables("segments", "SELECT segment_id, fixed FROM (SELECT *, CASE WHEN lag(speaker_id) OVER w = lead(speaker_id) OVER w AND speaker_id <> lag(speaker_id) OVER w AND end_ms - start_ms < 8000 THEN lag(speaker_id) OVER w ELSE speaker_id END AS fixed FROM segments WINDOW w AS (PARTITION BY recording_id ORDER BY turn))"))
+@query(with_tables("segments", """WITH RECURSIVE s AS (SELECT segment_id, recording_id, start_ms, end_ms, speaker_id, round(abs(confidence - 0.5), 9) AS margin, turn % 13 = 12 AS locked, (recording_id + turn) % 17 = 0 AS overlapping, turn % 19 = 18 AS conflict FROM segments),
+    w AS (SELECT *, lag(speaker_id) OVER w AS target, coalesce(lag(speaker_id) OVER w = lead(speaker_id) OVER w AND speaker_id <> lag(speaker_id) OVER w, false) AS island, lag(end_ms) OVER w AS left_end, lead(start_ms) OVER w AS right_start,
+      lag(overlapping) OVER w AS left_over, lead(overlapping) OVER w AS right_over, row_number() OVER w AS place FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, end_ms, segment_id)),
+    b AS (SELECT *, list_filter([CASE WHEN end_ms - start_ms > 12000 THEN 'DURATION' END, CASE WHEN left_end > start_ms OR end_ms > right_start THEN 'OVERLAP' END, CASE WHEN greatest(0, start_ms - left_end, right_start - end_ms) > 500 THEN 'GAP' END,
+      CASE WHEN coalesce(lag(island) OVER w, false) OR coalesce(lead(island) OVER w, false) THEN 'ADJACENT' END, CASE WHEN locked THEN 'LOCKED' END, CASE WHEN overlapping THEN 'OVERLAPPING' END, CASE WHEN left_over OR right_over THEN 'NEIGHBOUR_OVERLAPPING' END,
+      CASE WHEN conflict THEN 'BOUNDARY' END, CASE WHEN target NOT IN (speaker_id, CASE WHEN speaker_id = 'user' THEN 'assistant' ELSE 'user' END) THEN 'NOT_IN_TOP' END], lambda x: x IS NOT NULL) AS blockers FROM w WINDOW w AS (PARTITION BY recording_id ORDER BY place)),
+    v AS (SELECT *, CASE WHEN NOT island THEN 'NONE' WHEN margin >= 0.4 THEN 'STRONG' WHEN len(blockers) > 0 THEN 'REVIEW' ELSE 'OPEN' END AS verdict FROM b),
+    o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY place) AS i FROM v WHERE verdict = 'OPEN'),
+    f AS (SELECT recording_id, 0::BIGINT AS i, count(*) FILTER (speaker_id = 'assistant') AS a, count(*) FILTER (speaker_id = 'system') AS s, count(*) FILTER (speaker_id = 'user') AS u, NULL::BIGINT AS place, false AS applied FROM s GROUP BY 1
+      UNION ALL SELECT recording_id, i, a + ok * ((target = 'assistant')::INTEGER - (own = 'assistant')::INTEGER), s + ok * ((target = 'system')::INTEGER - (own = 'system')::INTEGER), u + ok * ((target = 'user')::INTEGER - (own = 'user')::INTEGER), place, ok = 1 FROM (
+        SELECT f.recording_id, o.i, f.a, f.s, f.u, o.place, o.target, o.speaker_id AS own, (CASE o.speaker_id WHEN 'assistant' THEN f.a WHEN 'system' THEN f.s ELSE f.u END > 1)::INTEGER AS ok FROM f JOIN o ON o.recording_id = f.recording_id AND o.i = f.i + 1))
+    SELECT v.segment_id, CASE WHEN applied THEN target ELSE speaker_id END AS fixed, CASE WHEN applied THEN 'APPLIED' WHEN verdict = 'OPEN' THEN 'REVIEW' ELSE verdict END AS verdict,
+      CASE WHEN verdict = 'OPEN' AND NOT applied THEN 'LAST_SUPPORT' WHEN verdict = 'REVIEW' THEN array_to_string(blockers, ',') ELSE '' END AS blockers FROM v LEFT JOIN f ON f.recording_id = v.recording_id AND f.place = v.place"""))
 def e7_island_repair(spark, sf):
-    return W.repair_islands(segments(spark, sf), 8000).select("segment_id", "fixed")
+    """Short turns between two of another role; margin, locks and overlaps from segment arithmetic."""
+    second = F.when(F.col("speaker_id") == "user", "assistant").otherwise("user")
+    own = segments(spark, sf).select(
+        "segment_id", "recording_id", "start_ms", "end_ms", "speaker_id", F.round(F.abs(F.col("confidence") - 0.5), 9).alias("margin"), (F.col("turn") % 13 == 12).alias("locked"),
+        ((F.col("recording_id") + F.col("turn")) % 17 == 0).alias("overlapping"), (F.col("turn") % 19 == 18).alias("boundary_conflict"), F.array("speaker_id", second).alias("top"),
+    )
+    return W.repair_islands(own, 12_000, 500, 0.4).select("segment_id", "fixed", "verdict", F.array_join("blockers", ",").alias("blockers"))
 
 
 @query(with_tables("segments", """WITH RECURSIVE o AS (SELECT recording_id, segment_id, start_ms, end_ms, row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, segment_id) AS k FROM segments),

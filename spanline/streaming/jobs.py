@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanline.lineage import ready
@@ -52,6 +53,33 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return out
 
 
+def drained_in_parts(spark: SparkSession, parts: list[DataFrame], job, mode: str = "append") -> tuple[DataFrame, int]:
+    """What job (a function of a stream) gives when `parts` arrive one after another, and how many rows the stream read by its own progress.
+
+    Each part is written to the source's folder and drained before the next comes; state, watermark and output go on from run to run. append gives rows; update
+    gives the rows of each batch with its number, so that a sink keeps the last of a key. (The progress also counts rows dropped as late, but after partial
+    sums, so a job over sums tells late rows by what it read and what its sums hold.)
+    """
+    folder, read = shared_folder(spark), 0
+    schema, out = parts[0].schema, None
+    retained = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(retained, max(10_000, int(spark.conf.get(retained))))  # the count reads all of a run's batches
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{folder}/source/part={number}")
+        result = job(spark.readStream.schema(schema).parquet(f"{folder}/source/part=*"))
+        out = result.schema
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            if mode != "append" or batch.limit(1).count():
+                batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/n={batch_id}")  # a batch that is run again replaces its rows
+
+        query = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        read += sum(int(p["numInputRows"]) for p in query.recentProgress)
+    rows = spark.read.schema(T.StructType([*out.fields, T.StructField("__batch", T.IntegerType())])).parquet(f"{folder}/out/n=*")
+    return (rows.drop("__batch") if mode == "append" else rows), read
+
+
 def deduplicated(events: DataFrame) -> DataFrame:
     """Each event id once within the time that events may be late."""
     if events.isStreaming:
@@ -59,12 +87,16 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
+#: Ranks of windowed percentiles are off by at most one in this many of a window's rows; windows of under half as many are exact.
+RANKS = 10_000
+
+
 def window_stats(events: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Count, mean and greatest latency of each stage by tumbling or sliding window."""
+    """Count, mean, median, 95th percentile and greatest latency of each stage by tumbling or sliding window. Percentiles are quantile sketches in the stream's state, which merge as partial sums do."""
     own = events.withWatermark("ts", LATE) if events.isStreaming else events
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = own.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("peak"))
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", "mean", "peak")
+    out = own.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.percentile_approx("value", [0.5, 0.95], RANKS).alias("q"), F.max("value").alias("peak"))
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "peak")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -74,8 +106,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def speaker_totals(events: DataFrame) -> DataFrame:
+    """Count and sum of each speaker by day, in update mode: a batch gives the days it changed. Rows of a day that the watermark has passed are late and are dropped."""
     own = events.withWatermark("ts", LATE) if events.isStreaming else events
-    return own.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return own.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")
+
+
+def merged_totals(updates: DataFrame, read: int) -> DataFrame:
+    """The last update of each day and speaker, added up by speaker, and n_late: how many of the rows read are in no sum."""
+    last = updates.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "__batch").alias("x"))
+    totals = last.groupBy("event_type").agg(F.sum("x.n").alias("n"), F.round(F.sum("x.total"), 4).alias("total"))
+    return totals.crossJoin(F.broadcast(totals.agg((F.lit(read).cast("long") - F.sum("n")).alias("n_late"))))  # one row
 
 
 def joined_turns(left: DataFrame, right: DataFrame, within: str = "10 minutes") -> DataFrame:
