@@ -162,20 +162,23 @@ FIELDS = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan(text: str | None, model: Automaton, phrases: list[tuple[bytes, str]]) -> tuple:
     words = (text or "").encode().translate(WORDS).split()
     line = b" " + b" ".join(words) + b" "
-    starts, labels = [], set()
+    n_base, ends, labels = 0, [], set()
     for phrase, label in phrases:
         at = line.find(phrase)
-        while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+        if at >= 0:
+            ends += [at, line.rfind(phrase)]
             labels.add(label)
+        while at >= 0:
+            n_base += 1
             at = line.find(phrase, at + 1)
+    places = [line.count(b" ", 0, at) for at in (min(ends), max(ends))] if ends else [None, None]  # words are counted twice a text, not at each place
     best = model.chains(words)
     shares = {n: covered / model.sizes[n] for n, (covered, _, _) in best.items()}
     spans = winners([(best[n][0], share, *best[n][1:], model.labels[n]) for n, share in shares.items() if share >= LEAST_SHARE])
     found = {label for label, _, _ in spans}
-    score = 1.0 if starts else min(1.0, max(shares.values(), default=0.0))
+    score = 1.0 if n_base else min(1.0, max(shares.values(), default=0.0))
     base = sorted(labels)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(labels | found)), score, ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    return len(words), n_base, *places, ",".join(base), ",".join(sorted(labels | found)), score, ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -309,3 +309,13 @@ def test_licenses(spark):
         assert [x[:2] for x in model.stretches(own)] == want
     words = mit.encode().split()
     assert model.stretches([b"x", *words, b"y"])[0][:2] == (len(words) + 1, len(words))
+
+
+def test_licenses_walk_a_text_of_one_phrase_once():
+    import time
+
+    model, phrases = licenses.automaton(), [(f" {k} ".encode(), v) for k, v in licenses.PHRASES.items()]
+    n = 400_000
+    began = time.process_time()
+    got = licenses.scan("so " + "cc by nc " * n, model, phrases)
+    assert got[:5] == (3 * n + 1, n, 1, 3 * n - 2, "cc-by-nc") and time.process_time() - began < 60
