@@ -155,50 +155,54 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-def leak_scan(private: DataFrame, published: DataFrame, size: int = 16, step: int = 8, most_rows: int = 1_000_000) -> DataFrame:
+#: Bits of the filter of fragment hashes; 16 MB, whatever the number of fragments.
+FILTER_BITS = 1 << 27
+
+
+def window_hashes(text: str, size: int) -> np.ndarray:
+    """A 64-bit hash of every window of `size` characters, by sums over shifted codes; the upper bits of a multiple, as the lower ones mix less."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype("u8")
+    out = np.zeros(max(0, len(codes) - size + 1), dtype="u8")
+    for k in range(size):
+        out += codes[k : k + len(out)] * np.uint64(pow(1_000_003, size - 1 - k, 1 << 64))
+    return out * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+
+
+def leak_scan(private: DataFrame, published: DataFrame, size: int = 16, step: int = 8, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Published rows (id, text) that hold a fragment of a private text (id, text): fragments of `size` characters every `step`, after folding case and marks.
 
-    Up to `most_rows` fragments (of `size` characters each, so the bound is one of bytes) are a broadcast: a text's windows are hashed by a running sum, those
-    whose hash a fragment has are compared with it, and only these become rows. Beyond that both sides are shuffled by fragment.
+    Fragments' hashes set bits of a filter of fixed size, built by Spark as words or-ed together and broadcast. Windows of published texts are hashed in their row,
+    and only those whose bit is set become rows, once a text; these meet the fragments in a join by their text. Where fragments are so many that the filter
+    fills, more rows take part in that join, by the same plan.
     """
     own = private.select(F.col("id").alias("private_id"), bare(F.col("text")).alias("t")).where(F.length("t") >= size)
     fragments = own.select("private_id", F.explode(F.expr(f"transform(sequence(1, length(t) - {size - 1}, {step}), i -> substr(t, i, {size}))")).alias("f")).distinct()
     many = published.select(F.col("id").alias("public_id"), bare(F.col("text")).alias("t")).where(F.length("t") >= size)
-    keys = fragments.select("f").distinct().limit(most_rows + 1)
-    found = [r.f for r in keys.collect()] if keys.count() <= most_rows else None
-    if found is None:
-        letters = many.select("public_id", F.split("t", "").alias("c"))  # slices of an array cost their own length, substrings of a text the way to them
-        hits = letters.select("public_id", F.explode(F.expr(f"transform(sequence(1, size(c) - {size - 1}), i -> array_join(slice(c, i, {size}), ''))")).alias("f"))
-    else:
-        table = published.sparkSession.sparkContext.broadcast(found)
-        kind = dict(many.dtypes)["public_id"]
-        hits = many.mapInArrow(lambda batches: windows_among(batches, table.value, size), f"public_id {kind}, f string")
-    return hits.join(fragments, "f").groupBy("public_id", "private_id").agg(F.count_distinct("f").alias("n_fragments"))
-
-
-def windows_among(batches, fragments: list[str], size: int):
-    """(public_id, f) of the texts' windows that are among the fragments."""
-    base = [pow(1_000_003, size - 1 - k, 1 << 64) for k in range(size)]
-
-    def hashes(text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype("u8")
-        out = np.zeros(max(0, len(codes) - size + 1), dtype="u8")
-        for k in range(size):
-            out += codes[k : k + len(out)] * np.uint64(base[k])
-        return out
-
-    known = set(fragments)
-    keys = np.unique(hashes("".join(fragments))[::size]) if fragments else np.empty(0, dtype="u8")
-    for batch in batches:
-        ids, found = [], []
-        for k, text in enumerate(batch.column("t").to_pylist()):
-            for at in np.flatnonzero(np.isin(hashes(text), keys)).tolist():
-                f = text[at : at + size]
-                if f in known:
-                    ids.append(k)
-                    found.append(f)
-        if ids:
-            yield pa.RecordBatch.from_arrays([batch.column("public_id").take(pa.array(ids)), pa.array(found)], names=["public_id", "f"])
+
+    def bits(batches):
+        for batch in batches:
+            hashes = window_hashes("".join(batch.column("f").to_pylist()), size)[::size] % np.uint64(filter_bits)
+            yield pa.RecordBatch.from_arrays([pa.array((hashes >> np.uint64(6)).astype("i8")), pa.array((np.uint64(1) << (hashes & np.uint64(63))).view("i8"))], names=["word", "bit"])
+
+    words = fragments.select("f").distinct().mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # filter_bits / 64 rows at most
+    table = np.zeros(filter_bits // 64, dtype="u8")
+    table[words["word"].to_numpy()] = words["bit"].to_numpy().view("u8")
+    table = published.sparkSession.sparkContext.broadcast(table)
+
+    def hits(batches):
+        for batch in batches:
+            ids, found = [], []
+            for k, text in enumerate(batch.column("t").to_pylist()):
+                hashes = window_hashes(text, size) % np.uint64(filter_bits)
+                at = np.flatnonzero(table.value[hashes >> np.uint64(6)] >> (hashes & np.uint64(63)) & np.uint64(1))
+                windows = {text[i : i + size] for i in at.tolist()}
+                ids += [k] * len(windows)
+                found += windows
+            if ids:
+                yield pa.RecordBatch.from_arrays([batch.column("public_id").take(pa.array(ids)), pa.array(found)], names=["public_id", "f"])
+
+    kind = dict(many.dtypes)["public_id"]
+    return many.mapInArrow(hits, f"public_id {kind}, f string").join(fragments, "f").groupBy("public_id", "private_id").agg(F.count_distinct("f").alias("n_fragments"))
 
 
 def whole_leaks(private: DataFrame, published: DataFrame) -> DataFrame:
