@@ -38,13 +38,13 @@ def binary_metrics(df: DataFrame, truth: Column, predicted: Column, keys: list[s
     return counts.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = 1024) -> DataFrame:
-    """keys (one at least) and a column for each of `points`: the exact percentile with linear interpolation at (n - 1) * p, null values aside.
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = 1024, weight: str | None = None) -> DataFrame:
+    """keys (one at least) and a column for each of `points`: the exact percentile with linear interpolation at (n - 1) * p, null values aside; a row stands for `weight` rows where that column is named.
 
     Counts by distinct value come first. Each key's range is cut to `cells` equal cells; running counts over cells (a row a cell) show which cells hold the
     ranks that are sought, and running counts inside these alone find the values. So no task or buffer holds a key's values.
     """
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg((F.sum(weight) if weight else F.count("*")).alias("__n")))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     span = counts.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
     placed = counts.alias("l").join(span.alias("r"), same).select("l.*", "r.__lo", "r.__hi", "r.__all")
@@ -65,11 +65,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
 
 def rate_cube(df: DataFrame, keys: list[str], flag: str, value: str) -> DataFrame:
     """Rate of a flag, and mean and percentiles of a value, over the cube of the keys; `all` stands for any, and for a null key."""
+    fine = df.groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__n"), F.count(flag).alias("__known"), F.sum(F.col(flag).cast("int")).alias("__f"))
     sets = F.array(*[F.struct(*[(F.col(k).cast("string") if kept >> i & 1 else F.lit(None).cast("string")).alias(k) for i, k in enumerate(keys)], F.lit(kept).alias("__set")) for kept in range(1 << len(keys))])
-    rows = df.select(F.explode(sets).alias("k"), F.col(flag).cast("int").alias("__f"), F.col(value).alias("__value")).select("k.*", "__f", "__value")
-    ids = [*keys, "__set"]
-    base = rows.groupBy(*ids).agg(F.count("*").alias("n"), F.round(F.avg("__f"), 9).alias("rate"), F.round(F.avg("__value"), 6).alias("mean"))
-    found = percentiles(rows, ids, "__value", {"p50": 0.5, "p95": 0.95})
+    rows, ids = cut(fine.select(F.explode(sets).alias("k"), "__value", "__n", "__known", "__f").select("k.*", "__value", "__n", "__known", "__f")), [*keys, "__set"]
+    known = F.when(F.col("__value").isNotNull(), F.col("__n"))
+    base = rows.groupBy(*ids).agg(F.sum("__n").alias("n"), F.round(F.sum("__f") / F.sum("__known"), 9).alias("rate"), F.round(F.sum(F.col("__value") * known) / F.sum(known), 6).alias("mean"))
+    found = percentiles(rows, ids, "__value", {"p50": 0.5, "p95": 0.95}, weight="__n")
     both = base.alias("l").join(found.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ids], "left")
     return both.select(*[F.coalesce(f"l.{k}", F.lit("all")).alias(k) for k in keys], "n", "rate", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
