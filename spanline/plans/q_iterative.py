@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanline.functions.vectors import cosine
+from spanline.lineage import cut
 from spanline.operators import clustering as K
 from spanline.operators import decoding as D
 from spanline.operators import graphs as G
@@ -145,13 +146,13 @@ STAY, SWITCH, RELIEF, SNAP_MS = 0.16, 0.42, 0.28, 120_000
 def fused_labels(spark, sf):
     """(emissions, labels): one speaker or none a frame, switching being cheaper near the systems' bounds."""
     turns = turns_by_system(spark, sf)
-    p = K.emissions(K.frame_grid(turns, HOP), WEIGHTS)
+    p = cut(K.emissions(K.frame_grid(turns, HOP), WEIGHTS))
     near = D.boundary_scores(p.select(F.col("recording_id").alias("key"), "frame").distinct(), turns.withColumnRenamed("recording_id", "key"), HOP, SNAP_MS, WEIGHTS)
     return p, D.decode_frame_grid(p, near.withColumnRenamed("key", "recording_id"), SWITCH, STAY, RELIEF)
 
 
 def _labels_sql() -> str:
-    """The best path in a recursive query: at each frame the best way to each state, whose letter joins the path."""
+    """The best path in a recursive query over frames: scores of all states as a list, and the way to each as a string of their letters."""
     weight = "CASE system WHEN 'a' THEN 1.0 WHEN 'b' THEN 0.8 ELSE 0.6 END::DOUBLE"
     return f"""{GRID}, {EMIT}, bounds AS (SELECT recording_id, start_ms AS pos, {weight} AS w FROM turns_by_system UNION ALL SELECT recording_id, end_ms, {weight} FROM turns_by_system),
     total AS (SELECT recording_id, sum(w) AS total FROM bounds GROUP BY 1),
@@ -162,10 +163,12 @@ def _labels_sql() -> str:
     steps AS (SELECT s.recording_id, s.frame, s.frame - s.a AS t, code, CAST(round(CASE WHEN code = 'a' THEN 0.34 ELSE coalesce(p.p, 0) END * 1000000000) AS BIGINT) AS e,
         CAST(round(greatest(0.0, {SWITCH}::DOUBLE - {RELIEF}::DOUBLE * coalesce(boundary, 0.0)) * 1000000000) AS BIGINT) AS sw
         FROM spine s JOIN states st USING (recording_id) LEFT JOIN p ON p.recording_id = s.recording_id AND p.frame = s.frame AND p.speaker_id = st.speaker_id LEFT JOIN near n ON n.recording_id = s.recording_id AND n.frame = s.frame),
-    walk AS (SELECT recording_id, t, code, e AS score, code AS path FROM steps WHERE t = 0
-      UNION ALL SELECT recording_id, t, code, score, path FROM (SELECT s.recording_id, s.t, s.code, w.score + s.e + CASE WHEN w.code = s.code THEN {round(STAY * 10**9)} ELSE -s.sw END AS score, w.path || s.code AS path,
-        row_number() OVER (PARTITION BY s.recording_id, s.code ORDER BY w.score + CASE WHEN w.code = s.code THEN {round(STAY * 10**9)} ELSE -s.sw END DESC, w.code <> s.code, w.code) AS k FROM walk w JOIN steps s ON s.recording_id = w.recording_id AND s.t = w.t + 1) WHERE k = 1),
-    done AS (SELECT recording_id, path FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t DESC, score DESC, code) AS k FROM walk) WHERE k = 1),
+    rows AS (SELECT recording_id, t, list(e ORDER BY code) AS e, list(code ORDER BY code) AS codes, any_value(sw) AS sw FROM steps GROUP BY 1, 2),
+    walk AS (SELECT recording_id, t, e AS scores, codes AS paths FROM rows WHERE t = 0
+      UNION ALL SELECT recording_id, t, list_transform(scores, lambda x, i: greatest(x + {round(STAY * 10**9)}, best - sw) + e[i]),
+        list_transform(scores, lambda x, i: CASE WHEN x + {round(STAY * 10**9)} >= best - sw THEN paths[i] ELSE paths[list_position(scores, best)] END || codes[i])
+      FROM (SELECT r.*, w.scores, w.paths, list_max(w.scores) AS best FROM walk w JOIN rows r ON r.recording_id = w.recording_id AND r.t = w.t + 1)),
+    done AS (SELECT recording_id, paths[list_position(scores, list_max(scores))] AS path FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t DESC) AS k FROM walk) WHERE k = 1),
     labels AS (SELECT s.recording_id, s.frame, st.speaker_id FROM (SELECT DISTINCT recording_id, frame, t FROM steps) s JOIN done d USING (recording_id) JOIN states st ON st.recording_id = s.recording_id AND st.code = d.path[s.t + 1])"""
 
 
