@@ -90,10 +90,10 @@ def bounded_batches(segments: DataFrame, most_items: int, most_chars: int) -> Da
 
 def text_chunks(docs: DataFrame, target: int, overlap: int = 0) -> DataFrame:
     """Lines of a text gathered into chunks of about `target` characters, cut at line ends; each line has its chunk. The last lines of a chunk, up to `overlap` characters with their line ends, come again before the next chunk (repeated)."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    size = F.length("text") + 1
+    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), F.length)).alias("line", "n"))  # lengths alone are shuffled
+    size = F.col("n") + 1
     before = F.sum(size).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - size
-    own = lines.select("doc_id", "line", F.floor(before / target).alias("chunk"), F.length("text").alias("n"))
+    own = lines.select("doc_id", "line", F.floor(before / target).alias("chunk"), "n")
     if not overlap:
         return own.withColumn("repeated", F.lit(False))
     to_end = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id", "chunk").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0))
