@@ -37,6 +37,7 @@ def compare(spark, sf_dir, query, sql):
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} {sorted(names)}"
     if got != want:
-        a, b = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+        asked, given = set(want), set(got)
+        a, b = [x for x in got if x not in asked][:3], [x for x in want if x not in given][:3]
         return f"{len(got)} rows, SQL {len(want)}; Spark only {a}; SQL only {b}"
     return None
