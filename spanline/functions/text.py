@@ -19,6 +19,12 @@ CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯]"
 #: Literals that must survive an edit, by kind.
 LITERALS = {"url": r"https?://[^\s]+", "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "version": r"\b[0-9]+\.[0-9]+\.[0-9]+\b", "number": r"\b[0-9]+\b", "acronym": r"\b[A-Z]{2,6}\b"}
 
+#: The scripts in which a language is written.
+WRITTEN_IN = {
+    **dict.fromkeys("af ca cs cy da de en es et fi fr ga hr hu id is it la lt lv ms nl no pl pt ro sk sl sq sv sw tr vi".split(), ("latin",)),
+    "zh": ("han",), "ja": ("han", "kana"), "ko": ("hangul",), **dict.fromkeys("ru uk be bg mk sr".split(), ("cyrillic",)), **dict.fromkeys("ar fa ur ps".split(), ("arabic",)),
+}
+
 
 def col(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -108,6 +114,36 @@ def protected_kept(source: C, output: C) -> Column:
     return own(source) == own(output)
 
 
+def untranslated(source: C, output: C, source_language: C, target_language: C, latin_only: bool = True) -> Column:
+    """Whether output, given as a translation, still is in the source's language: true only where that is plain.
+
+    It is so if the source has letters and the output none; if both have the same letters and digits, case aside, and the source six letters (three, if it has no literals);
+    or if the source's main script (8 letters or more, more than it has of the target's) still rules the output: 8 letters, four times those of the target's scripts, and
+    fewer of those than 2 or a sixth. Equal primary languages are never untranslated; a target whose script is not known is so by the first rules alone. Nulls count as empty.
+    """
+    s, o = F.coalesce(col(source), F.lit("")), F.coalesce(col(output), F.lit(""))
+    root = lambda x: F.lower(F.split(F.coalesce(col(x), F.lit("")), "-")[0])
+    scripts = [k for k in SCRIPTS if k != "digit"]
+    plain = lambda t: F.regexp_replace(F.lower(t) if latin_only else nfkc(t), r"[^\p{L}\p{N}]", "")
+    counted = lambda t: F.struct(*[F.regexp_count(t, F.lit(SCRIPTS[k])).alias(k) for k in scripts], F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"))
+    literal = F.lit(False)
+    for pattern in LITERALS.values():
+        literal = literal | s.rlike(pattern)
+    known = F.struct(counted(s).alias("s"), counted(o).alias("o"), (plain(s) == plain(o)).alias("same"), literal.alias("literal"), root(target_language).alias("target"))
+
+    def verdict(x: Column) -> Column:
+        other = lambda c: F.greatest(F.lit(0), c.letters - sum(c[k] for k in scripts))
+        of_target = lambda c: F.coalesce(*[F.when(x.target.isin([k for k, v in WRITTEN_IN.items() if v == kind]), sum(c[k] for k in kind)) for kind in sorted(set(WRITTEN_IN.values()))])
+        most = F.greatest(*[x.s[k] for k in scripts], other(x.s))
+        left = F.coalesce(*[F.when(x.s[k] == most, x.o[k]) for k in scripts], other(x.o))  # the first of equal scripts
+        asked = of_target(x.o)
+        ruled = (most >= 8) & (of_target(x.s) < most) & (left >= 8) & (left >= asked * 4) & (asked < F.greatest(F.lit(2), F.floor(left / 6)))
+        return ((x.s.letters >= 1) & (x.o.letters == 0)) | (x.same & ((x.s.letters >= 6) | ((x.s.letters >= 3) & ~x.literal))) | F.coalesce(ruled, F.lit(False))
+
+    found = F.transform(F.array(known), verdict)[0]  # the counts once, then the rules
+    return F.when(root(source_language) == root(target_language), False).otherwise(found)
+
+
 def suffix_prefix(left: C, right: C, least: int = 5, most: int = 120) -> Column:
     """The longest suffix of left that right begins with, in characters; 0 below `least`."""
     l, r = col(left), col(right)

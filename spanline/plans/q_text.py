@@ -118,6 +118,29 @@ def h12_copied_source(spark, sf):
     return doc_pairs(spark, sf).select("doc_id", (X.normalized("ref_text") == X.normalized("hyp_text")).alias("copied"))
 
 
+def _untranslated_sql() -> str:
+    scripts = [k for k in DUCK_SCRIPTS if k != "digit"]
+    counts = ", ".join(f"len(regexp_extract_all({t}, '{DUCK_SCRIPTS[k]}')) AS {a}_{k}" for a, t in (("s", "ref_text"), ("o", "out_text")) for k in scripts)
+    same = "regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    literal = " OR ".join(f"regexp_matches(ref_text, '{p}')" for p in X.LITERALS.values())
+    asked = lambda a: f"CASE target WHEN 'ja' THEN {a}_han + {a}_kana WHEN 'ru' THEN {a}_cyrillic WHEN 'de' THEN {a}_latin END"
+    kept = " ".join(f"WHEN s_{k} = most THEN o_{k}" for k in scripts)
+    rest = lambda a: f"greatest(0, {a}_letters - ({' + '.join(f'{a}_{k}' for k in scripts)}))"
+    return f"""WITH t AS (SELECT doc_id, lang, ref_text, CASE WHEN doc_id % 5 = 0 THEN '« ' || ref_text || ' !»' WHEN doc_id % 5 = 1 THEN '12 - 34' ELSE hyp_text END AS out_text, CASE doc_id % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'ru' WHEN 2 THEN 'de' ELSE 'xx' END AS target FROM doc_pairs),
+      c AS (SELECT *, {counts}, len(regexp_extract_all(ref_text, '\\p{{L}}')) AS s_letters, len(regexp_extract_all(out_text, '\\p{{L}}')) AS o_letters, {same.format(t='ref_text')} = {same.format(t='out_text')} AS same, {literal} AS literal FROM t),
+      m AS (SELECT *, greatest({', '.join(f's_{k}' for k in scripts)}, {rest('s')}) AS most FROM c), k AS (SELECT *, CASE {kept} ELSE {rest('o')} END AS kept, {asked('o')} AS asked, {asked('s')} AS had FROM m)
+      SELECT doc_id, target, lang <> target AND ((s_letters >= 1 AND o_letters = 0) OR (same AND (s_letters >= 6 OR (s_letters >= 3 AND NOT literal)))
+        OR coalesce(most >= 8 AND had < most AND kept >= 8 AND kept >= asked * 4 AND asked < greatest(2, kept // 6), false)) AS untranslated FROM k"""
+
+
+@query(with_tables("doc_pairs", _untranslated_sql()))
+def h12_untranslated(spark, sf):
+    """Edited texts taken for translations to Japanese, Russian, German or an unknown language; every fifth is the source between marks (engines differ on capitals), every fifth has no letters."""
+    target = F.when(F.col("doc_id") % 4 == 0, "ja").when(F.col("doc_id") % 4 == 1, "ru").when(F.col("doc_id") % 4 == 2, "de").otherwise("xx")
+    out = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("« "), "ref_text", F.lit(" !»"))).when(F.col("doc_id") % 5 == 1, "12 - 34").otherwise(F.col("hyp_text"))
+    return doc_pairs(spark, sf).select("doc_id", target.alias("target"), X.untranslated("ref_text", out, "lang", target).alias("untranslated"))
+
+
 @query("SELECT conv_id, turn, n_overlap FROM (SELECT conv_id, turn, coalesce(list_max(list_filter(range(1, least(120, length(prev), length(text)) + 1), lambda n: right(prev, n) = left(text, n))), 0) AS n_overlap FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL)")
 def h13_suffix_prefix(spark, sf):
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
