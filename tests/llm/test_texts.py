@@ -216,6 +216,52 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_the_chain_reads_every_token_of_whole_texts(spark, monkeypatch):
+    chain, rng, draw = secret_scan.Chain(), random.Random(3), np.random.default_rng(3)
+    chain.tokens = np.round(draw.normal(size=chain.tokens.shape) * secret_scan.FINE) / secret_scan.FINE
+    chain.moves = np.round(draw.normal(size=(3, 3)) * secret_scan.FINE) / secret_scan.FINE
+    chain.moves[0, 2] = -1e3
+
+    def brute(text):
+        run = secret_scan.featured(text, secret_scan.file_features(text))
+        if not run:
+            return []
+        best, steps = chain.moves[0] + chain.scores(run[0][2]), []
+        for _, _, features in run[1:]:
+            ways = best[:, None] + chain.moves
+            steps.append(ways.argmax(axis=0))
+            best = ways.max(axis=0) + chain.scores(features)
+        tags = [int((best + chain.moves[:, 0]).argmax())]
+        for step in reversed(steps):
+            tags.insert(0, int(step[tags[0]]))
+        out = []
+        for (start, end, _), tag in zip(run, tags, strict=True):
+            if tag == 1:
+                out.append((start, "crf", end))
+            elif tag == 2:
+                out[-1] = (out[-1][0], "crf", end)
+        return [x for x in out if x[2] - x[0] >= 8]
+
+    letters = "aB3 \n_-+/=.!#éßÑ٣𝔸\x1f'\":ſabcdefABC0123456789  "
+    texts = ["", " ", "\n\n", "plain words only without any value in them", *["".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 40, 300, 3000]))) for _ in range(60)]]
+    want = [brute(text) for text in texts]
+    assert want[3] and sum(map(len, want)) > 500
+    for size, words in ((secret_scan.PIECE, secret_scan.WORDS), (500, 50), (37, 1)):  # texts together, in pieces, and words forgotten
+        monkeypatch.setattr(secret_scan, "PIECE", size)
+        monkeypatch.setattr(secret_scan, "WORDS", words)
+        assert secret_scan.chain_spans(texts, secret_scan.Reader(chain)) == want
+
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    docs = [f"some words here {k} token = \"{key(40, both + '0123456789')}\" and more words" for k in range(60)]
+    docs += [f"plain words only {k} in this line of an internationalisation" for k in range(60)]
+    fitted = secret_scan.fit_chain(table(spark, docs))
+    for k in range(20):  # no digit or no letter, and no mark before
+        value = key(32, both) if k % 2 else key(28, "0123456789")
+        assert secret_scan.scan(f"some words here {value} and more words", fitted)[4] == f"crf:16:{16 + len(value)}"
+    assert secret_scan.scan("plain words only in this line of an internationalisation", fitted)[4] == ""
+
+
 def test_viterbi_of_the_chain_is_the_best_path():
     import itertools
 
