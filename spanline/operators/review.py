@@ -18,8 +18,8 @@ def review_queue(segments: DataFrame, low: float = 0.3, long_ms: int = 60_000) -
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """The last decision of each segment by sequence; a repeated decision id counts once."""
-    first = decisions.groupBy("decision_id").agg(F.min(F.struct("seq", "segment_id", "action", "text")).alias("d")).select("decision_id", "d.*")
+    """The last decision of each segment by sequence; a segment's repeated decision id counts once. Ids need not differ between segments."""
+    first = decisions.groupBy("segment_id", "decision_id").agg(F.min(F.struct("seq", "action", "text")).alias("d")).select("segment_id", "decision_id", "d.*")
     return first.groupBy("segment_id").agg(F.max_by(F.struct("action", "text"), F.struct("seq", "decision_id")).alias("d"), F.count("*").alias("n")).select("segment_id", "d.action", "d.text", "n")
 
 
