@@ -92,7 +92,7 @@ def overlap_flags(turns: DataFrame) -> DataFrame:
     """turns with `overlapped`: whether any other turn of the recording overlaps."""
     order = Window.partitionBy("recording_id").orderBy("start_ms", "end_ms", "event_id")
     before = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("start_ms").over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.lead("start_ms").over(order)  # the least of all later starts
     return turns.withColumn("overlapped", F.coalesce(before > F.col("start_ms"), F.lit(False)) | F.coalesce(after < F.col("end_ms"), F.lit(False)))
 
 
