@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanline.operators import evidence as E
 from spanline.operators import intervals as I
 from spanline.operators import rules as U
 
@@ -82,13 +83,9 @@ MARK = "a AS (SELECT recording_id, start_ms AS t FROM turns_ref), b AS (SELECT r
 @query(with_tables("turns_ref turns_hyp", f"WITH {MARK} SELECT recording_id, t, m, score FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, t ORDER BY score DESC, d, priority DESC, m, event_id) AS k FROM (SELECT DISTINCT a.recording_id, t, m, priority, event_id, abs(t - m) AS d, round(0.75 * (1 - abs(t - m) / 60000.0::DOUBLE) + 0.25 * confidence, 9) AS score FROM a JOIN b ON a.recording_id = b.recording_id AND m BETWEEN t - 60000 AND t + 60000)) WHERE k = 1"))
 def c11_nearest_marker(spark, sf):
     """The best marker within a minute of each point, by nearness and confidence."""
-    a = turns_ref(spark, sf).select("recording_id", "start_ms").distinct().select("recording_id", F.col("start_ms").alias("t"), (F.col("start_ms") - 60000).alias("start_ms"), (F.col("start_ms") + 60001).alias("end_ms"))
-    b = turns_hyp(spark, sf).select("recording_id", "start_ms", (F.col("start_ms") + 1).alias("end_ms"), "event_id", (F.col("event_id") % 2 + 1).alias("priority"), ((F.col("event_id") % 10) / 10.0).alias("confidence"))
-    pairs = I.overlap_join(b, a, 120_000)
-    d = F.abs(F.col("r_t") - F.col("start_ms"))
-    scored = pairs.select("recording_id", F.col("r_t").alias("t"), F.col("start_ms").alias("m"), "event_id", "priority", d.alias("d"), F.round(0.75 * (1 - d / 60000.0) + 0.25 * F.col("confidence"), 9).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "d", (-F.col("priority")).alias("p"), "m", "event_id")).alias("b")
-    return scored.groupBy("recording_id", "t").agg(best).select("recording_id", "t", F.col("b.m").alias("m"), (-F.col("b.s")).alias("score"))
+    points = turns_ref(spark, sf).select("recording_id", F.col("start_ms").alias("t"))
+    markers = turns_hyp(spark, sf).select("recording_id", F.col("start_ms").alias("m"), (F.col("event_id") % 2 + 1).alias("priority"), ((F.col("event_id") % 10) / 10.0).alias("confidence"))
+    return E.best_markers(points, markers, 60_000)
 
 
 PROBE = flags(("ASR_DISAGREES", "a.n <> b.n"), ("EMPTY_REFERENCE", "r.n_chars < 40"), ("NO_SPEECH", "r.n_chars % 50 = 0"), ("NO_DIARIZATION", "d.doc_id IS NULL"))
