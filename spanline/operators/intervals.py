@@ -56,6 +56,18 @@ def edges(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     return df.select(*keys, *values, F.explode(both).alias("__e")).select(*keys, *values, "__e.t", "__e.step")
 
 
+def common_time(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
+    """(recording_id, kind, common_ms, equal_ms): the common time of all pairs of a left and a right turn, by the left one's kind, and of those of equal kinds. Running numbers of active turns; no pairs."""
+    kinds = left.select("recording_id", kind).distinct()
+    l = edges(left, ["recording_id", kind]).select("recording_id", kind, "t", F.col("step").alias("l"), F.lit(0).alias("r"), F.lit(0).alias("same"))
+    sums = edges(right, ["recording_id"], kind).groupBy("recording_id", F.col(kind).alias("__kind"), "t").agg(F.sum("step").alias("step")).join(kinds, "recording_id")
+    r = sums.select("recording_id", kind, "t", F.lit(0).alias("l"), F.col("step").alias("r"), F.when(F.col("__kind") == F.col(kind), F.col("step")).otherwise(0).alias("same"))
+    order = Window.partitionBy("recording_id", kind).orderBy("t")
+    up = order.rowsBetween(Window.unboundedPreceding, 0)  # rows of one time have no length between them
+    spans = l.unionByName(r).select("recording_id", kind, (F.lead("t").over(order) - F.col("t")).alias("ms"), *[F.sum(c).over(up).alias(c) for c in ("l", "r", "same")])
+    return spans.where("ms > 0 AND l > 0 AND r > 0").groupBy("recording_id", kind).agg(F.sum(F.expr("ms * l * r")).alias("common_ms"), F.sum(F.expr("ms * l * same")).alias("equal_ms"))
+
+
 def active_counts(turns: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """Elementary intervals with the number of active turns: (keys, start_ms, end_ms, active)."""
     steps = edges(turns, list(keys)).groupBy(*keys, "t").agg(F.sum("step").alias("step"))

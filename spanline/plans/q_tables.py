@@ -127,9 +127,8 @@ LANG = "l AS (SELECT event_id, recording_id, start_ms, end_ms, CASE WHEN event_i
 @query(with_tables("turns_ref turns_hyp", f"WITH {LANG} SELECT coalesce(l.language, 'all') AS language, CAST(sum(least(l.end_ms, h.end_ms) - greatest(l.start_ms, h.start_ms)) AS BIGINT) AS common_ms, CAST(sum(CASE WHEN l.language = h.language THEN least(l.end_ms, h.end_ms) - greatest(l.start_ms, h.start_ms) ELSE 0 END) AS BIGINT) AS agreed_ms FROM l JOIN h ON l.recording_id = h.recording_id AND l.start_ms < h.end_ms AND h.start_ms < l.end_ms GROUP BY GROUPING SETS ((l.language), ())"))
 def d22_language_time(spark, sf):
     lang = lambda df, k: df.withColumn("language", F.when(F.col("event_id") % k == 0, "de").otherwise("en")).drop("speaker_id")
-    pairs = I.overlap_join(lang(turns_ref(spark, sf), 4), lang(turns_hyp(spark, sf), 5))
-    agreed = F.when(F.col("language") == F.col("r_language"), F.col("overlap_ms")).otherwise(0)
-    out = pairs.withColumn("agreed", agreed).rollup("language").agg(F.sum("overlap_ms").alias("common_ms"), F.sum("agreed").alias("agreed_ms"))
+    per = I.common_time(lang(turns_ref(spark, sf), 4), lang(turns_hyp(spark, sf), 5), "language")
+    out = per.rollup("language").agg(F.sum("common_ms").alias("common_ms"), F.sum("equal_ms").alias("agreed_ms"))
     return out.withColumn("language", F.coalesce("language", F.lit("all")))
 
 
