@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,40 @@ def expand_window(turns: DataFrame, start: int, end: int) -> DataFrame:
     return isles.where((F.col("start_ms") <= start) & (F.col("end_ms") >= end)).drop("island")
 
 
+def speaker_windows(starts: DataFrame, turns: DataFrame, size: int, least: int = 1, bucket_ms: int = 3_600_000) -> DataFrame:
+    """(recording_id, start_ms, n, least_ms, speech_ms): for each window of `size` from a start (start_ms), how many speakers have turns of `least` ms or more in it, the least of their times and the sum.
+
+    A speaker's time up to a moment follows from the sums of starts and ends before it, so a window is a difference and never meets its turns. Windows go by the time bucket of their
+    start, with the parts of turns in their reach.
+    """
+    cell = lambda c: F.floor(c / bucket_ms).cast("long")
+    s, e, kind = F.col("start_ms"), F.col("end_ms"), dict(turns.dtypes)["recording_id"]
+    asked = starts.select("recording_id", cell(s).alias("cell"), "start_ms", F.lit(None).cast("long").alias("end_ms"), F.lit(None).cast("string").alias("speaker_id")).distinct()
+    spread = turns.where("end_ms > start_ms").select("recording_id", F.explode(F.sequence(cell(s - size), cell(e))).alias("cell"), "start_ms", "end_ms", "speaker_id")
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        own = part["end_ms"].isna()
+        at = part.loc[own, "start_ms"].to_numpy()
+        n, shortest, total = (np.zeros(len(at), dtype="i8") for _ in range(3))
+        for _, rows in part[~own].groupby("speaker_id", dropna=False) if len(at) else ():
+            sides = [np.sort(rows[c].to_numpy(dtype="i8")) for c in ("start_ms", "end_ms")]
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in sides]
+
+            def upto(t: np.ndarray) -> np.ndarray:
+                (k, begun), (j, ended) = ((k, x[k]) for x, k in ((x, np.searchsorted(v, t)) for v, x in zip(sides, sums, strict=True)))
+                return (k - j) * t - begun + ended
+
+            ms = upto(at + size) - upto(at)
+            speaks = ms >= max(least, 1)
+            shortest = np.where(speaks & ((n == 0) | (ms < shortest)), ms, shortest)
+            n += speaks
+            total += np.where(speaks, ms, 0)
+        out = pd.DataFrame({"recording_id": part["recording_id"].iloc[0], "start_ms": at, "n": n, "least_ms": shortest, "speech_ms": total})
+        return out[n > 0]
+
+    return asked.unionByName(spread).groupBy("recording_id", "cell").applyInPandas(count, f"recording_id {kind}, start_ms long, n long, least_ms long, speech_ms long")
+
+
 def stage_stats(samples: DataFrame) -> DataFrame:
     sums = samples.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("latency_ms"), 4).alias("total_ms"), F.max("latency_ms").alias("peak"), F.round(F.avg(F.col("cache_hit").cast("int")), 9).alias("hit_rate"))
     middle = percentiles(samples, ["stage"], "latency_ms", {"p50": 0.5, "p95": 0.95})

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanline.operators import intervals as I
 from spanline.operators import sampling as P
 from spanline.operators import selection as D
+from spanline.operators import windows as W
 from spanline.operators.scoring import seeded_order
 
 from .registry import query
@@ -122,10 +122,9 @@ def f9_seeded_windows(spark, sf):
 WINDOWS = "w AS (SELECT DISTINCT recording_id, start_ms AS s, start_ms + 1800000 AS e FROM turns_ref WHERE start_ms + 1800000 <= 86400000), o AS (SELECT w.recording_id, w.s, w.e, t.speaker_id, sum(least(t.end_ms, w.e) - greatest(t.start_ms, w.s)) AS ms FROM w JOIN turns_ref t ON t.recording_id = w.recording_id AND t.start_ms < w.e AND w.s < t.end_ms GROUP BY ALL)"
 
 
-def speaker_windows(spark, sf):
+def speaker_windows(spark, sf, least_ms=1):
     ref = turns_ref(spark, sf)
-    w = ref.where("start_ms + 1800000 <= 86400000").select("recording_id", "start_ms", (F.col("start_ms") + 1_800_000).alias("end_ms")).distinct()
-    return I.overlap_join(w, ref).groupBy("recording_id", "start_ms", "end_ms", "r_speaker_id").agg(F.sum("overlap_ms").alias("ms")).groupBy("recording_id", "start_ms", "end_ms").agg(F.count("*").alias("n"), F.min("ms").alias("least_ms"), F.sum("ms").alias("speech_ms"))
+    return W.speaker_windows(ref.where("start_ms + 1800000 <= 86400000").select("recording_id", "start_ms"), ref, 1_800_000, least_ms)
 
 
 @query(with_tables("turns_ref", f"WITH {WINDOWS}, g AS (SELECT recording_id, s, e, count(*) AS n, min(ms) AS least_ms, sum(ms) AS speech FROM o GROUP BY 1, 2, 3) SELECT recording_id, s AS start_ms, least_ms::BIGINT AS least_ms FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY least_ms DESC, speech DESC, s) AS k FROM g WHERE n = 2) WHERE k = 1"))
@@ -136,10 +135,7 @@ def f10_exact_speaker_window(spark, sf):
 
 @query(with_tables("turns_ref", f"WITH {WINDOWS} SELECT recording_id, count(*) AS n_windows, min(s) AS first_ms FROM (SELECT recording_id, s FROM o WHERE ms >= 60000 GROUP BY 1, 2 HAVING count(*) = 3) GROUP BY 1"))
 def f11_windows_with_n_speakers(spark, sf):
-    ref = turns_ref(spark, sf)
-    w = ref.where("start_ms + 1800000 <= 86400000").select("recording_id", "start_ms", (F.col("start_ms") + 1_800_000).alias("end_ms")).distinct()
-    per = I.overlap_join(w, ref).groupBy("recording_id", "start_ms", "r_speaker_id").agg(F.sum("overlap_ms").alias("ms")).where("ms >= 60000").groupBy("recording_id", "start_ms").agg(F.count("*").alias("n")).where("n = 3")
-    return per.groupBy("recording_id").agg(F.count("*").alias("n_windows"), F.min("start_ms").alias("first_ms"))
+    return speaker_windows(spark, sf, 60_000).where("n = 3").groupBy("recording_id").agg(F.count("*").alias("n_windows"), F.min("start_ms").alias("first_ms"))
 
 
 @query(with_tables("segments", "SELECT segment_id, CASE WHEN (start_ms + end_ms) / 2 < max(end_ms) OVER (PARTITION BY recording_id) * 0.7 THEN 'development' ELSE 'held-out' END AS split FROM segments"))
