@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,28 +55,73 @@ def _letter(k: Column) -> Column:
 
 
 def token_distance(words: C, others: C) -> Column:
-    """Edit distance in words: each word becomes one letter, by its place among the distinct words of both sides."""
-    spelled = lambda v, own: F.array_join(F.transform(own, lambda w: _letter(F.array_position(v, w))), "")
-    return F.transform(F.array(F.array_distinct(F.concat(col(words), col(others)))), lambda v: F.levenshtein(spelled(v, col(words)), spelled(v, col(others))))[0]
-
-
-def edit_steps(a: str, b: str) -> int:
-    """Edit distance in characters: a column of the table is two whole numbers with one bit a row (Myers, Hyyrö)."""
-    if not a:
-        return len(b)
-    full, last, where = (1 << len(a)) - 1, len(a) - 1, {}
-    for k, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << k
-    up, down, n = full, 0, len(a)
-    for c in b:
-        same = where.get(c, 0)
-        across = ((((same & up) + up) ^ up) | same) & full
-        more, less = down | (full ^ (across | up)), up & across
-        n += (more >> last & 1) - (less >> last & 1)
-        more, less = (more << 1 | 1) & full, less << 1 & full
-        same |= down
-        up, down = less | (full ^ (same | more)), more & same
-    return n
+    """Edit distance in words."""
+    return word_distance(col(words), col(others))
+
+
+#: Items beyond which edit_steps keeps to a band of the table, the columns for which that stands still, and the share of steps it first allows for.
+WHOLE, STRIDE, SHARE = 1_200, 256, 0.22
+
+
+def bit_rows(items: Sequence) -> dict:
+    """Each different item with a whole number that has its places' bits; with the list of its places where those are few, so that many different items do not take a whole number each."""
+    places: dict = {}
+    for k, c in enumerate(items):
+        places.setdefault(c, []).append(k)
+    for c, own in places.items():
+        if len(own) > 8:
+            bits = bytearray((len(items) >> 3) + 1)
+            for k in own:
+                bits[k >> 3] |= 1 << (k & 7)
+            places[c] = int.from_bytes(bits, "little")
+    return places
+
+
+def edit_steps(a: Sequence, b: Sequence) -> int:
+    """Edit distance in items (the characters of two texts, the words of two lists): a column of the table is two whole numbers with one bit a row (Myers, Hyyrö).
+
+    Long ones first look in a band around the diagonal: what that gives is the cost of some way, and the distance if no cheaper way leaves the band; else a band of that cost is wide enough.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    most = max(int(SHARE * len(a)), len(a) - len(b)) if len(a) > WHOLE else len(a)
+    while True:
+        n = _steps_within(a, b, most)
+        if n <= most:
+            return n
+        most = n
+
+
+def _steps_within(a: Sequence, b: Sequence, most: int) -> int:
+    """Least cost of the ways from a to b (not longer than a) within the band that holds all those of `most` steps."""
+    where = bit_rows(a)
+    below, above = (most - len(a) + len(b)) // 2, (most + len(a) - len(b)) // 2  # rows before and after the diagonal that the band holds
+    stride = STRIDE if below + above + STRIDE < len(a) else len(b)
+    low, high, n, up, down = 0, 0, 0, 0, 0  # rows low to high; n: the cost at row low
+    for first in range(0, len(b), stride):
+        last = min(first + stride, len(b))
+        left = max(0, first - below) - low
+        if left:
+            gone = (1 << left) - 1
+            n += (up & gone).bit_count() - (down & gone).bit_count()
+            up, down, low = up >> left, down >> left, low + left
+        more = min(len(a), last + above)
+        up |= ((1 << more - high) - 1) << high - low
+        high = more
+        full, masks = (1 << high - low) - 1, {}
+        for c in b[first:last]:
+            same = masks.get(c)
+            if same is None:
+                rows = where.get(c, ())
+                same = sum(1 << k - low for k in rows if low <= k < high) if type(rows) is not int else masks.setdefault(c, rows >> low & full)
+            flat = (((same & up) + up) ^ up) | same | down
+            across = (down | (full ^ (flat | up))) << 1 | 1
+            up, down = ((flat & up) << 1 | (full ^ (flat | across))) & full, across & flat
+        down &= full
+        n += last - first
+    return n + up.bit_count() - down.bit_count()
 
 
 @F.pandas_udf(T.LongType())
@@ -84,6 +130,12 @@ def edit_distance(text: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else edit_steps(a, b) for a, b in zip(text, other, strict=True)], dtype="Int64")
 
 
+@F.pandas_udf(T.IntegerType())
+def word_distance(words: pd.Series, others: pd.Series) -> pd.Series:
+    """edit_steps of two lists of words by Arrow batches."""
+    return pd.Series([None if a is None or b is None else edit_steps(list(a), list(b)) for a, b in zip(words, others, strict=True)], dtype="Int32")
+
+
 def error_rate(distance: C, size: C) -> Column:
     return F.when(col(size) > 0, F.round(col(distance) / col(size), 9))
 
